@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import dedup_exact, shard_ring
+from tessera.llm import dedup_exact, mix, packing, quality, shard_ring, telephony
 
 QUERIES = {
+    "op1_mix": mix.op1_mix,
+    "op2_quality": quality.op2_quality,
+    "op3_packing": packing.op3_packing,
+    "op6_telephony": telephony.op6_telephony,
     "op9_shard_ring": shard_ring.op9_shard_ring,
     "op10_exact_dedup": dedup_exact.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op1_mix": mix.OP1_SQL,
     "op10_exact_dedup": dedup_exact.OP10_SQL,
 }
