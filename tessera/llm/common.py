@@ -6,7 +6,6 @@ import math
 import os
 import tempfile
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for tests)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def prefix_sums(df: DataFrame, group: str, h: str, ties: list[Column], value: st
     offsets = within.join(ranges, [group, "__a"]).select(group, "__b", (F.col("__in") + F.col("__base")).alias("__off"))
     w = Window.partitionBy(group, "__b").orderBy(h, *ties).rowsBetween(*before)
     d = d.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    return d.join(offsets, [group, "__b"]).withColumn(out, F.col(out) + F.col("__off")).drop("__b", "__off")
+    return d.join(offsets.hint("merge"), [group, "__b"]).withColumn(out, F.col(out) + F.col("__off")).drop("__b", "__off")
 
 
 def hot_keys(df: DataFrame, key: str, share: int = 200) -> list:
@@ -73,12 +72,14 @@ def hot_keys(df: DataFrame, key: str, share: int = 200) -> list:
 def hot_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", share: int = 200) -> DataFrame:
     """df joined with ``other`` (one row a key) without sending a frequent key's rows to one task.
 
+    The rest is hinted to merge: the sizes that the planner assumes after explode() are too low for it to choose a broadcast.
+
     Keys that hold over 1/share of df's rows, fewer than ``share`` of them, meet a broadcast of their rows of
     ``other``; the rest are shuffled. how: inner, left or left_semi. df is read three times: checkpoint it first.
     """
     hot = hot_keys(df, key, share)
     if not hot:
-        return df.join(other, key, how)
+        return df.join(other.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     a = df.where(is_hot).join(F.broadcast(other.where(F.col(key).isin(hot))), key, how)
-    return a.unionByName(df.where(~is_hot).join(other, key, how))
+    return a.unionByName(df.where(~is_hot).join(other.hint("merge"), key, how))

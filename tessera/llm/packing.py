@@ -16,47 +16,94 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, mixed_hash, prefix_sums, table
 
-#: White space as the tokenizer's patterns see it; no token crosses it.
-SPACE = re.compile("[%s]+" % "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
+#: What a text has beyond the letters, digits, signs and white space whose pieces are known by heart.
+OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
+#: Fixed values of the vocabulary: its pattern of pieces, for lower-case texts without OTHER. No token crosses a piece.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("rid", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
-class Encoder:
-    """Token ids of whole texts, kept by white-space-delimited chunk: the vocabulary drops white space before merging, so chunks are independent."""
+class Encoder(dict):
+    """Token ids of whole texts. Ids of pieces are kept, as little-endian unsigned 16-bit numbers, and new ones are encoded together."""
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end_id, most
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), np.array([end_id], dtype="<u2").tobytes(), most
+        self.special = [str(t.content).lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(1 << 16, dtype=bool)  # of tokens that end a piece
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.new: dict[str, None] = {}
+
+    def __missing__(self, piece: str) -> None:
+        self.new[piece] = None
+
+    def direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def learn(self) -> None:
+        pieces = list(self.new)
+        self.new = {}
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u2")
+        stops, raw, at = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0
+        if len(stops) != len(pieces):
+            self.update((p, self.direct(p)) for p in pieces)
+            return
+        for p, stop in zip(pieces, stops):
+            self[p] = raw[at:stop]
+            at = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian unsigned 16-bit numbers."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        chunks = [SPACE.split(t) for t in texts]
-        new = list({c for cs in chunks for c in cs if c not in known})
-        long: dict[str, bytes] = {}
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else ()):
-            (known if len(c) <= 64 else long)[c] = np.array(e.ids, dtype="<u2").tobytes()
-        end = np.array([self.end], dtype="<u2").tobytes()
-        if long:
-            return [b"".join([long[c] if c in long else known[c] for c in cs]) + end for cs in chunks]
-        return [b"".join([known[c] for c in cs]) + end for cs in chunks]
+        """Each text's ids and the end id."""
+        if len(self) > self.most:
+            self.clear()
+        out: list = []
+        for t in texts:
+            low = t.lower()
+            if OTHER.search(t) or any(x in low for x in self.special):
+                out.append(self.direct(t))
+            else:
+                pieces = PIECE.findall(low)
+                out.append((pieces, list(map(self.__getitem__, pieces))))
+        if self.new:
+            self.learn()
+        for k, x in enumerate(out):
+            if type(x) is bytes:
+                out[k] = x + self.end
+                continue
+            pieces, ids = x
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    ids[at] = self[pieces[at]]
+            except ValueError:
+                out[k] = b"".join(ids) + self.end
+        return out
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """This process's encoder, which later tasks use again."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def _tokenized(path: str, end_id: int, step: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, pack = Encoder(path, end_id), zstandard.ZstdCompressor(level=3)
+        own, pack = encoder(path, end_id), zstandard.ZstdCompressor(level=1)
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
             for i in range(0, b.num_rows, step):
                 c = b.slice(i, step)
-                ids = encoder.encode([t or "" for t in c.column(2).to_pylist()])
+                ids = own.encode([t or "" for t in c.column(2).to_pylist()])
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(range(rid, rid + n), pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], schema=_TOKENS)
                 rid += n
