@@ -81,7 +81,7 @@ def _chunks(step: int = 100_000):
     return run
 
 
-def repeated_spans(docs: DataFrame, least_bytes: int = 110, gap: int = 1) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_bytes: int = 100, gap: int = 0) -> DataFrame:
     """Spans of text that repeat in other rows: doc_id, start, length (bytes of the UTF-8 text), n_chunks, n_docs, keep_id, keep.
 
     Texts are cut where a gear hash of the last bytes says, so an insertion moves only the chunks beside it. A chunk

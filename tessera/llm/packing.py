@@ -27,7 +27,7 @@ _TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("rid", pa
 class Encoder(dict):
     """Token ids of whole texts. Ids of pieces are kept, as little-endian unsigned 16-bit numbers, and new ones are encoded together."""
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), np.array([end_id], dtype="<u2").tobytes(), most
@@ -36,9 +36,15 @@ class Encoder(dict):
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.new: dict[str, None] = {}
+        self.old: dict[str, bytes] = {}  # the pieces before the last change of generation
 
-    def __missing__(self, piece: str) -> None:
-        self.new[piece] = None
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.old.get(piece)
+        if ids is None:
+            self.new[piece] = None
+        else:
+            self[piece] = ids
+        return ids
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -58,6 +64,7 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end id."""
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
         out: list = []
         for t in texts:
