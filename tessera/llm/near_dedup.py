@@ -16,7 +16,7 @@ from tessera.llm.common import checkpoint, hot_join, table
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
 SLOTS, PART = 1 << 22, 1 << 12
 #: Weights of inverse document frequency are kept in steps of 1 / STEPS.
-STEPS = 16
+STEPS = 200
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MUL = np.random.default_rng(3).integers(1, 1 << 63, size=64, dtype=np.uint64) | np.uint64(1)
@@ -94,8 +94,12 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def idf_table(docs: DataFrame, size: int) -> np.ndarray:
-    """Steps of inverse document frequency, ln(1 + documents / documents with the shingle), by slot, over all rows of docs.
+def idf_table(docs: DataFrame, size: int, floor: float = 0.75) -> np.ndarray:
+    """Steps of the weight of inverse document frequency by slot, over all rows of docs.
+
+    With x = ln(1 + documents / documents with the shingle) / ln(1 + documents), the weight is floor + (1 - floor) x:
+    what many texts share weighs less, but not so little that a large group of near copies, whose common shingles are
+    frequent by its own size, falls apart over the few words in which they differ.
 
     Document frequencies are counted in a sketch of SLOTS counters, so what is sent to the driver and broadcast has a
     fixed size (4 MB); shingles that share a counter share its count, which errs to a lower weight, alike in all texts.
@@ -111,8 +115,8 @@ def idf_table(docs: DataFrame, size: int) -> np.ndarray:
             n = int(x[0])
         else:
             df[r.part] = x
-    idf = np.log1p(n / np.maximum(1, df.ravel()))
-    return np.clip(np.rint(idf * STEPS), 1, 255).astype(np.uint8)
+    x = np.log1p(n / np.maximum(1, df.ravel())) / np.log1p(max(1, n))
+    return np.clip(np.rint((floor + (1 - floor) * x) * STEPS), 1, 255).astype(np.uint8)
 
 
 class Sampler:
@@ -136,7 +140,8 @@ class Sampler:
 
     def sample(self, x: np.ndarray, tf: np.ndarray, most: int = 1 << 17) -> np.ndarray:
         """k 64-bit samples; two texts agree in each with the probability of their weighted Jaccard similarity."""
-        log_s = self.log_idf[self.idf[x & np.uint64(SLOTS - 1)]] + self.log_tf[np.minimum(tf, len(self.log_tf) - 1)]
+        log_tf = self.log_tf[tf] if tf.max() < len(self.log_tf) else np.log(tf)
+        log_s = self.log_idf[self.idf[x & np.uint64(SLOTS - 1)]] + log_tf
         out, step = np.empty(self.k, dtype=np.uint64), max(1, most // len(x))
         for i in range(0, self.k, step):
             h = x * self.a[i : i + step] + self.b[i : i + step]
@@ -201,15 +206,32 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, t
     return full.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3) -> DataFrame:
+def candidates(pool: DataFrame, turn: int) -> DataFrame:
+    """(a, b, n): pairs of nodes with different labels, where b comes first or last of a bucket in an order of its own for each bucket and turn; n is the number of buckets that name the pair. pool: node, band, label."""
+    h = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "label")
+    ends = pool.groupBy("band").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    ends = checkpoint(ends.select("band", F.array("lo", "hi").alias("leads")))
+    led = hot_join(pool, ends, "band").select("node", "label", F.explode("leads").alias("lead")).where("label <> lead.label")
+    return led.groupBy(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs, from the row that stands for each."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")).hint("merge"), "node")
+    found = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), "th", "text").join(used.hint("merge"), ["__id", "th"]).select("node", "text")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3, turns: int = 3) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
 
     Texts are multisets of shingles of ``size`` words (lower case, runs of letters, digits and _), weighed by count
     times inverse document frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands
     of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.99995.
-    In a bucket every node is paired with the two that come first and last in a hash order, the same in all buckets.
+    In a bucket every node is paired with the two that come first and last in a hash order, another one in each bucket.
     Each node's most frequent pair is verified by weighted Jaccard similarity first, then all pairs of nodes that are
-    not yet connected, so no candidate between classes goes untested. Classes are connected components. n_texts is the
+    not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
+    in all or until a turn connects nothing. Classes are connected components. n_texts is the
     number of different texts (by words) in the class; kept says that the row has the class's smallest doc_id.
 
     Null and empty texts, and texts without words, are near only to equal texts; a text of fewer words than ``size`` is
@@ -243,26 +265,28 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
 
     signed = checkpoint(d.mapInArrow(sign, "doc_id long, th long, node binary, bands array<long>"))
     nodes = checkpoint(signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    inside = checkpoint(nodes.select("node", F.xxhash64("node").alias("h"), F.explode("bands").alias("band")))
-    ends = inside.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "node")).alias("lo"), F.max(F.struct("h", "node")).alias("hi")).where("n > 1")
-    ends = checkpoint(ends.select("band", F.array("lo.node", "hi.node").alias("leads")))
-    led = hot_join(inside, ends, "band").select(F.col("node").alias("a"), F.explode("leads").alias("b")).where("a <> b")
-    pairs = checkpoint(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")), "node")
-    texts = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), "th", "text").join(used, ["__id", "th"]).select("node", "text")
-    texts = checkpoint(texts.groupBy("node").agg(F.first("text").alias("text")))
-    best = F.struct("n", F.col("b"))
-    first = pairs.groupBy("a").agg(F.max(best).alias("x")).select("a", "x.b")
-    edges = checkpoint(verified(first, texts, idf, size, least))
-    labels = components(edges)
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    tried = first.withColumn("tried", F.lit(True))
-    rest = pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
-    rest = hot_join(checkpoint(hot_join(checkpoint(rest), of("a"), "a", "left")), of("b"), "b", "left")
-    rest = rest.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b")
-    more = checkpoint(verified(rest, texts, idf, size, least))
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+    inside = checkpoint(nodes.select("node", F.explode("bands").alias("band")))
+    labels, texts, edges = None, None, None
+    for turn in range(turns):
+        if labels is None:
+            pool = inside.withColumn("label", F.col("node"))
+        else:
+            pool = checkpoint(inside.join(labels.hint("merge"), "node", "left").select("node", "band", F.coalesce("label", "node").alias("label")))
+        pairs = checkpoint(candidates(pool, turn))
+        if texts is None:
+            texts = checkpoint(texts_of(d, nodes, pairs))
+            best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
+            edges = checkpoint(verified(best, texts, idf, size, least))
+            labels = components(edges)
+            pairs = checkpoint(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"))
+            for c in ("a", "b"):
+                pairs = checkpoint(hot_join(pairs, labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left"))
+            pairs = pairs.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
+        more = checkpoint(verified(pairs.select("a", "b"), texts, idf, size, least))
+        if more.isEmpty():
+            break
+        edges = checkpoint(edges.unionByName(more))
+        labels = components(edges)
     known = checkpoint(nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
     classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))
     known = checkpoint(hot_join(known, classes, "label").select("node", "class_id", "n_texts"))
