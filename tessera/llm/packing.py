@@ -52,7 +52,7 @@ class Encoder(dict):
     def learn(self) -> None:
         pieces = list(self.new)
         self.new = {}
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u2")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u2")  # without offsets
         stops, raw, at = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0
         if len(stops) != len(pieces):
             self.update((p, self.direct(p)) for p in pieces)
