@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, hot_join, table
+from tessera.llm.common import checkpoint, table
 
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
 SLOTS, PART = 1 << 22, 1 << 12
@@ -109,13 +109,13 @@ def idf_table(docs: DataFrame, size: int, floor: float = 0.75) -> np.ndarray:
     parts = docs.select("text").mapInArrow(slot_counts(size), "part int, counts binary")
     sums = parts.repartition("part").mapInArrow(add_counts, "part int, counts binary")
     unpack, df, n = zstandard.ZstdDecompressor(), np.zeros((SLOTS // PART, PART), dtype=np.int64), 0
-    for r in sums.toLocalIterator():
+    for r in sums.collect():  # at most SLOTS / PART rows
         x = np.frombuffer(unpack.decompress(bytes(r.counts)), dtype=np.int64)
         if r.part < 0:
             n = int(x[0])
         else:
             df[r.part] = x
-    x = np.log1p(n / np.maximum(1, df.ravel())) / np.log1p(max(1, n))
+    x = np.log1p(n / np.maximum(1, df.ravel()).astype(np.float32)) / np.float32(np.log1p(max(1, n)))
     return np.clip(np.rint((floor + (1 - floor) * x) * STEPS), 1, 255).astype(np.uint8)
 
 
@@ -165,27 +165,37 @@ def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) ->
     return float(both / whole) if whole else 0.0
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b). Labels move to the smallest of the neighbours' and are followed to their own label, so long chains shorten by half each round."""
+def joined(df: DataFrame, other: DataFrame, key, how: str = "inner") -> DataFrame:
+    """A sort-merge join of two checkpointed tables. With plain exchanges on both sides, adaptive execution splits the partitions of frequent keys."""
+    return df.join(other.hint("merge"), key, how)
+
+
+def spread_labels(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (node, label) after each node takes the smallest label of its neighbours and then that label's own label. both: edges (a, b) in either direction."""
+    heard = joined(both, labels.withColumnsRenamed({"node": "a"}), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+    new = checkpoint(joined(labels, heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
+    return checkpoint(joined(new, new.select(F.col("node").alias("label"), F.col("label").alias("end")), "label").select("node", "old", F.least("label", "end").alias("label")))
+
+
+def components(edges: DataFrame, turns: int | None = None, most: int = 60) -> DataFrame:
+    """(node, label): the smallest node of each connected component of edges (a, b); after ``turns`` turns alone, labels that only nodes of one component share. Long chains shorten by half each turn."""
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(most):
-        heard = hot_join(both, labels.withColumnsRenamed({"node": "a"}), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        new = checkpoint(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
-        ends = new.select(F.col("node").alias("label"), F.col("label").alias("end"))
-        labels = checkpoint(hot_join(new, ends, "label").select("node", "old", F.least("label", "end").alias("label")))
-        if labels.where("label <> old").isEmpty():
-            return labels.drop("old")
-        labels = labels.drop("old")
-    raise RuntimeError(f"components did not settle in {most} rounds")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, together: int = 64) -> DataFrame:
-    """Of pairs (a, b) those whose weighted Jaccard similarity is at least ``least``. A text b is sent once for each ``together`` of its partners."""
-    n = checkpoint(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("copies")))
-    p = hot_join(checkpoint(pairs), n, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
-    right = n.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "text_b")
-    full = p.select("a", "b", "salt").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(right, ["b", "salt"])
+    for _ in range(most if turns is None else turns):
+        new = spread_labels(both, labels)
+        labels = new.drop("old")
+        if turns is None and new.where("label <> old").isEmpty():
+            return labels
+    if turns is None:
+        raise RuntimeError(f"components did not settle in {most} turns")
+    return labels
+
+
+def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, salts: int = 1024) -> DataFrame:
+    """Of pairs (a, b) those whose weighted Jaccard similarity is at least ``least``. A text b is sent once for each salt of its partners, so ``salts`` times at most."""
+    p = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
+    right = joined(p.select("b", "salt").distinct(), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    full = joined(joined(p, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), right, ["b", "salt"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sampler, last = WordHashes(), Sampler(1, np.frombuffer(idf.value, dtype=np.uint8)), (None, None, None)
@@ -207,12 +217,12 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, t
 
 
 def candidates(pool: DataFrame, turn: int) -> DataFrame:
-    """(a, b, n): pairs of nodes with different labels, where b comes first or last of a bucket in an order of its own for each bucket and turn; n is the number of buckets that name the pair. pool: node, band, label."""
+    """(a, b, n): pairs of nodes with different labels, where b comes first or last of a bucket of a in an order of its own for each bucket and turn; n is the number of buckets that name the pair. pool: node, band, label."""
     h = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "label")
     ends = pool.groupBy("band").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     ends = checkpoint(ends.select("band", F.array("lo", "hi").alias("leads")))
-    led = hot_join(pool, ends, "band").select("node", "label", F.explode("leads").alias("lead")).where("label <> lead.label")
-    return led.groupBy(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    led = joined(pool, ends, "band").select("node", "label", F.explode("leads").alias("lead")).where("label <> lead.label")
+    return led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -222,12 +232,12 @@ def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, turns: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
 
     Texts are multisets of shingles of ``size`` words (lower case, runs of letters, digits and _), weighed by count
     times inverse document frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands
-    of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.99995.
+    of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.9998.
     In a bucket every node is paired with the two that come first and last in a hash order, another one in each bucket.
     Each node's most frequent pair is verified by weighted Jaccard similarity first, then all pairs of nodes that are
     not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
@@ -236,8 +246,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
 
     Null and empty texts, and texts without words, are near only to equal texts; a text of fewer words than ``size`` is
     one shingle. A class of null doc_ids alone has a null class_id and keeps them all. Rows that repeat a doc_id and
-    text are kept or not together. No rows: no rows. Frequent buckets, leaders, labels and copies meet broadcasts of at
-    most 200 short rows; no bucket is gathered in one task.
+    text are kept or not together. No rows: no rows. Buckets are summed up before they are shuffled, and the joins on
+    frequent buckets, leaders, labels and copies are such that adaptive execution splits them; no bucket is gathered.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
@@ -265,32 +275,30 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
 
     signed = checkpoint(d.mapInArrow(sign, "doc_id long, th long, node binary, bands array<long>"))
     nodes = checkpoint(signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    inside = checkpoint(nodes.select("node", F.explode("bands").alias("band")))
-    labels, texts, edges = None, None, None
-    for turn in range(turns):
-        if labels is None:
-            pool = inside.withColumn("label", F.col("node"))
+    inside = checkpoint(nodes.select("node", F.explode("bands").alias("band"), F.col("node").alias("label")))
+    pairs = checkpoint(candidates(inside, 0))
+    texts = checkpoint(texts_of(d, nodes, pairs))
+    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
+    edges = checkpoint(verified(best, texts, idf, size, least))
+    for turn in range(1, turns + 1):
+        labels = components(edges, turns=2)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
+        if turn == 1:
+            rest = checkpoint(joined(pairs.select("a", "b"), of("a"), "a", "left"))
+            rest = checkpoint(joined(rest, of("b"), "b", "left"))
+            rest = rest.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).join(best, ["a", "b"], "left_anti")
         else:
-            pool = checkpoint(inside.join(labels.hint("merge"), "node", "left").select("node", "band", F.coalesce("label", "node").alias("label")))
-        pairs = checkpoint(candidates(pool, turn))
-        if texts is None:
-            texts = checkpoint(texts_of(d, nodes, pairs))
-            best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
-            edges = checkpoint(verified(best, texts, idf, size, least))
-            labels = components(edges)
-            pairs = checkpoint(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"))
-            for c in ("a", "b"):
-                pairs = checkpoint(hot_join(pairs, labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left"))
-            pairs = pairs.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
-        more = checkpoint(verified(pairs.select("a", "b"), texts, idf, size, least))
+            pool = joined(inside.select("node", "band"), labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
+            rest = candidates(checkpoint(pool), turn)
+        more = checkpoint(verified(rest.select("a", "b"), texts, idf, size, least))
         if more.isEmpty():
             break
         edges = checkpoint(edges.unionByName(more))
-        labels = components(edges)
-    known = checkpoint(nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
+    labels = components(edges)
+    known = checkpoint(joined(nodes.select("node", "first_id"), labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
     classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))
-    known = checkpoint(hot_join(known, classes, "label").select("node", "class_id", "n_texts"))
-    out = hot_join(signed.select("doc_id", "node"), known, "node")
+    known = checkpoint(joined(known, classes, "label").select("node", "class_id", "n_texts"))
+    out = joined(signed.select("doc_id", "node"), known, "node")
     return out.select("doc_id", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
