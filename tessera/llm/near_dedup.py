@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +17,46 @@ from tessera.llm.common import checkpoint, table
 SLOTS, PART = 1 << 22, 1 << 12
 #: Weights of inverse document frequency are kept in steps of 1 / STEPS.
 STEPS = 200
-_WORD = re.compile(r"\w+")
+#: Bytes of a text that are hashed at a time.
+SEGMENT = 1 << 20
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MUL = np.random.default_rng(3).integers(1, 1 << 63, size=64, dtype=np.uint64) | np.uint64(1)
+_BYTE = np.random.default_rng(4).integers(1, 1 << 63, size=256, dtype=np.uint64)
+_IN_WORD = np.array([b >= 128 or chr(b).isalnum() or chr(b) == "_" for b in range(256)], dtype=np.int8)
+_POWERS: list[np.ndarray] = []
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when it has grown large."""
+def powers() -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if not _POWERS:
+        base = int(_MUL[40])
+        for x in (base, pow(base, -1, 1 << 64)):
+            out = np.full(SEGMENT + 1, x, dtype=np.uint64)
+            out[0] = 1
+            _POWERS.append(np.multiply.accumulate(out))
+    return _POWERS
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a whole text: runs of ASCII letters and digits, _ and all characters beyond ASCII, in lower case.
 
-def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
-    """Hashes of the words of a whole text in lower case."""
-    words = _WORD.findall((text or "").lower())
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    A word's hash is a sum of its bytes' numbers times powers, got from running sums, and divided by the power where
+    the word begins. A word of over SEGMENT bytes counts as several.
+    """
+    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    up, down = powers()
+    out, at = [], 0
+    while at < len(raw):
+        part = raw[at : at + SEGMENT]
+        if len(part) == SEGMENT and at + SEGMENT < len(raw) and len(gaps := np.flatnonzero(_IN_WORD[part] == 0)):
+            part = part[: gaps[-1] + 1]
+        at += len(part)
+        edges = np.diff(_IN_WORD[part], prepend=np.int8(0), append=np.int8(0))
+        start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        out.append((sums[stop] - sums[start]) * down[start])
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +84,10 @@ def slot_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        known, total, held, n, docs = WordHashes(), np.zeros(SLOTS, dtype=np.int64), [], 0, 0
+        total, held, n, docs = np.zeros(SLOTS, dtype=np.int64), [], 0, 0
         for b in batches:
             for text in b.column(0):
-                x, _ = shingles(word_hashes(text.as_py(), known), size)
+                x, _ = shingles(word_hashes(text.as_py()), size)
                 held.append(x & np.uint64(SLOTS - 1))
                 n, docs = n + len(x), docs + 1
                 if n > 1 << 21:
@@ -130,30 +151,35 @@ class Sampler:
     def __init__(self, k: int, idf: np.ndarray, seed: int = 17):
         rng = np.random.default_rng(seed)
         self.k, self.idf = k, idf
-        self.r = rng.gamma(2, 1, 1 << 16)
-        self.log_c = np.log(rng.gamma(2, 1, 1 << 16))
-        self.a, self.b = (rng.integers(1, 1 << 63, size=(k, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
-        self.log_idf, self.log_tf = np.log(np.maximum(1, np.arange(256)) / STEPS), np.log(np.maximum(1, np.arange(1 << 12)))
+        r, c = (rng.gamma(2, 1, 1 << 16) for _ in range(2))
+        self.r, self.inverse, self.log_c = r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32)
+        self.a = rng.integers(1, 1 << 63, size=(k, 1), dtype=np.uint64) | np.uint64(1)
+        self.log_idf = np.log(np.maximum(1, np.arange(256)) / STEPS).astype(np.float32)
+        self.log_tf = np.log(np.maximum(1, np.arange(1 << 12))).astype(np.float32)
 
     def weights(self, x: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return tf * self.idf[x & np.uint64(SLOTS - 1)].astype(np.float64)
 
-    def sample(self, x: np.ndarray, tf: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    def sample(self, x: np.ndarray, tf: np.ndarray, most: int = 1 << 16) -> np.ndarray:
         """k 64-bit samples; two texts agree in each with the probability of their weighted Jaccard similarity."""
-        log_tf = self.log_tf[tf] if tf.max() < len(self.log_tf) else np.log(tf)
+        log_tf = self.log_tf[tf] if tf.max() < len(self.log_tf) else np.log(tf).astype(np.float32)
         log_s = self.log_idf[self.idf[x & np.uint64(SLOTS - 1)]] + log_tf
         out, step = np.empty(self.k, dtype=np.uint64), max(1, most // len(x))
         for i in range(0, self.k, step):
-            h = x * self.a[i : i + step] + self.b[i : i + step]
-            h ^= h >> np.uint64(32)
-            h *= _MIX
-            at = h >> np.uint64(48)
-            r = self.r[at]
-            beta = ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
-            t = np.floor(log_s / r + beta)
-            j = np.argmin(self.log_c[at] - r * (t - beta + 1), axis=1)
-            rows = np.arange(len(j))
-            out[i : i + step] = (x[j] ^ t[rows, j].astype(np.int64).view(np.uint64) * _MUL[8]) * _MUL[9]
+            h = ((x * self.a[i : i + step]) >> np.uint64(32)).astype(np.uint32)
+            at = (h >> np.uint32(16)).astype(np.intp)
+            y = (h & np.uint32(0xFFFF)).astype(np.float32)
+            y *= np.float32(2.0**-16)  # beta
+            t = self.inverse.take(at)
+            t *= log_s
+            t += y
+            np.floor(t, out=t)
+            y -= t
+            y -= np.float32(1)
+            y *= self.r.take(at)
+            y += self.log_c.take(at)  # ln c - r (t - beta + 1)
+            j = np.argmin(y, axis=1)
+            out[i : i + step] = (x[j] ^ t[np.arange(len(j)), j].astype(np.int64).view(np.uint64) * _MUL[8]) * _MUL[9]
         return out
 
 
@@ -170,19 +196,28 @@ def joined(df: DataFrame, other: DataFrame, key, how: str = "inner") -> DataFram
     return df.join(other.hint("merge"), key, how)
 
 
-def spread_labels(both: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (node, label) after each node takes the smallest label of its neighbours and then that label's own label. both: edges (a, b) in either direction."""
-    heard = joined(both, labels.withColumnsRenamed({"node": "a"}), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-    new = checkpoint(joined(labels, heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
-    return checkpoint(joined(new, new.select(F.col("node").alias("label"), F.col("label").alias("end")), "label").select("node", "old", F.least("label", "end").alias("label")))
+def release() -> None:
+    """Lets Spark remove shuffle files and checkpoints that nothing refers to any more."""
+    from pyspark import SparkContext
+
+    gc.collect()
+    if SparkContext._active_spark_context is not None:
+        SparkContext._active_spark_context._jvm.System.gc()
 
 
 def components(edges: DataFrame, turns: int | None = None, most: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b); after ``turns`` turns alone, labels that only nodes of one component share. Long chains shorten by half each turn."""
+    """(node, label): the smallest node of each connected component of edges (a, b); after ``turns`` turns alone, labels that only nodes of one component share.
+
+    In a turn each node takes the smallest label of its neighbours and then that label's own label, so long chains
+    shorten by half.
+    """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     for _ in range(most if turns is None else turns):
-        new = spread_labels(both, labels)
+        heard = joined(both, labels.withColumnsRenamed({"node": "a"}), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        all_ = heard.unionByName(labels.select("node", "label", F.col("label").alias("old")))
+        new = checkpoint(all_.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")))
+        new = checkpoint(joined(new, new.select(F.col("node").alias("label"), F.col("label").alias("end")), "label").select("node", "old", F.least("label", "end").alias("label")))
         labels = new.drop("old")
         if turns is None and new.where("label <> old").isEmpty():
             return labels
@@ -198,10 +233,10 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, s
     full = joined(joined(p, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), right, ["b", "salt"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sampler, last = WordHashes(), Sampler(1, np.frombuffer(idf.value, dtype=np.uint8)), (None, None, None)
+        sampler, last = Sampler(1, np.frombuffer(idf.value, dtype=np.uint8)), (None, None, None)
 
         def weighed(text: str) -> tuple[np.ndarray, np.ndarray]:
-            x, tf = shingles(word_hashes(text, known), size)
+            x, tf = shingles(word_hashes(text), size)
             return x, sampler.weights(x, tf)
 
         for batch in batches:
@@ -216,30 +251,35 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, s
     return full.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
-def candidates(pool: DataFrame, turn: int) -> DataFrame:
-    """(a, b, n): pairs of nodes with different labels, where b comes first or last of a bucket of a in an order of its own for each bucket and turn; n is the number of buckets that name the pair. pool: node, band, label."""
+def candidates(pool: DataFrame, nodes: DataFrame, turn: int, share: float) -> DataFrame:
+    """(a, b, n): pairs of nodes with different labels, where b comes first or last of a bucket of a in an order of its own for each bucket and turn, and n of their samples agree, at least ``share`` of them. pool: node, band, label. nodes: node, samples."""
     h = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "label")
     ends = pool.groupBy("band").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     ends = checkpoint(ends.select("band", F.array("lo", "hi").alias("leads")))
     led = joined(pool, ends, "band").select("node", "label", F.explode("leads").alias("lead")).where("label <> lead.label")
-    return led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = checkpoint(led.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("samples").alias(f"samples_{c}"))
+    full = joined(checkpoint(joined(pairs, of("a"), "a")), of("b"), "b")
+    agree = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda v: v))
+    return full.select("a", "b", agree.alias("n")).where(F.col("n") >= share * F.size("samples_a"))
 
 
-def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in pairs, from the row that stands for each."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")).hint("merge"), "node")
-    found = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), "th", "text").join(used.hint("merge"), ["__id", "th"]).select("node", "text")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+    """(node, text) of the nodes in pairs, from a row that stands for each; repeats: rows may repeat a doc_id and text."""
+    used = joined(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")), "node")
+    found = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), "th", "text").join(used.hint("shuffle_hash"), ["__id", "th"]).select("node", "text")
+    return found.groupBy("node").agg(F.first("text").alias("text")) if repeats else found
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, turns: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
 
-    Texts are multisets of shingles of ``size`` words (lower case, runs of letters, digits and _), weighed by count
+    Texts are multisets of shingles of ``size`` words (``word_hashes``), weighed by count
     times inverse document frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands
     of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.9998.
     In a bucket every node is paired with the two that come first and last in a hash order, another one in each bucket.
-    Each node's most frequent pair is verified by weighted Jaccard similarity first, then all pairs of nodes that are
+    Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 1 in 100,000).
+    Each node's pair with the most is verified by weighted Jaccard similarity first, then all pairs of nodes that are
     not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
     in all or until a turn connects nothing. Classes are connected components. n_texts is the
     number of different texts (by words) in the class; kept says that the row has the class's smallest doc_id.
@@ -254,46 +294,52 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     idf = spark.sparkContext.broadcast(idf_table(d, size).tobytes())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sampler = WordHashes(), Sampler(bands * rows, np.frombuffer(idf.value, dtype=np.uint8))
+        sampler = Sampler(bands * rows, np.frombuffer(idf.value, dtype=np.uint8))
         salt = _MUL[16 : 16 + bands]
         for b in batches:
-            nodes, keys = [], []
+            nodes, keys, samples = [], [], []
             for text in b.column(1):
                 t = text.as_py()
-                words = word_hashes(t, known)
+                words = word_hashes(t)
                 nodes.append(node_of(t, words))
                 if not len(words):
                     keys.append([])
+                    samples.append([])
                     continue
                 s = sampler.sample(*shingles(words, size)).reshape(bands, rows)
+                samples.append((s.ravel() >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 key = salt.copy()
                 for r in range(rows):
                     key = (key ^ s[:, r]) * _MIX
                     key ^= key >> np.uint64(30)
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], names=["doc_id", "th", "node", "bands", "samples"])
 
-    signed = checkpoint(d.mapInArrow(sign, "doc_id long, th long, node binary, bands array<long>"))
-    nodes = checkpoint(signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    signed = checkpoint(d.mapInArrow(sign, "doc_id long, th long, node binary, bands array<long>, samples array<int>"))
+    first = F.first(F.struct("bands", "samples"))
+    nodes = signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.min("doc_id").alias("first_id"), first.alias("x"))
+    nodes = checkpoint(nodes.select("node", "rep", "first_id", "x.bands", "x.samples"))
+    repeats = not signed.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
     inside = checkpoint(nodes.select("node", F.explode("bands").alias("band"), F.col("node").alias("label")))
-    pairs = checkpoint(candidates(inside, 0))
-    texts = checkpoint(texts_of(d, nodes, pairs))
-    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
+    pairs = checkpoint(candidates(inside, nodes, 0, share))
+    texts = checkpoint(texts_of(d, nodes, pairs, repeats))
+    best = checkpoint(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b"))
     edges = checkpoint(verified(best, texts, idf, size, least))
     for turn in range(1, turns + 1):
-        labels = components(edges, turns=2)
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
+        release()
+        labels = components(edges, turns=1)
         if turn == 1:
-            rest = checkpoint(joined(pairs.select("a", "b"), of("a"), "a", "left"))
-            rest = checkpoint(joined(rest, of("b"), "b", "left"))
-            rest = rest.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).join(best, ["a", "b"], "left_anti")
+            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
+            rest = joined(checkpoint(joined(pairs.select("a", "b"), of("a"), "a", "left")), of("b"), "b", "left")
+            rest = rest.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b").join(best, ["a", "b"], "left_anti")
         else:
             pool = joined(inside.select("node", "band"), labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
-            rest = candidates(checkpoint(pool), turn)
-        more = checkpoint(verified(rest.select("a", "b"), texts, idf, size, least))
+            rest = candidates(checkpoint(pool), nodes, turn, share).select("a", "b")
+        more = checkpoint(verified(checkpoint(rest), texts, idf, size, least))
         if more.isEmpty():
             break
         edges = checkpoint(edges.unionByName(more))
+    release()
     labels = components(edges)
     known = checkpoint(joined(nodes.select("node", "first_id"), labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
     classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))

@@ -96,9 +96,9 @@ def near_rows():
 
 
 def near_by_hand(rows, idf):
-    s, known, sets = near_dedup.Sampler(1, idf), near_dedup.WordHashes(), []
+    s, sets = near_dedup.Sampler(1, idf), []
     for _, t, _ in rows:
-        x, tf = near_dedup.shingles(near_dedup.word_hashes(t, known), 5)
+        x, tf = near_dedup.shingles(near_dedup.word_hashes(t), 5)
         sets.append((x, s.weights(x, tf)))
     par = list(range(len(rows)))
 
@@ -140,10 +140,9 @@ def test_near_duplicates_edges(spark, edge, empty):
 def test_sampler_estimates_weighted_similarity():
     idf = np.random.default_rng(5).integers(10, 200, near_dedup.SLOTS).astype(np.uint8)
     s = near_dedup.Sampler(3000, idf)
-    known = near_dedup.WordHashes()
     a = words(200, 1)
     for k in (1, 4, 12):
-        x, y = (near_dedup.shingles(near_dedup.word_hashes(t, known), 5) for t in (a, edited(a, k, k)))
+        x, y = (near_dedup.shingles(near_dedup.word_hashes(t), 5) for t in (a, edited(a, k, k)))
         want = near_dedup.similarity(x[0], s.weights(*x), y[0], s.weights(*y))
         assert np.mean(s.sample(*x) == s.sample(*y)) == pytest.approx(want, abs=0.04)
 
@@ -158,10 +157,20 @@ def test_components_of_long_chains(spark):
 def test_idf_counts_all_rows(spark):
     docs = spark.createDataFrame([("a b c d e f",)] * 30 + [(words(30, i),) for i in range(70)], "text string").repartition(5)
     idf = near_dedup.idf_table(docs, 5)
-    x, _ = near_dedup.shingles(near_dedup.word_hashes("a b c d e f", near_dedup.WordHashes()), 5)
+    x, _ = near_dedup.shingles(near_dedup.word_hashes("a b c d e f"), 5)
     assert idf[x & np.uint64(near_dedup.SLOTS - 1)].tolist() == [round((0.75 + 0.25 * np.log1p(100 / 30) / np.log1p(100)) * near_dedup.STEPS)] * 2
 
 
+def test_word_hashes_are_of_words():
+    h = near_dedup.word_hashes("The cat, the CAT; a_1 é-cat\nthe")
+    assert h[0] == h[2] == h[7] and h[1] == h[3] == h[6] and len(set(h.tolist())) == 4
+    assert len(near_dedup.word_hashes(None)) == len(near_dedup.word_hashes("... !")) == 0
+    long = "ab " * (near_dedup.SEGMENT // 2)
+    assert set(near_dedup.word_hashes(long).tolist()) == set(near_dedup.word_hashes("ab").tolist())
+    assert len(near_dedup.word_hashes(long)) == near_dedup.SEGMENT // 2
+    assert len(near_dedup.word_hashes("z" * (2 * near_dedup.SEGMENT + 5))) == 3
+
+
 def test_boundaries():
     rng = np.random.default_rng(3)
     raw = rng.integers(97, 123, 20_000, dtype=np.uint8)
