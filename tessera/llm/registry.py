@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix": mix.OP1_SQL,
+    "op4_url_trust": url_trust.OP4_SQL,
     "op10_exact_dedup": dedup_exact.OP10_SQL,
 }

@@ -90,4 +90,37 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, ste
 
 
 def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages"))
+    out = url_verdicts(table(spark, sf_dir, "pages"))
+    return out.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
+
+
+def _rule_sql() -> tuple[str, str]:
+    """CASE expressions of the longest rule that fits, and of its verdict."""
+    cases = []
+    for what, r in sorted(RULES, key=lambda x: (-len(x[1]), x[1])):
+        h, _, p = r.partition("/")
+        cases.append((f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN ", r, what))
+    return tuple(f"CASE {' '.join(f"{c[0]}'{c[k]}'" for c in cases)} END" for k in (1, 2))
+
+
+def _steps_sql(steps: int, damping: float) -> str:
+    out = [f"r0 AS (SELECT kind, host, {1 - damping} * seed AS rank FROM seeds)"]
+    for k in range(1, steps + 1):
+        out.append(f"r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, {1 - damping} * seed AS rank FROM seeds UNION ALL SELECT e.kind, e.b, {damping} * rank * e.weight FROM r{k - 1} r JOIN e ON e.kind = r.kind AND e.a = r.host) GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+OP4_SQL = rf"""
+WITH u AS (SELECT page_id, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, {_rule_sql()[0]} AS rule, {_rule_sql()[1]} AS own FROM p),
+l AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*:)?//([^"''\s>/?#]+)', 2)), '{_UPPER}', '{_LOWER}') AS dst FROM p WHERE host <> '') WHERE src <> dst GROUP BY ALL),
+d AS (SELECT 't' AS kind, src AS a, dst AS b, n FROM l UNION ALL SELECT 'd', dst, src, n FROM l),
+e AS (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a)::DOUBLE AS weight FROM d),
+s AS (SELECT host, avg((own = 'allow' AND own IS NOT NULL)::INT) AS t, avg((own = 'block' AND own IS NOT NULL)::INT) AS d FROM j WHERE host <> '' GROUP BY host),
+seeds AS (SELECT 't' AS kind, host, t AS seed FROM s WHERE t > 0 UNION ALL SELECT 'd', host, d FROM s WHERE d > 0),
+{_steps_sql(6, 0.85)},
+h AS (SELECT host, coalesce(sum(rank) FILTER (kind = 't'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'd'), 0) AS distrust FROM (SELECT * FROM (SELECT r6.*, (SELECT count(*) FROM e) AS links FROM r6) WHERE links > 0 UNION ALL SELECT r0.*, 0 FROM r0 WHERE (SELECT count(*) FROM e) = 0) GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.05 THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
+FROM j LEFT JOIN h USING (host)
+"""
