@@ -18,76 +18,164 @@ from tessera.llm.common import checkpoint, mixed_hash, prefix_sums, table
 
 #: What a text has beyond the letters, digits, signs and white space whose pieces are known by heart.
 OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
-#: Fixed values of the vocabulary: its pattern of pieces, for lower-case texts without OTHER. No token crosses a piece.
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
-
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("rid", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
-class Encoder(dict):
-    """Token ids of whole texts. Ids of pieces are kept, as little-endian unsigned 16-bit numbers, and new ones are encoded together."""
+#: Bytes of lower-case texts that are cut into pieces at a time, and the longest piece that is known by its hash.
+BATCH, LONGEST = 1 << 20, 32
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_CLASS = np.array([_LETTER if b >= 128 or 97 <= b < 123 else _DIGIT if 48 <= b < 58 else 0 if b < 33 else _SIGN for b in range(256)], dtype=np.int8)
+_BYTE = np.random.default_rng(41).integers(1, 1 << 63, size=256, dtype=np.uint64)
+_ONE = np.zeros(256, dtype=bool)
+_ONE[[ord(c) for c in "stmd"]] = True
+
+
+def cut(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of the vocabulary's pieces in bytes of lower-case texts without OTHER: runs of letters, single digits, runs of signs; an apostrophe that begins a run takes s, t, m, d, re, ve or ll after it."""
+    kind = np.zeros(len(raw) + 2, dtype=np.int8)
+    kind[1:-1] = _CLASS[raw]
+    here, single = kind[1:-1], kind[1:-1] == _DIGIT
+    edge = kind[1:] != kind[:-1]
+    start = np.flatnonzero((here != 0) & (edge[:-1] | single))
+    stop = np.flatnonzero((here != 0) & (edge[1:] | single)) + 1
+    k = np.flatnonzero((raw[start] == 39) & (stop - start == 1))
+    k = k[k + 1 < len(start)]
+    k = k[(start[k + 1] == stop[k]) & (here[start[k + 1]] == _LETTER)]
+    if len(k):
+        at = start[k + 1]
+        a, b = raw[at], np.where(stop[k + 1] - at > 1, raw[np.minimum(at + 1, len(raw) - 1)], 0)
+        two = (b == 101) & ((a == 114) | (a == 118)) | (a == 108) & (b == 108)
+        n = np.where(_ONE[a], 1, np.where(two, 2, 0))
+        stop[k] += n
+        start[k + 1] += n
+        keep = start < stop
+        start, stop = start[keep], stop[keep]
+    return start, stop
+
+
+class Encoder:
+    """Token ids of whole texts, as little-endian unsigned 16-bit numbers.
+
+    Pieces are cut and hashed in numpy, and their ids are found in a table of this process by open addressing; pieces
+    that it lacks are encoded together. Texts with characters of OTHER, special tokens, pieces over LONGEST bytes or
+    over BATCH bytes themselves are encoded one by one.
+    """
 
-    def __init__(self, path: str, end_id: int, most: int = 450_000):
+    def __init__(self, path: str, end_id: int, most: int = 900_000, bits: int = 21):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), np.array([end_id], dtype="<u2").tobytes(), most
+        self.tokenizer, self.end, self.most, self.bits = Tokenizer.from_file(path), np.array([end_id], dtype="<u2").tobytes(), most, bits
         self.special = [str(t.content).lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(1 << 16, dtype=bool)  # of tokens that end a piece
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.new: dict[str, None] = {}
-        self.old: dict[str, bytes] = {}  # the pieces before the last change of generation
-
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = self.old.get(piece)
-        if ids is None:
-            self.new[piece] = None
-        else:
-            self[piece] = ids
-        return ids
+        self.powers = []
+        base = int(_BYTE[0]) | 1
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(BATCH + 1, x, dtype=np.uint64)
+            p[0] = 1
+            self.powers.append(np.multiply.accumulate(p))
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
+        self.n, self.used = 0, 0  # pieces and ids kept
+        self.first, self.count, self.ids = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype="<u2")
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def learn(self) -> None:
-        pieces = list(self.new)
-        self.new = {}
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the kept pieces; -1 of those that are new."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        todo, slot, mask = np.arange(len(h)), self.slots(h), np.uint64((1 << self.bits) - 1)
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self.at[slot[hit]]
+            more = ~hit & (key != 0)
+            todo, slot = todo[more], (slot[more] + np.uint64(1)) & mask
+        return out
+
+    def keep(self, h: np.ndarray, pieces: list[str]) -> None:
+        """Adds new pieces, each once, with their ids."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u2")  # without offsets
-        stops, raw, at = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0
+        stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(pieces):
-            self.update((p, self.direct(p)) for p in pieces)
-            return
-        for p, stop in zip(pieces, stops):
-            self[p] = raw[at:stop]
-            at = stop
+            each = [self.direct(p) for p in pieces]
+            ids, stops = np.frombuffer(b"".join(each), dtype="<u2"), np.cumsum([len(x) // 2 for x in each])
+        new = np.arange(self.n, self.n + len(h))
+        for name, size in (("first", self.n + len(h)), ("count", self.n + len(h)), ("ids", self.used + len(ids))):
+            if len(x := getattr(self, name)) < size:
+                setattr(self, name, np.concatenate([x, np.zeros(max(size, len(x)), dtype=x.dtype)]))
+        self.first[new], self.count[new] = self.used + np.concatenate([[0], stops[:-1]]), np.diff(stops, prepend=0)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(h), self.used + len(ids)
+        todo, slot, mask = np.arange(len(h)), self.slots(h), np.uint64((1 << self.bits) - 1)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]  # of several for one slot the last stays
+            mine = free & (self.keys[slot] == h[todo])
+            self.at[slot[mine]] = new[todo[mine]]
+            todo, slot = todo[~mine], (slot[~mine] + np.uint64(1)) & mask
+
+    def encode_simple(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of lower-case texts without OTHER, BATCH bytes in all; None of those with a piece over LONGEST bytes."""
+        raw = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        start, stop = cut(raw)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        long = stop - start > LONGEST
+        odd = np.unique(np.searchsorted(ends, start[long], side="right")).tolist()
+        start, stop = start[~long], stop[~long]
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw] * self.powers[0][: len(raw)], out=sums[1:])
+        h = (sums[stop] - sums[start]) * self.powers[1][start] | np.uint64(1)
+        if self.n > self.most:
+            self.forget()
+        at = self.find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            keys, k = np.unique(h[new], return_index=True)
+            k = new[k]
+            data = raw.tobytes()
+            self.keep(keys, [data[a:b].decode() for a, b in zip(start[k].tolist(), stop[k].tolist())])
+            at[new] = self.find(h[new])
+        n = self.count[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
+        to = total[np.searchsorted(start, ends)].tolist()
+        out = ids.tobytes()
+        got: list[bytes | None] = [out[2 * a : 2 * b] for a, b in zip([0, *to[:-1]], to)]
+        for k in odd:
+            got[k] = None
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end id."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        out: list = []
-        for t in texts:
+        out: list = [None] * len(texts)
+        held, simple, size = [], [], 0
+
+        def flush() -> None:
+            for k, ids in zip(held, self.encode_simple(simple) if simple else ()):
+                out[k] = (self.direct(texts[k]) if ids is None else ids) + self.end
+            held.clear()
+            simple.clear()
+
+        for k, t in enumerate(texts):
             low = t.lower()
-            if OTHER.search(t) or any(x in low for x in self.special):
-                out.append(self.direct(t))
-            else:
-                pieces = PIECE.findall(low)
-                out.append((pieces, list(map(self.__getitem__, pieces))))
-        if self.new:
-            self.learn()
-        for k, x in enumerate(out):
-            if type(x) is bytes:
-                out[k] = x + self.end
+            if OTHER.search(t) or any(x in low for x in self.special) or len(raw := low.encode()) >= BATCH:
+                out[k] = self.direct(t) + self.end
                 continue
-            pieces, ids = x
-            at = -1
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    ids[at] = self[pieces[at]]
-            except ValueError:
-                out[k] = b"".join(ids) + self.end
+            if size + len(raw) + 1 > BATCH:
+                flush()
+                size = 0
+            held.append(k)
+            simple.append(raw)
+            size += len(raw) + 1
+        flush()
         return out
 
 

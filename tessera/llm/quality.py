@@ -39,10 +39,10 @@ class Model(NamedTuple):
 
 
 class Slots(dict):
-    """Word to slot; forgets all when it has grown to ``most`` words."""
+    """Word to slot; forgets all when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         slot = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
         return slot
