@@ -17,7 +17,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 class Mix(NamedTuple):
     docs: DataFrame  # a row for each document: doc_id, size, source_size, target, gi, at (its place in its source)
-    pieces: DataFrame  # a row for each draw of a document: doc_id, size, gi, at, epoch, taken, shard, position
+    pieces: DataFrame  # a row for each draw of a document: doc_id, size, gi, at, epoch, taken, shard, mix_order (its place in the shard)
     text_hash: Column
 
 
@@ -155,7 +155,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     pieces = d.where("size > 0").withColumn("epoch", F.explode(epochs)).withColumn("v", v).where("v < want")
     pieces = pieces.withColumn("taken", F.least("size", F.col("want") - F.col("v"))).withColumn("block", F.floor(F.col("v") / block).cast("long"))
     # Blocks are counted by where documents start; the last may have no start of its own.
-    pieces = pieces.join(plan(spark, [-(-w // block) for w in want], shard_blocks, seed), ["gi", "block"])
+    dealt = plan(spark, [-(-w // block) for w in want], shard_blocks, seed).hint("merge")  # a row a block: the planner would count a row a shard and broadcast it
+    pieces = pieces.join(dealt, ["gi", "block"])
     pieces = pieces.withColumn("mix_order", mixed_hash(F.lit(seed), "gi", "v"))
     keep = ["doc_id", "th", "size", "gi", "at", "epoch", "taken", "shard", "mix_order"]
     return Mix(d, pieces.select(*keep), mixed_hash("text"))
