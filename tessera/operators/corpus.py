@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
+from tessera.shipping import ship
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -119,6 +120,7 @@ TOOL_TEXTS = [
 
 def per_document(df: DataFrame, schema: str, f: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Rows that f yields for the values of each row of df, in Arrow batches."""
+    ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

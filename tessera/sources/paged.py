@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from tessera.shipping import ship
+
 Fetch = Callable[[dict, int], list[tuple]]
 
 
@@ -79,11 +81,13 @@ def polled_source(name: str, schema: str, poll: Callable[[dict, int], tuple[list
 
 
 def read(spark: SparkSession, source: type[DataSource], **options: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(**options).load()
 
 
 def read_stream(spark: SparkSession, source: type[DataSource], **options: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(source)
     return spark.readStream.format(source.name()).options(**options).load()
 
@@ -98,6 +102,7 @@ def embedded(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], li
                 vectors = [v for _, v in sorted(embed([t or "" for t in part.column(1).to_pylist()]), key=lambda x: x[0])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=[key, "embedding"])
 
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, embedding array<float>")
 
 

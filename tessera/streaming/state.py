@@ -19,11 +19,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tessera.shipping import ship
+
 Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
 
 
 def scan(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str) -> DataFrame:
     """Outputs of a step over each key's rows in order, from state None."""
+    ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,6 +46,7 @@ def scan(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str)
 
 def stream(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str, minutes: int | None = None) -> DataFrame:
     """Outputs of a step over a stream, as rows arrive; within a batch in order. State is kept as JSON by key, for ``minutes`` without rows if given."""
+    ship(df.sparkSession)
     names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
