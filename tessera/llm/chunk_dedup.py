@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, table
+from tessera.shipping import ship
 
 #: Number of bytes that a boundary depends on.
 REACH = 16
@@ -95,6 +96,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = 100, gap: int = 0) -> Dat
     part and is kept only if no row with one has the chunk. No rows: no rows. A chunk that a third of all rows hold is
     summed before the shuffle and meets its rows by broadcast.
     """
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = checkpoint(d.mapInArrow(_chunks(), "rid long, doc_id long, first int, starts array<int>, ends array<int>, digests array<long>, fresh array<boolean>"))
     found = cut.select("doc_id", F.explode(F.arrays_zip("digests", "fresh")).alias("c")).select("doc_id", F.col("c.digests").alias("digest"), F.col("c.fresh").cast("int").alias("fresh"))

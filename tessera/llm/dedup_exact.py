@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, table
+from tessera.shipping import ship
 
 #: Runs of the bytes that normalisation turns into one space.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -65,6 +66,7 @@ def exact_duplicates(docs: DataFrame, partitions: int | None = None, prefix: int
     doc_id stays, null only where all are null; of rows that repeat a doc_id and text one stays. No rows: no rows.
     Other columns are not read.
     """
+    ship(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
     t = t.withColumn("sha", F.sha2("text", 256)).withColumn("prefix", F.substring("text", 1, prefix))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, md5_hash, mixed_hash, prefix_sums, table
+from tessera.shipping import ship
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -131,6 +132,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     empty text. Rows that repeat another in full are drawn separately. No rows, or no words: nothing is drawn.
     """
     spark = docs.sparkSession
+    ship(spark)
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), md5_hash(F.col("doc_id")).alias("h"), mixed_hash("text").alias("th")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, table
+from tessera.shipping import ship
 
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
 SLOTS, PART = 1 << 22, 1 << 12
@@ -127,6 +128,7 @@ def idf_table(docs: DataFrame, size: int, floor: float = 0.75) -> np.ndarray:
     """
     import zstandard
 
+    ship(docs.sparkSession)
     parts = docs.select("text").mapInArrow(slot_counts(size), "part int, counts binary")
     sums = parts.repartition("part").mapInArrow(add_counts, "part int, counts binary")
     unpack, df, n = zstandard.ZstdDecompressor(), np.zeros((SLOTS // PART, PART), dtype=np.int64), 0

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, mixed_hash, prefix_sums, table
+from tessera.shipping import ship
 
 #: What a text has beyond the letters, digits, signs and white space whose pieces are known by heart.
 OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
@@ -294,6 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, s
     Null and empty texts are the end id alone. Null sources form one source. Rows that repeat another, or have no
     doc_id, are packed separately. No rows: no rows. Very long texts are cut over windows and partitions.
     """
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     tokens = checkpoint(d.mapInArrow(_tokenized(tokenizer, end_id), "doc_id long, source string, rid long, n long, ids binary"))
     stats = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import md5_hash, table
+from tessera.shipping import ship
 
 #: Slots for hashed words; statistics follow them.
 WORDS = 1 << 16
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     Labels with null doc_id or quality are left out; of labels that repeat a doc_id the largest counts. The bound on
     what the driver receives is ``sample`` lists of word slots.
     """
+    ship(docs.sparkSession)
     y = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     y = y.where(~held_out(F.col("doc_id"))).orderBy(md5_hash(F.col("doc_id")), "doc_id").limit(sample)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")  # at most sample rows

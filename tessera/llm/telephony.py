@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.shipping import ship
 
 BLOCK = 64
 #: Samples of an ADPCM block of BLOCK bytes: one in its header and two in each byte after it.
@@ -192,6 +193,7 @@ def telephony(docs: DataFrame, keep: bool = True) -> DataFrame:
     zero bytes. Equal texts have equal values; rows that repeat another stay. No rows: no rows. A task holds a few MB
     of files at a time, or one text if that is longer.
     """
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return d.mapInArrow(_store(keep), _SCHEMA + ", media binary, pcm binary" * keep)
 
