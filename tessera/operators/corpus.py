@@ -103,12 +103,12 @@ def fence_language(code: Column) -> Column:
 
 
 #: Link texts that say nothing.
-GENERIC = ["click here", "here", "this", "link", "this link", "read more", "more", "this page"]
+GENERIC = ["here", "click here", "click", "this", "this link", "this page", "link", "read more", "more", "learn more", "this document", "this article", "see this", "this one"]
 
 
 def generic_link(line: Column) -> Column:
     """Whether a line has a link with a text that says nothing."""
-    return F.exists(F.regexp_extract_all(line, F.lit(r"\[([^\]]+)\]\([^)]*\)"), F.lit(1)), lambda x: F.lower(F.trim(x)).isin(GENERIC))
+    return F.exists(F.regexp_extract_all(line, F.lit(r"(?<!!)\[([^\]\n]+)\]\([^)\n]+\)"), F.lit(1)), lambda x: F.lower(F.trim(x)).isin(GENERIC))
 
 
 #: Texts that hold each kind of leftover of a tool call, between what stays.
@@ -207,7 +207,8 @@ def main_text(pages: DataFrame, key: str, html: str, most: int = 15_000) -> Data
     return per_document(pages.select(key, html), f"{key} long, text string", lambda i, h: iter([(i, page_text(h, most))]))
 
 
-_FENCE, _HEADING = re.compile(r"^( {0,3})(`{3,}|~{3,})\s*(.*)$"), re.compile(r"^(#{1,6})\s+(.*?)(\s*#*\s*)$")
+_FENCE, _HEADING = re.compile(r"^( {0,3})(`{3,}|~{3,})(.*)$"), re.compile(r"^(#{1,6})[ \t]+(.+?)([ \t]+#+[ \t]*)?$")
+_ITEM, _LINK = re.compile(r"^ {0,3}([-*+]|\d+\.)[ \t]+"), re.compile(r"(?<!!)\[([^\]\n]+)\]\([^)\n]+\)")
 
 
 def protected(rows: Sequence[str]) -> tuple[list[bool], list[tuple[int, int]]]:
@@ -244,18 +245,46 @@ def leveled(rows: Sequence[str], mask: Sequence[bool]) -> list[tuple[int, int, i
     return out
 
 
-#: Words that keep their capitals in headings.
-PROPER = {"API", "JSON", "YAML", "HTML", "URL", "HTTP", "CLI", "SQL", "PDF", "README", "Python", "Markdown", "GitHub", "Linux"}
+#: Words with capitals of their own, as they are written.
+PROPER = [
+    "Python", "JavaScript", "TypeScript", "Node.js", "Markdown", "MDX", "JSX", "YAML", "JSON", "CSV", "HTML", "CSS", "Git", "GitHub", "GitLab", "Docker", "Linux", "macOS", "iOS", "Windows", "Finder",
+    "SQLite", "PostgreSQL", "MySQL", "React", "Vue", "Angular", "Docusaurus", "Nextra", "Astro", "Flet", "Briefcase", "Pydantic", "SQLAlchemy", "API", "CLI", "SDK", "UI", "IDE", "GUI", "OSS", "BSD", "MIT", "TLS",
+    "HTTP", "HTTPS", "URL", "AST", "NFKC", "RRF", "BM25", "H1", "H2", "H3", "H4", "H5", "H6", "Latin", "American", "English", "British", "Unicode", "Column", "Market",
+]
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = ["vs", "etc", "e.g", "i.e"]
+_OWN = {w.lower(): w for w in PROPER}
+
+
+def _cased(part: str, first: bool, begins: bool) -> str:
+    """One part between hyphens of a word; first: of a sentence; begins: of its word."""
+    if len(part) > 1 and part.isalpha() and part.isupper() or not first and len(part) == 1 and part.isupper():
+        return part
+    return part.capitalize() if first and begins else part.lower()
 
 
 def sentence(title: str) -> str:
-    """A heading in sentence case: the first word and those after a full stop begin with a capital; acronyms, proper names and identifiers stay."""
+    """A heading in sentence case: the first word of each sentence begins with a capital, others are in lower case, but for proper names, acronyms, paths and dotted names, single letters and code."""
     out, first = [], True
-    for w in title.split(" "):
-        core = w.strip("()[]\"'`,.:;!?")
-        keep = core in PROPER or core.isupper() and len(core) > 1 or any(c.isupper() for c in core[1:]) or "_" in core or "." in core or "`" in w
-        out.append(w if keep else w[:1].upper() + w[1:] if first else w[:1].lower() + w[1:])
-        first = bool(w) and w[-1] in ".!?:"
+    for word in title.split(" "):
+        core = word.strip("".join(c for c in set(word) if not c.isalnum())) if word else ""
+        if not core or re.fullmatch(r"[\d.]*\d[\d.)]*", word):
+            out.append(word)
+            continue
+        if len(word) > 1 and word[0] == word[-1] == "`":
+            out.append(word)
+            first = False
+            continue
+        at = word.index(core)
+        tail = word[at + len(core) :]
+        if core.lower() in _OWN:
+            new = _OWN[core.lower()]
+        elif "." in core or "/" in core:
+            new = core
+        else:
+            new = "-".join(_cased(x, first, k == 0) for k, x in enumerate(core.split("-")))
+        out.append(word[:at] + new + tail)
+        first = tail in (".", "!", "?") and core.lower() not in ABBREVIATIONS
     return " ".join(out)
 
 
@@ -270,13 +299,33 @@ def _guess(code: str) -> str:
     return "text"
 
 
+def _kinds(rows: Sequence[str]) -> Iterator[str]:
+    """prose, item, more (a line that goes on with an item) or other, of each line outside front matter and fences."""
+    mask, fences = protected(rows)
+    marks = {k for f in fences for k in f}
+    listed = False
+    for k, row in enumerate(rows):
+        if mask[k] or k in marks or not row.strip() or _HEADING.match(row):
+            listed = listed and (mask[k] or not row.strip())
+            yield "other"
+        elif _ITEM.match(row):
+            listed = True
+            yield "item"
+        elif listed and row.startswith((" ", "\t")):
+            yield "more"
+        else:
+            listed = False
+            yield "prose"
+
+
 def findings(text: str | None) -> Iterator[tuple[str, int, str, str]]:
     """(rule, line, before, after) of the rules in their order; each sees what those before it have changed."""
     rows = (text or "").split("\n")
     mask, _ = protected(rows)
     for k, level, new in leveled(rows, mask):
         if new != level:
-            after = "#" * new + rows[k][level:]
+            m = _HEADING.match(rows[k])
+            after = f"{'#' * new} {m[2]}{m[3] or ''}"
             yield "3.2", k + 1, rows[k], after
             rows[k] = after
     for rule in ("3.1", "3.6"):
@@ -285,7 +334,7 @@ def findings(text: str | None) -> Iterator[tuple[str, int, str, str]]:
                 continue
             title = sentence(m[2]) if rule == "3.1" else m[2][:-1].rstrip() if m[2].endswith(":") and not m[2].endswith("::") else m[2]
             if title and title != m[2]:
-                after = f"{m[1]} {title}{m[3]}"
+                after = f"{m[1]} {title}{m[3] or ''}"
                 yield rule, k + 1, row, after
                 rows[k] = after
     for a, b in protected(rows)[1]:
@@ -296,12 +345,16 @@ def findings(text: str | None) -> Iterator[tuple[str, int, str, str]]:
             rows[a] = after
     mask, _ = protected(rows)
     for k, row in enumerate(rows):
-        if not mask[k] and any(x.strip().lower() in GENERIC for x in re.findall(r"\[([^\]]+)\]\([^)]*\)", row)):
-            yield "7.1", k + 1, row, row
-    item = re.compile(r"^\s*([-*+]|\d+[.)])\s+")
-    for k in range(1, len(rows)):
-        if not mask[k] and item.match(rows[k]) and rows[k - 1].strip() and not item.match(rows[k - 1]) and not rows[k - 1].startswith((" ", "#", ">", "|", "```")) and not mask[k - 1]:
-            yield "6.1", k + 1, rows[k], "\n" + rows[k]
+        if not mask[k]:
+            for x in _LINK.findall(row):
+                if "`" not in x and x.strip().lower() in GENERIC:
+                    yield "7.1", k + 1, row, row
+    last, added = "other", 0
+    for k, kind in enumerate(_kinds(rows)):
+        if kind == "item" and last == "prose":
+            added += 1
+            yield "6.1", k + added, "", ""
+        last = kind
 
 
 def lint(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -144,21 +144,27 @@ def repaired_json(text: Column) -> Column:
     return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in tries])
 
 
-#: Packages whose modules have other names.
-ALIASES = {"cv2": "opencv-python", "PIL": "pillow", "bs4": "beautifulsoup4", "yaml": "pyyaml", "sklearn": "scikit-learn"}
+#: Packages of modules with other names, by the module's name in lower case; none of the standard library's.
+ALIASES = {
+    "pptx": "python-pptx", "docx": "python-docx", "xlsx": "openpyxl", "sklearn": "scikit-learn", "yaml": "PyYAML", "dotenv": "python-dotenv", "cv2": "opencv-python", "pil": "Pillow",
+    "bs4": "beautifulsoup4", "dateutil": "python-dateutil", "crypto": "pycryptodome", "jwt": "PyJWT", "sqlite3": "",
+}
 
 
-def dependency(raw: Column) -> Column:
-    """(kind, name, spec) of a dependency: ``cli:``, ``pip:`` or ``py:`` before it, ffmpeg a command, else Python; null for blank text."""
-    t = F.trim(raw)
-    body = F.regexp_replace(t, "^(cli|pip|py):", "")
-    name = F.regexp_extract(body, r"^([A-Za-z0-9_.\-]+)", 1)
-    kind = F.when(t.startswith("cli:") | (name == "ffmpeg"), "cli").otherwise("python")
-    return F.when(t != "", F.struct(kind.alias("kind"), name.alias("name"), body.alias("spec")))
+def dependency_alias(spec: Column) -> Column:
+    """The package of a module, with the version or extras that stand after it; empty for blank text and modules of the standard library."""
+    t = F.trim(spec)
+    base = F.trim(F.regexp_replace(t, r"[\[=<>!~].*$", ""))
+    known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[F.lower(base)]
+    other = F.when(known == "", "").otherwise(F.concat(known, F.substring(t, F.length(base) + 1, F.length(t) + 1)))
+    return F.when(base == "", "").when(known.isNull() | (known == base), t).otherwise(other)
 
 
-def dependency_alias(spec: Column) -> Column:
-    """The package of a module, with the version that stands after it."""
-    name = F.regexp_extract(spec, r"^([A-Za-z0-9_.\-]+)", 1)
-    known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.concat(F.coalesce(known[name], name), F.regexp_replace(spec, r"^[A-Za-z0-9_.\-]+", ""))
+def dependency(raw: Column) -> Column:
+    """(kind, name, spec) of a dependency: ``cli:``, ``pip:`` or ``py:`` before it, ffmpeg a command, else Python; kind none for what needs no installation."""
+    t = F.trim(raw)
+    cli = F.lower(t).startswith("cli:")
+    spec = F.when(cli, F.trim(F.regexp_replace(t, "^[^:]*:", ""))).otherwise(dependency_alias(F.regexp_replace(t, "(?i)^(pip|py):", "")))
+    name = F.when(cli, spec).otherwise(F.trim(F.regexp_replace(spec, r"[\[=<>!~].*$", "")))
+    kind = F.when(name == "", "none").when(cli | (F.lower(t) == "ffmpeg"), "cli").otherwise("python")
+    return F.struct(kind.alias("kind"), name.alias("name"), spec.alias("spec"))

@@ -311,9 +311,9 @@ def account_by_suffix(t: Tables):
     return t.customer.select(k.alias("k")).where(F.col("k").endswith(":user")).select(F.expr("substring_index(k, ':', 2)").alias("account")).distinct()
 
 
-@query("dedupe_similar_artifact", "SELECT p_brand AS ext, arg_min(p_partkey, p_partkey) AS first, count(DISTINCT regexp_replace(lower(p_name), '(final|v?[0-9]+|copy)', '', 'g')) AS stems FROM part GROUP BY p_brand")
+@query("dedupe_similar_artifact", r"SELECT p_brand AS ext, arg_min(p_partkey, p_partkey) AS first, count(DISTINCT regexp_replace(lower(p_name), '[_-]?(v\d+|final|draft|copy|backup|new|old)[_-]?', '', 'g')) AS stems FROM part GROUP BY p_brand")
 def dedupe_similar_artifact(t: Tables):
-    stem = F.regexp_replace(F.lower("p_name"), "(final|v?[0-9]+|copy)", "")
+    stem = F.regexp_replace(F.lower("p_name"), r"[_-]?(v\d+|final|draft|copy|backup|new|old)[_-]?", "")
     return t.part.groupBy(F.col("p_brand").alias("ext")).agg(F.min("p_partkey").alias("first"), F.count_distinct(stem).alias("stems"))
 
 
@@ -369,13 +369,13 @@ def fn_slim_json(t: Tables):
     return t.events.select("event_id", F.concat(F.lit("k="), F.get_json_object("props", "$.k")).alias("line"))
 
 
-@query("fn_parse_dep", "SELECT n_nationkey, (['cli', 'python', 'python', 'cli', 'python'])[n_nationkey % 5 + 1] AS kind, (['jq', 'numpy', 'cv2', 'ffmpeg', 'requests'])[n_nationkey % 5 + 1] AS name FROM nation")
+@query("fn_parse_dep", "SELECT n_nationkey, (['cli', 'python', 'python', 'cli', 'python'])[n_nationkey % 5 + 1] AS kind, (['jq', 'numpy', 'opencv-python', 'ffmpeg', 'requests'])[n_nationkey % 5 + 1] AS name FROM nation")
 def fn_parse_dep(t: Tables):
     raw = F.array(*[F.lit(x) for x in ("cli:jq", "pip:numpy>=1", "py:cv2", "ffmpeg", "requests[socks]==2")])[F.col("n_nationkey") % 5]
     return t.nation.select("n_nationkey", V.dependency(raw).alias("d")).select("n_nationkey", "d.kind", "d.name")
 
 
-@query("fn_dep_alias", "SELECT n_nationkey, (['opencv-python>=4', 'pillow', 'numpy==1'])[n_nationkey % 3 + 1] AS spec FROM nation")
+@query("fn_dep_alias", "SELECT n_nationkey, (['opencv-python>=4', 'Pillow', 'numpy==1'])[n_nationkey % 3 + 1] AS spec FROM nation")
 def fn_dep_alias(t: Tables):
     raw = F.array(*[F.lit(x) for x in ("cv2>=4", "PIL", "numpy==1")])[F.col("n_nationkey") % 3]
     return t.nation.select("n_nationkey", V.dependency_alias(raw).alias("spec"))

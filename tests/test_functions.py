@@ -192,6 +192,27 @@ def test_normal_path(raw, want):
     assert corpus.normal_path(raw, "docs") == want
 
 
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [
+        ("The Great API Guide", "The great API guide"), ("One Repo. One Learning Agent.", "One repo. One learning agent."), ("Lists vs. Tables", "Lists vs. tables"), ("1. First Step", "1. First step"),
+        ("Using `Foo Bar` With github", "Using `foo bar` with GitHub"), ("AST-based Multi-Platform Tools", "AST-based multi-platform tools"), ("Edit config.JSON Now", "Edit config.JSON now"), ("Alternative A Works", "Alternative A works"),
+    ],
+)
+def test_sentence_case(title, want):
+    assert corpus.sentence(title) == want
+
+
+def test_blank_before_list():
+    lines = "text\n- a\n  more\n- b\n\n# H\n- c\n> quote\n1. d\n```\n- e\n```\n- f"
+    assert [(r, k) for r, k, _, _ in corpus.findings(lines) if r == "6.1"] == [("6.1", 2), ("6.1", 10)]
+
+
+def test_dependencies(spark):
+    got = values(spark, evals.dependency, "cli: jq", "pip:numpy>=1", "py:cv2", "FFmpeg", "PIL[x]==2", "sqlite3", " ")
+    assert [(r.kind, r.name, r.spec) for r in got] == [("cli", "jq", "jq"), ("python", "numpy", "numpy>=1"), ("python", "opencv-python", "opencv-python"), ("cli", "FFmpeg", "FFmpeg"), ("python", "Pillow", "Pillow[x]==2"), ("none", "", ""), ("none", "", "")]
+
+
 def test_chunks():
     text = "\n\n".join(["a" * 30, "b" * 30, "Sentence one. " * 10])
     parts = corpus.split_chunks(text, 70)
