@@ -26,16 +26,22 @@ def front_matter(text: Column, *names: str) -> list[Column]:
 
 
 def skills(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
-    """(name, description, content, folder) of every ``*/SKILL.md``, those without a name in their front matter left out; without ``full`` no content."""
-    d = whole_files(spark, path, "SKILL.md")
+    return skills_of(whole_files(spark, path, "SKILL.md"), full)
+
+
+def skills_of(d: DataFrame, full: bool = True) -> DataFrame:
+    """(name, description, content, folder) of every ``*/SKILL.md`` of (path, value), those without a name in their front matter left out; without ``full`` no content."""
     d = d.select(*front_matter(F.col("value"), "name", "description"), F.regexp_replace("value", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "").alias("content"), F.regexp_extract("path", "([^/]+)/SKILL.md$", 1).alias("folder"))
     d = d.where("name is not null")
     return d if full else d.drop("content")
 
 
 def attached(spark: SparkSession, path: str) -> DataFrame:
+    return attached_of(whole_files(spark, path))
+
+
+def attached_of(d: DataFrame) -> DataFrame:
     """(folder, kind, files): scripts (``scripts/*.py``) and references (``references/*.md, txt, rst``) of each skill, file name to text; blank references are dropped."""
-    d = whole_files(spark, path)
     part = lambda k, n: F.regexp_extract("path", r"([^/]+)/(scripts|references)/([^/]+\.(?:py|md|txt|rst))$", k).alias(n)
     d = d.select(part(1, "folder"), part(2, "kind"), part(3, "file"), "value").where("kind <> ''")
     d = d.where("(kind = 'scripts' and file like '%.py') or (kind = 'references' and file not like '%.py' and trim(value) <> '')")
@@ -43,8 +49,12 @@ def attached(spark: SparkSession, path: str) -> DataFrame:
 
 
 def jsonl_events(spark: SparkSession, path: str, schema: str = EVENT, strict: bool = False) -> DataFrame:
+    return events_of(whole_files(spark, path), schema, strict)
+
+
+def events_of(d: DataFrame, schema: str = EVENT, strict: bool = False) -> DataFrame:
     """Events of JSON lines. Blank lines are skipped, as are lines that do not parse; with ``strict`` a file's rows after its first bad line are too."""
-    lines = whole_files(spark, path).select("path", F.posexplode(F.split("value", "\n")).alias("line", "text")).where("trim(text) <> ''")
+    lines = d.select("path", F.posexplode(F.split("value", "\n")).alias("line", "text")).where("trim(text) <> ''")
     d = lines.withColumn("event", F.from_json("text", schema)).withColumn("bad", F.try_parse_json("text").isNull())
     if strict:
         first = d.where("bad").groupBy("path").agg(F.min("line").alias("__stop"))
@@ -53,9 +63,14 @@ def jsonl_events(spark: SparkSession, path: str, schema: str = EVENT, strict: bo
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of JSON documents with a ``runs`` list, numbered from 1."""
-    d = spark.read.schema(f"runs array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in RUN.split(','))}>>").option("multiLine", True).json(path)
-    return d.select(F.posexplode("runs").alias("k", "r")).select((F.col("k") + 1).alias("run"), "r.*")
+    return runs_of(whole_files(spark, path, recursive=False)).drop("path")
+
+
+def runs_of(d: DataFrame) -> DataFrame:
+    """Runs of JSON documents (path, value) with a ``runs`` list, numbered from 1."""
+    schema = f"runs array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in RUN.split(','))}>>"
+    d = d.select("path", F.posexplode(F.from_json("value", schema)["runs"]).alias("k", "r"))
+    return d.select("path", (F.col("k") + 1).alias("run"), "r.*")
 
 
 def git_log(text: DataFrame, column: str = "value", record: str = "\x1e", field: str = "\x1f") -> DataFrame:
@@ -78,8 +93,11 @@ LANGUAGES = {"py": "python", "cs": "csharp", "ts": "typescript", "tsx": "typescr
 
 
 def source_tree(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """(path, language, value) of the source files below a folder, but those whose path matches a pattern of ``exclude``."""
-    d = whole_files(spark, path)
+    return sources_of(whole_files(spark, path), exclude)
+
+
+def sources_of(d: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    """(path, language, value) of the source files of (path, value), but those whose path matches a pattern of ``exclude``."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     d = d.withColumn("language", F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix]).where("language is not null")
     for p in exclude:
@@ -92,20 +110,27 @@ def markdown_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_tree(spark: SparkSession, path: str, depth: int = 3) -> DataFrame:
-    """(name, folder, is_dir, length) of files up to a depth and their folders, folders first, then by name without case."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     root = path.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_extract("path", rf"/{root}/(.*)$", 1)
-    d = d.select(F.split(rel, "/").alias("p"), "length")
+    return tree_of(d.select(F.regexp_extract("path", rf"/{root}/(.*)$", 1).alias("path"), "length"), depth).orderBy("folder", F.col("is_dir").desc(), F.lower("name"))
+
+
+def tree_of(d: DataFrame, depth: int = 3) -> DataFrame:
+    """(name, folder, is_dir, length) of files (path, length) up to a depth and of their folders."""
+    d = d.select(F.split("path", "/").alias("p"), "length")
     files = d.where(F.size("p") <= depth).select(F.element_at("p", -1).alias("name"), F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/").alias("folder"), F.lit(False).alias("is_dir"), "length")
     ups = d.where(F.size("p") > 1).select(F.explode(F.sequence(F.lit(1), F.least(F.size("p") - 1, F.lit(depth)))).alias("k"), "p")
     dirs = ups.select(F.element_at("p", F.col("k")).alias("name"), F.array_join(F.slice("p", F.lit(1), F.col("k") - 1), "/").alias("folder"), F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("length")).distinct()
-    return dirs.unionByName(files).orderBy("folder", F.col("is_dir").desc(), F.lower("name"))
+    return dirs.unionByName(files)
 
 
 def eval_runs(spark: SparkSession, path: str) -> DataFrame:
+    return eval_runs_of(whole_files(spark, path, "grading.json"))
+
+
+def eval_runs_of(d: DataFrame) -> DataFrame:
     """(eval_id, config, run_number, pass_rate, passed, failed, total, time_seconds, tool_calls, errors) of ``eval-*/<config>/run-*/grading.json``; files that do not parse are left out."""
-    d = whole_files(spark, path, "grading.json").withColumn("g", F.from_json("value", GRADING)).where(F.try_parse_json("value").isNotNull())
+    d = d.withColumn("g", F.from_json("value", GRADING)).where(F.try_parse_json("value").isNotNull())
     part = lambda k: F.regexp_extract("path", r"eval-(\d+)/(?:runs/)?([^/]+)/run-(\d+)/grading\.json$", k)
     return d.select(
         part(1).try_cast("int").alias("eval_id"), part(2).alias("config"), part(3).try_cast("int").alias("run_number"), *[F.coalesce(f"g.summary.{c}", F.lit(0)).alias(c) for c in ("pass_rate", "passed", "failed", "total")],
