@@ -381,9 +381,9 @@ def sentence_case(df: DataFrame, key: str, title: str) -> DataFrame:
     return per_document(df.select(F.col(key).cast("long").alias(key), title), f"{key} long, title string", lambda i, t: iter([(i, sentence(t or ""))]))
 
 
-def _definitions(code: str | None) -> Iterator[tuple[str, str, str, str | None]]:
+def _python(code: str) -> Iterator[tuple[str, str, str, str | None]]:
     try:
-        tree = ast.parse(code or "")
+        tree = ast.parse(code)
     except SyntaxError:
         return
     for node in ast.walk(tree):
@@ -394,9 +394,51 @@ def _definitions(code: str | None) -> Iterator[tuple[str, str, str, str | None]]
             yield "class", node.name, f"{node.name}({', '.join(map(ast.unparse, node.bases))})", ast.get_docstring(node)
 
 
-def signatures(files: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, kind, name, signature, doc) of the functions and classes of Python sources; none of a source that does not parse. Code is read, never run."""
-    return per_document(files.select(key, code), f"{key} long, kind string, name string, signature string, doc string", lambda i, c: ((i, *d) for d in _definitions(c)))
+_ARGS = r"(?P<args>\((?:[^()]|\([^()]*\))*\))"
+#: (kind, pattern) of declarations with the name as a group; a line of its own each.
+_DECLARED = {
+    "typescript": [
+        ("class", r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[A-Za-z_$][\w$]*)"),
+        ("interface", r"(?:export\s+)?interface\s+(?P<name>[A-Za-z_$][\w$]*)"),
+        ("function", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\s*" + _ARGS + r"(?P<type>\s*:\s*[^{;=]+)?"),
+        ("function", r"(?:export\s+)?const\s+(?P<name>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?" + _ARGS + r"(?P<type>\s*:\s*[^={]+)?\s*=>"),
+        ("method", r"(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|new\b)[A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?" + _ARGS + r"(?P<type>\s*:\s*[^{;=]+)?\s*\{"),
+    ],
+    "csharp": [
+        ("class", r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial)\s+)*(?:class|struct|record|interface|enum)\s+(?P<name>[A-Za-z_]\w*)"),
+        ("method", r"(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|new)\s+)+(?P<type>[\w<>\[\],.?]+)\s+(?P<name>[A-Za-z_]\w*)\s*(?:<[^>]*>)?\s*" + _ARGS),
+    ],
+}
+_COMMENT = re.compile(r"(?:/\*\*(?P<block>(?:[^*]|\*(?!/))*)\*/|(?P<lines>(?:[ \t]*///[^\n]*\n)+))[ \t]*\n?\s*$")
+
+
+def _declared(language: str, code: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """Declarations of languages with braces by their shape, with the comment that stands before each."""
+    found = {}
+    for kind, pattern in _DECLARED[language]:
+        for m in re.finditer(rf"(?m)^[ \t]*{pattern}", code):
+            found.setdefault(m.start(), (kind, m))
+    for at, (kind, m) in sorted(found.items()):
+        g = m.groupdict()
+        doc = None
+        if c := _COMMENT.search(code[:at]):
+            body = c["block"] if c["block"] is not None else c["lines"]
+            doc = "\n".join(x for x in (re.sub(r"^\s*(\*|///)?\s?|</?summary>", "", y).strip() for y in body.splitlines()) if x) or None
+        args = " ".join((g.get("args") or "").split())
+        yield kind, g["name"], g["name"] + args + (f": {g['type'].lstrip(' :').strip()}" if g.get("type") else ""), doc
+
+
+def _definitions(language: str | None, code: str | None) -> Iterator[tuple[str, str, str, str | None]]:
+    if language == "python":
+        yield from _python(code or "")
+    elif language in _DECLARED:
+        yield from _declared(language, code or "")
+
+
+def signatures(files: DataFrame, key: str, code: str, language: str | None = None) -> DataFrame:
+    """(key, kind, name, signature, doc) of the functions and classes of sources: Python by its syntax tree, TypeScript and C# by the shape of declarations; none of a source that does not parse. language: a column, or none for Python. Code is read, never run."""
+    d = files.select(key, F.col(language) if language else F.lit("python"), code)
+    return per_document(d, f"{key} long, kind string, name string, signature string, doc string", lambda i, l, c: ((i, *d) for d in _definitions(l, c)))
 
 
 def _modules(code: str | None) -> list[str]:

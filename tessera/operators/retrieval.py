@@ -27,7 +27,7 @@ def lengths(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
     return docs.select(key, total.alias("length"))
 
 
-def document_frequency(posts: DataFrame, n: Column | int | None = None) -> DataFrame:
+def document_frequency(posts: DataFrame) -> DataFrame:
     """(term, df): number of documents that have a term."""
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -35,26 +35,29 @@ def document_frequency(posts: DataFrame, n: Column | int | None = None) -> DataF
 def bm25_search(docs: DataFrame, key: str, query: Sequence[str], k: int = 10, fields: dict[str, int] | None = None) -> DataFrame:
     """(key, score): the k documents with the highest positive BM25 score; ties by key. A term that the query repeats counts as often.
 
-    Only postings of the query's terms are counted: the filter stands before the shuffle, so what moves is a few rows a
-    document. Corpus statistics are one row. A query without terms finds nothing.
+    Only the query's terms leave a document, with its length, so what is shuffled is a few rows of the documents that
+    have any; lengths need no join. Corpus statistics are one row. A query without terms finds nothing.
     """
     fields = fields or {"text": 1}
     spark = docs.sparkSession
     terms = spark.createDataFrame([(t, query.count(t)) for t in dict.fromkeys(query)], "term string, times int")
-    length = lengths(docs, key, fields)
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    hits = None
+    length, hits = F.lit(0).cast("long"), []
     for f, w in fields.items():
-        words = F.filter(T.tokens(F.col(f)), lambda t: t.isin(list(query) or [""]))
-        part = docs.select(key, F.explode(words).alias("term"), F.lit(w).cast("long").alias("w"))
-        hits = part if hits is None else hits.unionByName(part)
-    posts = hits.groupBy(key, "term").agg(F.sum("w").alias("tf"))
-    scored = posts.join(F.broadcast(document_frequency(posts)), "term").join(F.broadcast(terms), "term")  # both have a row for each term of the query
-    scored = scored.join(length, key).crossJoin(F.broadcast(stats))
+        length = length + F.size(T.tokens(F.col(f))) * w
+        hits.append(_weighed(F.filter(T.tokens(F.col(f)), lambda t: t.isin(list(query) or [""])), w))
+    base = docs.select(key, length.alias("length"), F.concat(*hits).alias("hits"))
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+    posts = base.where(F.size("hits") > 0).select(key, "length", F.explode("hits").alias("h")).groupBy(key, "length", "h.term").agg(F.sum("h.w").alias("tf"))
+    df = document_frequency(posts)  # like the terms, a row for each term of the query
+    scored = posts.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))
     part = T.bm25_term(T.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("average")) * F.col("times")
     return scored.groupBy(key).agg(F.sum(part).alias("score")).where("score > 0").orderBy(F.col("score").desc(), key).limit(k)
 
 
+def _weighed(words: Column, w: int) -> Column:
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(w).cast("long").alias("w")))
+
+
 def vector_search(vectors: DataFrame, key: str, column: str, query: Sequence[float], k: int = 10, least: float | None = None) -> DataFrame:
     """(key, sim): the k vectors of the highest cosine similarity (not below 0), ties by key; with ``least`` those below it are left out. Each task keeps its own k."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -213,6 +213,17 @@ def test_dependencies(spark):
     assert [(r.kind, r.name, r.spec) for r in got] == [("cli", "jq", "jq"), ("python", "numpy", "numpy>=1"), ("python", "opencv-python", "opencv-python"), ("cli", "FFmpeg", "FFmpeg"), ("python", "Pillow", "Pillow[x]==2"), ("none", "", ""), ("none", "", "")]
 
 
+def test_signatures(spark):
+    ts = "/** Adds. */\nexport function add(a: number, b: (x: number) => void): number {\n  if (a) { return b }\n}\nexport class Box extends Base {\n  private async open(key: string): Promise<void> {\n  }\n}\nconst go = async (x) => x\n"
+    cs = "/// <summary>\n/// A box.\n/// </summary>\npublic sealed class Box : IBox\n{\n    public static int Add(int a, List<int> b)\n    {\n    }\n}\n"
+    df = spark.createDataFrame([(1, "typescript", ts), (2, "csharp", cs), (3, "python", "def f(a, *b) -> int:\n    'Doc'\n"), (4, "python", "def ("), (5, "go", "x"), (6, None, None)], "id long, lang string, code string")
+    got = sorted(tuple(r) for r in corpus.signatures(df, "id", "code", "lang").collect())
+    assert got == [
+        (1, "class", "Box", "Box", None), (1, "function", "add", "add(a: number, b: (x: number) => void): number", "Adds."), (1, "function", "go", "go(x)", None), (1, "method", "open", "open(key: string): Promise<void>", None),
+        (2, "class", "Box", "Box", "A box."), (2, "method", "Add", "Add(int a, List<int> b): int", None), (3, "function", "f", "f(a, *b) -> int", "Doc"),
+    ]
+
+
 def test_chunks():
     text = "\n\n".join(["a" * 30, "b" * 30, "Sentence one. " * 10])
     parts = corpus.split_chunks(text, 70)

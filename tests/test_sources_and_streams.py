@@ -1,11 +1,12 @@
 import datetime
 import json
+import zipfile
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import files, paged, sinks
+from tessera.sources import files, paged, sinks, xlsx
 from tessera.streaming import state as St
 
 
@@ -67,6 +68,20 @@ def test_eval_runs(spark, tmp_path):
     assert [(r.eval_id, r.config, r.run_number, r.pass_rate, r.time_seconds) for r in got] == [(3, "with", 2, 0.5, 0.0)]
 
 
+def test_xlsx(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main}><sheets><sheet name="One" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>he</t><t>llo</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="e"><f>1/0</f><v>#DIV/0!</v></c><c r="C1"/></row></sheetData></worksheet>')
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    got = xlsx.read_cells(spark, str(tmp_path))
+    assert sorted((r.sheet, r.cell, r.value, r.formula) for r in got.collect()) == [("One", "A1", "hello", None), ("One", "B1", "#DIV/0!", "1/0")]
+    assert [(r.token, r.n, r.places) for r in xlsx.error_summary(got).collect()] == [("#DIV/0!", 1, ["One!B1"])]
+    assert [r.formulas for r in xlsx.formula_count(got).collect()] == [1]
+
+
 def test_paged_and_polled(spark, tmp_path):
     source = paged.paged_source("catalog", "page int, name string", lambda options, k: [(k, options["q"] + str(k))], 3)
     assert {tuple(r) for r in paged.read(spark, source, q="x").collect()} == {(0, "x0"), (1, "x1"), (2, "x2")}
