@@ -47,8 +47,8 @@ def bm25_search(docs: DataFrame, key: str, query: Sequence[str], k: int = 10, fi
         hits.append(_weighed(F.filter(T.tokens(F.col(f)), lambda t: t.isin(list(query) or [""])), w))
     base = docs.select(key, length.alias("length"), F.concat(*hits).alias("hits"))
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    posts = base.where(F.size("hits") > 0).select(key, "length", F.explode("hits").alias("h")).groupBy(key, "length", "h.term").agg(F.sum("h.w").alias("tf"))
-    df = document_frequency(posts)  # like the terms, a row for each term of the query
+    posts = base.select(key, "length", F.explode("hits").alias("h")).groupBy(key, "length", "h.term").agg(F.sum("h.w").alias("tf"))
+    df = posts.groupBy("term").agg(F.count("tf").alias("df"))  # like the terms, a row for each term of the query; it counts tf so that both sides are one exchange
     scored = posts.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))
     part = T.bm25_term(T.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("average")) * F.col("times")
     return scored.groupBy(key).agg(F.sum(part).alias("score")).where("score > 0").orderBy(F.col("score").desc(), key).limit(k)
@@ -70,7 +70,7 @@ def ranked(lists: DataFrame, strategy: str, score: str, name: str) -> DataFrame:
     return lists.withColumn("rank", F.row_number().over(Window.partitionBy(strategy).orderBy(F.col(score).desc(), name)))
 
 
-def fuse(lists: DataFrame, name: str = "name", remote: str | None = None) -> DataFrame:
+def fuse(lists: DataFrame, name: str = "name") -> DataFrame:
     """One row for each name of ranked lists (name, strategy, source, rank, score): ranks, fused score, match type and source.
 
     A local row wins over a remote one of the same name. Ranks of the lexical and the vector list are fused by
