@@ -52,14 +52,18 @@ def placed(a: Column, k: int) -> Column:
     return F.transform(a, lambda g, i: F.struct(F.lit(k).alias("k"), i.alias("at"), g.alias("gram")))
 
 
-def template_grams(spark: SparkSession, phrases: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
-    """(k, gram, template, label, base, place, n_grams): the positions of every template's k-grams; k is 4, but 2 for phrases and templates of fewer words."""
+def gram_rows(phrases: Mapping[str, str], templates: Mapping[str, str]) -> list[tuple[int, str, int, str, bool, int, int]]:
     rows = []
     for i, (text, label) in enumerate([*phrases.items(), *templates.items()]):
         w, base = words_in(text), i < len(phrases)
         n = 2 if base or len(w) < 4 else 4
         rows += [(n, " ".join(w[p : p + n]), i, label, base, p, len(w) - n + 1) for p in range(len(w) - n + 1)]
-    return spark.createDataFrame(rows, "k int, gram string, template int, label string, base boolean, place int, n_grams int")
+    return rows
+
+
+def template_grams(spark: SparkSession, phrases: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
+    """(k, gram, template, label, base, place, n_grams): the positions of every template's k-grams; k is 4, but 2 for phrases and templates of fewer words."""
+    return spark.createDataFrame(gram_rows(phrases, templates), "k int, gram string, template int, label string, base boolean, place int, n_grams int")
 
 
 def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, drift: int = 3, least: float = 0.7) -> DataFrame:
@@ -111,3 +115,24 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    grams = ",\n".join(f"({k}, '{g}', {t}, '{label}', {base}, {p}, {n})" for k, g, t, label, base, p, n in gram_rows(PHRASES, TEMPLATES))
+    return rf"""
+WITH g(k, gram, template, label, base, place, n_grams) AS (VALUES {grams}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents),
+x AS (SELECT rid, k, i, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT rid, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM d, (VALUES (2), (4)) v(k) WHERE len(w) >= k)),
+m AS (SELECT rid, template, label, base, n_grams, place, i, i - place AS diagonal FROM x JOIN g USING (k, gram)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM
+  (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT rid, template, diagonal FROM m))),
+s AS (SELECT m.rid, label, base, count(DISTINCT place) / n_grams::DOUBLE AS share, min(i) AS lo FROM m JOIN b ON b.rid = m.rid AND b.template = m.template AND b.diagonal = m.diagonal
+  GROUP BY m.rid, m.template, label, base, n_grams, CASE WHEN base THEN m.diagonal ELSE run END),
+r AS (SELECT rid, count(*) FILTER (base AND share >= 1) AS n_base, min(lo) FILTER (base AND share >= 1) AS first_word, max(lo) FILTER (base AND share >= 1) AS last_word,
+  list_sort(list(DISTINCT label) FILTER (base AND share >= 1)) AS base_labels, list_sort(list(DISTINCT label) FILTER (share >= CASE WHEN base THEN 1 ELSE 0.7 END)) AS labels, max(share) AS score FROM s GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
+OP5_SQL = _sql()

@@ -8,6 +8,7 @@ import pytest
 
 from tessera.llm.registry import ORACLES, QUERIES
 from tests.llm.conftest import EDGE, frame
+from tests.llm.test_text_and_audio import LICENSED
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +40,8 @@ def test_edges_equal_sql(spark, tmp_path):
     keep = [r for r in EDGE if r[0] is not None or r[1]]
     frame(spark, keep).select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
     compare(spark, "op1_mix", str(tmp_path), ["documents"])
+    frame(spark, EDGE + LICENSED * 2).select("doc_id", "text").write.parquet(f"{tmp_path}/c/documents.parquet")
+    compare(spark, "op5_licenses", f"{tmp_path}/c", ["documents"])
     frame(spark, [r for r in keep if r[0] not in (9, None)]).select("doc_id", "text").write.parquet(f"{tmp_path}/b/documents.parquet")
     compare(spark, "op10_exact_dedup", f"{tmp_path}/b", ["documents"])
     link = [(1, "http://bad.org/1", '<a href="http://spam.net/x"> <A HREF=//mid.org/>'), (2, "http://spam.net/x", ""), (3, "http://mid.org/1", "<a href='http://q.org/y'>"), (4, "http://q.org/fr/y", None), (5, None, "<a href='http://z.org'>")]
