@@ -266,9 +266,13 @@ def candidates(pool: DataFrame, nodes: DataFrame, turn: int, share: float) -> Da
     return full.select("a", "b", agree.alias("n")).where(F.col("n") >= share * F.size("samples_a"))
 
 
-def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
-    """(node, text) of the nodes in pairs, from a row that stands for each; repeats: rows may repeat a doc_id and text."""
-    used = joined(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")), "node")
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def texts_of(d: DataFrame, nodes: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """(node, text) of wanted nodes, from a row that stands for each; repeats: rows may repeat a doc_id and text."""
+    used = joined(wanted, nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")), "node")
     found = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), "th", "text").join(used.hint("shuffle_hash"), ["__id", "th"]).select("node", "text")
     return found.groupBy("node").agg(F.first("text").alias("text")) if repeats else found
 
@@ -276,9 +280,8 @@ def texts_of(d: DataFrame, nodes: DataFrame, pairs: DataFrame, repeats: bool) ->
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
 
-    Texts are multisets of shingles of ``size`` words (``word_hashes``), weighed by count
-    times inverse document frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands
-    of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.9998.
+    Texts are multisets of shingles of ``size`` words (``word_hashes``), weighed by count times inverse document
+    frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.9998.
     In a bucket every node is paired with the two that come first and last in a hash order, another one in each bucket.
     Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 1 in 100,000).
     Each node's pair with the most is verified by weighted Jaccard similarity first, then all pairs of nodes that are
@@ -324,7 +327,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     repeats = not signed.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
     inside = checkpoint(nodes.select("node", F.explode("bands").alias("band"), F.col("node").alias("label")))
     pairs = checkpoint(candidates(inside, nodes, 0, share))
-    texts = checkpoint(texts_of(d, nodes, pairs, repeats))
+    texts = checkpoint(texts_of(d, nodes, ends_of(pairs), repeats))
     best = checkpoint(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b"))
     edges = checkpoint(verified(best, texts, idf, size, least))
     for turn in range(1, turns + 1):
@@ -337,7 +340,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
         else:
             pool = joined(inside.select("node", "band"), labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
             rest = candidates(checkpoint(pool), nodes, turn, share).select("a", "b")
-        more = checkpoint(verified(checkpoint(rest), texts, idf, size, least))
+        rest = checkpoint(rest)
+        lacking = checkpoint(joined(ends_of(rest), texts.select("node"), "node", "left_anti")) if turn > 1 else None
+        if lacking is not None and not lacking.isEmpty():
+            texts = checkpoint(texts.unionByName(texts_of(d, nodes, lacking, repeats)))
+        more = checkpoint(verified(rest, texts, idf, size, least))
         if more.isEmpty():
             break
         edges = checkpoint(edges.unionByName(more))
