@@ -9,10 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Spark's own bound on a batch that goes to a Python worker, and the one set here. Texts can be long, and each worker of an executor holds a batch.
+BATCH, DEFAULT, LESS = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once for each application: workers import functions of it by name."""
+    """Adds the package to the session's Python files, once for each application: workers import functions of it by name. Batches to workers are bounded by LESS, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, LESS)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
