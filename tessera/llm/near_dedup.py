@@ -85,20 +85,24 @@ def slot_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        total, held, n, docs = np.zeros(SLOTS, dtype=np.int64), [], 0, 0
+        total, held, n, docs = np.zeros(SLOTS, dtype=np.int32), [], 0, 0
+
+        def add() -> None:
+            np.add(total, np.bincount(np.concatenate(held).astype(np.int64), minlength=SLOTS), out=total, casting="same_kind")
+
         for b in batches:
             for text in b.column(0):
                 x, _ = shingles(word_hashes(text.as_py()), size)
                 held.append(x & np.uint64(SLOTS - 1))
                 n, docs = n + len(x), docs + 1
-                if n > 1 << 21:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=SLOTS)
+                if n > 1 << 20:
+                    add()
                     held, n = [], 0
         if held:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=SLOTS)
+            add()
         pack, parts = zstandard.ZstdCompressor(level=1), total.reshape(-1, PART)
         some = np.flatnonzero(parts.any(axis=1)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*(pack.compress(parts[i].tobytes()) for i in some), pack.compress(np.int64(docs).tobytes())], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*(pack.compress(parts[i].astype(np.int64).tobytes()) for i in some), pack.compress(np.int64(docs).tobytes())], pa.binary())], names=["part", "counts"])
 
     return run
 
