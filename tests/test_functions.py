@@ -235,3 +235,14 @@ def test_page_text():
     html = "<nav>menu</nav><article><h1>Title</h1><p>Body &amp; more</p><script>x()</script></article><footer>f</footer>"
     assert corpus.page_text(html, 100) == "# Title\nBody & more"
     assert corpus.page_text(None, 10) == ""
+
+
+def test_batches_to_workers_are_bounded(spark):
+    from tessera import shipping
+
+    shipping.ship(spark)
+    assert spark.conf.get(shipping.BATCH) == shipping.LESS
+    spark.conf.set(shipping.BATCH, "1m")
+    shipping.ship(spark)
+    assert spark.conf.get(shipping.BATCH) == "1m"  # a bound of the session's own stays
+    spark.conf.unset(shipping.BATCH)
