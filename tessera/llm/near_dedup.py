@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, table
+from tessera.llm import common
+from tessera.llm.common import table
 from tessera.shipping import ship
 
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
@@ -202,13 +203,12 @@ def joined(df: DataFrame, other: DataFrame, key, how: str = "inner") -> DataFram
     return df.join(other.hint("merge"), key, how)
 
 
-def release() -> None:
-    """Lets Spark remove shuffle files and checkpoints that nothing refers to any more."""
-    from pyspark import SparkContext
-
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, kept in the checkpoint folder. Spark is then asked to remove the shuffle files and checkpoints that nothing refers to any more: the many steps here would else keep theirs until the driver happens to collect its garbage."""
+    out = common.checkpoint(df)
     gc.collect()
-    if SparkContext._active_spark_context is not None:
-        SparkContext._active_spark_context._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def components(edges: DataFrame, turns: int | None = None, most: int = 60) -> DataFrame:
@@ -264,6 +264,7 @@ def candidates(pool: DataFrame, nodes: DataFrame, turn: int, share: float) -> Da
     ends = checkpoint(ends.select("band", F.array("lo", "hi").alias("leads")))
     led = joined(pool, ends, "band").select("node", "label", F.explode("leads").alias("lead")).where("label <> lead.label")
     pairs = checkpoint(led.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
+    del led, ends
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("samples").alias(f"samples_{c}"))
     full = joined(checkpoint(joined(pairs, of("a"), "a")), of("b"), "b")
     agree = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda v: v))
@@ -335,7 +336,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     best = checkpoint(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b"))
     edges = checkpoint(verified(best, texts, idf, size, least))
     for turn in range(1, turns + 1):
-        release()
         labels = components(edges, turns=1)
         if turn == 1:
             of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
@@ -352,7 +352,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
         if more.isEmpty():
             break
         edges = checkpoint(edges.unionByName(more))
-    release()
     labels = components(edges)
     known = checkpoint(joined(nodes.select("node", "first_id"), labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
     classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))
