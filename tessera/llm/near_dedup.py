@@ -282,6 +282,97 @@ def texts_of(d: DataFrame, nodes: DataFrame, wanted: DataFrame, repeats: bool) -
     return found.groupBy("node").agg(F.first("text").alias("text")) if repeats else found
 
 
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (band, i, j) of one sorted partition."""
+    key, held = None, []
+    for b in batches:
+        keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("band", "i", "j")], axis=1).astype(np.int64)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()] if len(keys) else []
+        for start, stop in zip(starts, [*starts[1:], len(keys)]):
+            if held and key != keys[start].tolist():
+                yield pa.Table.from_batches(held)
+                held = []
+            key = keys[start].tolist()
+            held.append(b.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def meetings(t: pa.Table, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, n, labels) of one cell: the rows of different label of which this is the first common bucket and n samples agree, at least ``share`` of them, most first; numbers of the rows' labels."""
+    of = lambda c: t.column(c).combine_chunks()
+    i, j, k, own = (of(c).to_numpy() for c in ("i", "j", "k", "own"))
+    samples, keys = (of(c).flatten().to_numpy().reshape(len(own), -1) for c in ("samples", "bands"))
+    labels = of("label").dictionary_encode().indices.to_numpy()
+    left, right, found = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]), []
+    for at in range(0, len(left), 64):
+        l = left[at : at + 64]  # noqa: E741
+        agree = (samples[l, None] == samples[None, right]).sum(axis=2)
+        ok = (agree >= share * samples.shape[1]) & (labels[l, None] != labels[None, right])
+        if i[0] == j[0]:
+            ok &= l[:, None] < right[None]
+        x, y = np.nonzero(ok)
+        first = (keys[l[x]] == keys[right[y]]).argmax(axis=1) == k[0]
+        found.append((l[x][first], right[y][first], agree[x, y][first]))
+    p, q, n = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=np.int64) for c in range(3))
+    order = np.argsort(-n, kind="stable")
+    return p[order], q[order], n[order], labels
+
+
+def all_links(pool: DataFrame, nodes: DataFrame, texts_for, idf, size: int, least: float, share: float, block: int = 512) -> DataFrame:
+    """(a, b): links that connect all nodes of different labels that share a bucket and are similar by at least ``least``.
+
+    The nodes of a bucket are dealt by hash to blocks of about ``block``, and each two blocks meet in a cell of their
+    own, so a bucket of any size spreads over tasks. Pairs meet in the first bucket they share. In a cell those whose
+    samples agree most are verified first, and those that links of the cell connect by then are left out. Buckets of
+    up to three nodes have met by their leaders. texts_for: (node, text) of given nodes; they go only to cells in which
+    they have partners.
+    """
+    n = pool.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high and n > 3")
+    mixed = checkpoint(joined(pool, checkpoint(n.select("band", F.ceil(F.col("n") / block).cast("int").alias("m"))), "band"))
+    rows = joined(mixed, nodes.select("node", "bands", "samples"), "node").withColumn("own", F.pmod(F.xxhash64("node", "band"), "m").cast("int"))
+    k = (F.array_position("bands", F.col("band")) - 1).cast("int").alias("k")
+    rows = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"), "own", k, "node", "label", "bands", "samples")
+    rows = rows.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "k", "node", "label", "bands", "samples")
+    schema = "band long, i int, j int, own int, k int, node binary, label binary, bands array<long>, samples array<int>"
+    gathered = lambda df: df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in cells(batches):
+            p, q, _, _ = meetings(t, share)
+            if len(p):
+                yield from t.take(pa.array(np.union1d(p, q))).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(1, np.frombuffer(idf.value, dtype=np.uint8))
+        for t in cells(batches):
+            p, q, _, labels = meetings(t, share)
+            par, sets, text, node, good = list(range(int(labels.max()) + 1)), {}, t.column("text"), t.column("node"), []
+
+            def find(x: int) -> int:
+                while par[x] != x:
+                    par[x] = x = par[par[x]]  # noqa: B023
+                return x
+
+            def weighed(r: int) -> tuple[np.ndarray, np.ndarray]:
+                if r not in sets:  # noqa: B023
+                    x, tf = shingles(word_hashes(text[r].as_py()), size)  # noqa: B023
+                    sets[r] = x, sampler.weights(x, tf)  # noqa: B023
+                return sets[r]  # noqa: B023
+
+            for a, b in zip(p.tolist(), q.tolist()):
+                x, y = find(int(labels[a])), find(int(labels[b]))
+                if x != y and similarity(*weighed(a), *weighed(b)) >= least:
+                    par[x] = y
+                    good.append((node[a].as_py(), node[b].as_py()))
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in good], pa.binary()) for c in range(2)], names=["a", "b"])
+
+    rows = checkpoint(gathered(rows).mapInArrow(partnered, schema))
+    full = joined(rows, texts_for(rows.select("node").distinct()), "node").select(*rows.columns, "text")
+    return gathered(full).mapInArrow(link, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
 
@@ -291,7 +382,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 1 in 100,000).
     Each node's pair with the most is verified by weighted Jaccard similarity first, then all pairs of nodes that are
     not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
-    in all or until a turn connects nothing. Classes are connected components. n_texts is the
+    in all or until a turn connects nothing. That only saves work: in buckets whose nodes then still have different
+    labels, all pairs of different label meet (``all_links``). Classes are connected components. n_texts is the
     number of different texts (by words) in the class; kept says that the row has the class's smallest doc_id.
 
     Null and empty texts, and texts without words, are near only to equal texts; a text of fewer words than ``size`` is
@@ -353,6 +445,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
             break
         edges = checkpoint(edges.unionByName(more))
     labels = components(edges)
+    pool = checkpoint(joined(inside.select("node", "band"), labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label")))
+    more = checkpoint(all_links(pool, nodes, lambda wanted: checkpoint(texts_of(d, nodes, wanted, repeats)), idf, size, least, share))
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
     known = checkpoint(joined(nodes.select("node", "first_id"), labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
     classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))
     known = checkpoint(joined(known, classes, "label").select("node", "class_id", "n_texts"))

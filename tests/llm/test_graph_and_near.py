@@ -1,3 +1,4 @@
+import functools
 import random
 from collections import Counter, defaultdict
 
@@ -129,6 +130,31 @@ def test_near_duplicates_match_brute_force(spark):
     assert len({r.class_id for r in got if r.doc_id >= 500}) == 60
 
 
+def template_rows(pairs):
+    """Pairs of near copies that share most of a template with all others, at about 0.75."""
+    template, rows = words(400, 31), []
+    for i in range(pairs):
+        own = words(50, 5000 + i)
+        rows += [(2 * i, template + " " + own, "a"), (2 * i + 1, template + " " + edited(own, 3, 9000 + i), "a")]
+    return rows
+
+
+def test_near_duplicates_meet_in_mixed_buckets(spark):
+    rows = template_rows(150)
+    docs = frame(spark, rows).repartition(4)
+    want = near_by_hand(rows, near_dedup.idf_table(docs.select("text"), 5))
+    assert len(set(want)) == 150
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: r.class_id for r in got} == {r[0]: c for r, c in zip(rows, want)}
+
+
+def test_all_links_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "all_links", functools.partial(near_dedup.all_links, block=16))
+    rows = template_rows(40)
+    got = near_dedup.near_duplicates(frame(spark, rows), turns=0).collect()  # few links are known before
+    assert {r.doc_id: r.class_id for r in got} == {r[0]: r[0] // 2 * 2 for r in rows}
+
+
 def test_near_duplicates_edges(spark, edge, empty):
     want = near_by_hand(EDGE, near_dedup.idf_table(edge.select("text"), 5))
     got = near_dedup.near_duplicates(edge).collect()
