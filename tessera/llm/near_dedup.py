@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 1 in 100,000).
     Each node's pair with the most is verified by weighted Jaccard similarity first, then all pairs of nodes that are
     not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
-    in all or until a turn connects nothing. That only saves work: in buckets whose nodes then still have different
+    in all or until a turn of other leaders connects nothing. That only saves work: in buckets whose nodes then still have different
     labels, all pairs of different label meet (``all_links``). Classes are connected components. n_texts is the
     number of different texts (by words) in the class; kept says that the row has the class's smallest doc_id.
 
@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
         if lacking is not None and not lacking.isEmpty():
             texts = checkpoint(texts.unionByName(texts_of(d, nodes, lacking, repeats)))
         more = checkpoint(verified(rest, texts, idf, size, least))
-        if more.isEmpty():
+        if turn > 1 and more.isEmpty():  # turn 1 tests the first leaders only, so it says nothing of others
             break
         edges = checkpoint(edges.unionByName(more))
     labels = components(edges)

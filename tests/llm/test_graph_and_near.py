@@ -155,6 +155,13 @@ def test_all_links_over_blocks(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == {r[0]: r[0] // 2 * 2 for r in rows}
 
 
+def test_second_leaders_do_not_depend_on_the_first(spark, monkeypatch):
+    turns, run = [], near_dedup.candidates
+    monkeypatch.setattr(near_dedup, "candidates", lambda pool, nodes, turn, share: turns.append(turn) or run(pool, nodes, turn, share))
+    assert near_dedup.near_duplicates(frame(spark, template_rows(4))).count() == 8
+    assert turns == [0, 2]  # the rest of the first leaders' pairs gives no link
+
+
 def test_near_duplicates_edges(spark, edge, empty):
     want = near_by_hand(EDGE, near_dedup.idf_table(edge.select("text"), 5))
     got = near_dedup.near_duplicates(edge).collect()
