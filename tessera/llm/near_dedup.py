@@ -373,13 +373,13 @@ def all_links(pool: DataFrame, nodes: DataFrame, texts_for, idf, size: int, leas
     return gathered(full).mapInArrow(link, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 12, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
 
     Texts are multisets of shingles of ``size`` words (``word_hashes``), weighed by count times inverse document
-    frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.9998.
+    frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.99996.
     In a bucket every node is paired with the two that come first and last in a hash order, another one in each bucket.
-    Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 1 in 100,000).
+    Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 3e-06).
     Each node's pair with the most is verified by weighted Jaccard similarity first, then all pairs of nodes that are
     not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
     in all or until a turn of other leaders connects nothing. That only saves work: in buckets whose nodes then still have different

@@ -1,4 +1,5 @@
 import functools
+import inspect
 import random
 from collections import Counter, defaultdict
 
@@ -162,6 +163,11 @@ def test_second_leaders_do_not_depend_on_the_first(spark, monkeypatch):
     assert turns == [0, 2]  # the rest of the first leaders' pairs gives no link
 
 
+def test_pairs_at_the_threshold_share_a_bucket():
+    of = inspect.signature(near_dedup.near_duplicates).parameters
+    assert (1 - of["least"].default ** of["rows"].default) ** of["bands"].default < 5e-5
+
+
 def test_near_duplicates_edges(spark, edge, empty):
     want = near_by_hand(EDGE, near_dedup.idf_table(edge.select("text"), 5))
     got = near_dedup.near_duplicates(edge).collect()
