@@ -30,9 +30,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (op7), that of the smallest doc_id. Documents without a doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    return docs.select(*COLUMNS).withColumn("__id", F.col("doc_id").cast("long")).join(gone, "__id", "left_anti").select(*COLUMNS)
+    """One document of each class of near duplicates (op7), that of the smallest doc_id. Documents without a doc_id stay. Rows go by doc_id and text, as a doc_id may occur with texts of several classes."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).where("__id is not null").distinct()
+    d = docs.select(*COLUMNS).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
+    return d.join(gone, ["__id", "__th"], "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -374,7 +374,7 @@ def all_links(pool: DataFrame, nodes: DataFrame, texts_for, idf, size: int, leas
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept.
+    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept, text_hash (xxhash64).
 
     Texts are multisets of shingles of ``size`` words (``word_hashes``), weighed by count times inverse document
     frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.99996.
@@ -452,9 +452,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     known = checkpoint(joined(nodes.select("node", "first_id"), labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
     classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))
     known = checkpoint(joined(known, classes, "label").select("node", "class_id", "n_texts"))
-    out = joined(signed.select("doc_id", "node"), known, "node")
-    return out.select("doc_id", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = joined(signed.select("doc_id", "th", "node"), known, "node")
+    return out.select("doc_id", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -246,6 +246,13 @@ def test_repeated_spans(spark, edge, empty):
     assert chunk_dedup.repeated_spans(empty).collect() == []
 
 
+def test_near_dedup_keeps_classes_of_repeated_ids(spark):
+    near, alone = words(100, 1), words(100, 2)
+    rows = [(1, near, "a"), (5, edited(near, 1, 3), "a"), (5, alone, "a"), (6, None, "a")]
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(1, near), (5, alone)] and got.count() == 3
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = near_rows()
     frame(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
