@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,18 +19,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that later jobs neither repeat it nor depend on one executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. A folder of this machine stands in only where that is unset and Spark runs in one process; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return folder.rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is made only where that is unset.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for Python steps that cost far more than moving the rows. Tables of many files stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in ``shared_folder``, so that later jobs neither repeat it nor depend on one executor."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Store:
+    """Tables of an operator's steps, in a database of its own in ``shared_folder``: written once, read by column, dropped by name as soon as no step needs them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.kept = spark, f"{name}_{uuid.uuid4().hex}", {}
+        where = f"{shared_folder(spark)}/{self.name}".replace("'", "\\'")
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{where}'")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        name = f"{self.name}.t{len(self.kept)}"
+        df.write.saveAsTable(name, format="parquet")
+        out = self.spark.table(name)
+        self.kept[name] = out
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for name, df in self.kept.items():
+            if df is not None and any(df is f for f in frames):
+                self.spark.sql(f"DROP TABLE {name}")
+                self.kept[name] = None
+
+    def drop_others(self, *frames: DataFrame) -> None:
+        self.drop(*(df for df in self.kept.values() if df is not None and not any(df is f for f in frames)))
+
+
 def md5_hash(c: Column) -> Column:
     """60 bits of the MD5 of a column's text (null: of no text), which other engines compute alike."""
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")

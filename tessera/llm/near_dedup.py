@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common
-from tessera.llm.common import table
+from tessera.llm.common import Store, spread, table
 from tessera.shipping import ship
 
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
 SLOTS, PART = 1 << 22, 1 << 12
+#: Shingles of at most this share of all texts weigh 1, the most.
+RARE = 1e-3
 #: Weights of inverse document frequency are kept in steps of 1 / STEPS.
 STEPS = 200
 #: Bytes of a text that are hashed at a time.
@@ -121,20 +121,33 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def idf_table(docs: DataFrame, size: int, floor: float = 0.75) -> np.ndarray:
-    """Steps of the weight of inverse document frequency by slot, over all rows of docs.
+def least_weight(least: float, guard: float) -> float:
+    """The weight of a shingle that all texts have, such that two texts of counted Jaccard similarity ``guard`` have a weighted one of ``least`` at least, however frequent what they share is."""
+    return least / (1 - least) * (1 - guard) / guard
 
-    With x = ln(1 + documents / documents with the shingle) / ln(1 + documents), the weight is floor + (1 - floor) x:
-    what many texts share weighs less, but not so little that a large group of near copies, whose common shingles are
-    frequent by its own size, falls apart over the few words in which they differ.
 
-    Document frequencies are counted in a sketch of SLOTS counters, so what is sent to the driver and broadcast has a
-    fixed size (4 MB); shingles that share a counter share its count, which errs to a lower weight, alike in all texts.
+def idf_steps(counts: np.ndarray, n: int, floor: float) -> np.ndarray:
+    """Steps of the weight by slot, from how many of n texts have a shingle in each.
+
+    The weight is floor + (1 - floor) x with x = ln(n / df) / ln(1 / RARE), and 1 at the share RARE of all texts and
+    below. It depends on the share df / n alone, so a corpus twice as large of the same kind gives the same weights. What
+    other shingles add to a slot is taken off as the median slot has it, and varies with a deviation of at most
+    n sqrt(RARE x distinct shingles a text / SLOTS): at 300 of them 0.27 of RARE, at any n, 0.01 of the weight.
+    """
+    df = np.clip(counts - np.median(counts), 1, max(1, n))
+    x = np.clip(np.log(max(1, n) / df) / np.log(1 / RARE), 0, 1)
+    return np.clip(np.rint((floor + (1 - floor) * x) * STEPS), 1, 255).astype(np.uint8)
+
+
+def idf_table(docs: DataFrame, size: int, floor: float | None = None) -> np.ndarray:
+    """Steps of the weight of inverse document frequency by slot (``idf_steps``), over all rows of docs; floor: ``least_weight`` of 0.8 and 0.85 by default.
+
+    Document frequencies are counted in SLOTS counters, so what is sent to the driver and broadcast has a fixed size (4 MB).
     """
     import zstandard
 
     ship(docs.sparkSession)
-    parts = docs.select("text").mapInArrow(slot_counts(size), "part int, counts binary")
+    parts = spread(docs.select("text")).mapInArrow(slot_counts(size), "part int, counts binary")
     sums = parts.repartition("part").mapInArrow(add_counts, "part int, counts binary")
     unpack, df, n = zstandard.ZstdDecompressor(), np.zeros((SLOTS // PART, PART), dtype=np.int64), 0
     for r in sums.collect():  # at most SLOTS / PART rows
@@ -143,8 +156,7 @@ def idf_table(docs: DataFrame, size: int, floor: float = 0.75) -> np.ndarray:
             n = int(x[0])
         else:
             df[r.part] = x
-    x = np.log1p(n / np.maximum(1, df.ravel()).astype(np.float32)) / np.float32(np.log1p(max(1, n)))
-    return np.clip(np.rint((floor + (1 - floor) * x) * STEPS), 1, 255).astype(np.uint8)
+    return idf_steps(df.ravel(), n, least_weight(0.8, 0.85) if floor is None else floor)
 
 
 class Sampler:
@@ -160,6 +172,7 @@ class Sampler:
         self.k, self.idf = k, idf
         r, c = (rng.gamma(2, 1, 1 << 16) for _ in range(2))
         self.r, self.inverse, self.log_c = r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32)
+        self.part, self.least = (r * 2.0**-16).astype(np.float32), (np.log(c) - r).astype(np.float32)
         self.a = rng.integers(1, 1 << 63, size=(k, 1), dtype=np.uint64) | np.uint64(1)
         self.log_idf = np.log(np.maximum(1, np.arange(256)) / STEPS).astype(np.float32)
         self.log_tf = np.log(np.maximum(1, np.arange(1 << 12))).astype(np.float32)
@@ -171,23 +184,38 @@ class Sampler:
         """k 64-bit samples; two texts agree in each with the probability of their weighted Jaccard similarity."""
         log_tf = self.log_tf[tf] if tf.max() < len(self.log_tf) else np.log(tf).astype(np.float32)
         log_s = self.log_idf[self.idf[x & np.uint64(SLOTS - 1)]] + log_tf
-        out, step = np.empty(self.k, dtype=np.uint64), max(1, most // len(x))
+        plain = log_s == 0
+        if plain.all():
+            return self._least(x, None, most)[0]
+        if not plain.any():
+            return self._least(x, log_s, most)[0]
+        (one, low), (more, least) = self._least(x[plain], None, most), self._least(x[~plain], log_s[~plain], most)
+        return np.where(least < low, more, one)
+
+    def _least(self, x: np.ndarray, log_s: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(samples, their values) of shingles of weight exp(log_s); None: all of weight 1, for which t is 0."""
+        out, low, step = np.empty(self.k, dtype=np.uint64), np.empty(self.k, dtype=np.float32), max(1, most // len(x))
         for i in range(0, self.k, step):
-            h = ((x * self.a[i : i + step]) >> np.uint64(32)).astype(np.uint32)
-            at = (h >> np.uint32(16)).astype(np.intp)
-            y = (h & np.uint32(0xFFFF)).astype(np.float32)
-            y *= np.float32(2.0**-16)  # beta
-            t = self.inverse.take(at)
-            t *= log_s
-            t += y
-            np.floor(t, out=t)
-            y -= t
-            y -= np.float32(1)
-            y *= self.r.take(at)
-            y += self.log_c.take(at)  # ln c - r (t - beta + 1)
-            j = np.argmin(y, axis=1)
-            out[i : i + step] = (x[j] ^ t[np.arange(len(j)), j].astype(np.int64).view(np.uint64) * _MUL[8]) * _MUL[9]
-        return out
+            h = (x * self.a[i : i + step]).view(np.uint16).reshape(-1, len(x), 4)  # the low bits first
+            at = h[:, :, 3].astype(np.intp)
+            y = h[:, :, 2].astype(np.float32)
+            if log_s is None:
+                y *= self.part.take(at)
+                y += self.least.take(at)  # ln c - r (1 - beta)
+            else:
+                y *= np.float32(2.0**-16)  # beta
+                t = self.inverse.take(at)
+                t *= log_s
+                t += y
+                np.floor(t, out=t)
+                y -= t
+                y -= np.float32(1)
+                y *= self.r.take(at)
+                y += self.log_c.take(at)  # ln c - r (t - beta + 1)
+            j, rows = np.argmin(y, axis=1), np.arange(len(y))
+            low[i : i + step] = y[rows, j]
+            out[i : i + step] = x[j] * _MUL[9] if log_s is None else (x[j] ^ t[rows, j].astype(np.int64).view(np.uint64) * _MUL[8]) * _MUL[9]
+        return out, low
 
 
 def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
@@ -198,87 +226,86 @@ def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) ->
     return float(both / whole) if whole else 0.0
 
 
-def joined(df: DataFrame, other: DataFrame, key, how: str = "inner") -> DataFrame:
-    """A sort-merge join of two checkpointed tables. With plain exchanges on both sides, adaptive execution splits the partitions of frequent keys."""
-    return df.join(other.hint("merge"), key, how)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, kept in the checkpoint folder. Spark is then asked to remove the shuffle files and checkpoints that nothing refers to any more: the many steps here would else keep theirs until the driver happens to collect its garbage."""
-    out = common.checkpoint(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-def components(edges: DataFrame, turns: int | None = None, most: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b); after ``turns`` turns alone, labels that only nodes of one component share.
+def components(edges: DataFrame, store: Store, most: int = 60) -> DataFrame:
+    """(node, label): the smallest node of each connected component of edges (a, b).
 
     In a turn each node takes the smallest label of its neighbours and then that label's own label, so long chains
     shorten by half.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(most if turns is None else turns):
-        heard = joined(both, labels.withColumnsRenamed({"node": "a"}), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+    for turn in range(most):
+        heard = both.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("old"))
         all_ = heard.unionByName(labels.select("node", "label", F.col("label").alias("old")))
-        new = checkpoint(all_.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")))
-        new = checkpoint(joined(new, new.select(F.col("node").alias("label"), F.col("label").alias("end")), "label").select("node", "old", F.least("label", "end").alias("label")))
-        labels = new.drop("old")
-        if turns is None and new.where("label <> old").isEmpty():
-            return labels
-    if turns is None:
-        raise RuntimeError(f"components did not settle in {most} turns")
-    return labels
-
-
-def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, salts: int = 1024) -> DataFrame:
-    """Of pairs (a, b) those whose weighted Jaccard similarity is at least ``least``. A text b is sent once for each salt of its partners, so ``salts`` times at most."""
-    p = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
-    right = joined(p.select("b", "salt").distinct(), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    full = joined(joined(p, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), right, ["b", "salt"])
+        near = all_.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        ends = near.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        new, seen = near.join(ends, "label").select("node", "old", F.least("label", "end").alias("label")), Observation()
+        new = store.keep(new.observe(seen, F.coalesce(F.sum((F.col("label") != F.col("old")).cast("long")), F.lit(0)).alias("changed")))
+        if turn:
+            store.drop(labels)
+        labels = new
+        if not seen.get["changed"]:
+            return labels.select("node", "label")
+    raise RuntimeError(f"components did not settle in {most} turns")
+
+
+def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """nodes with their label; those that no link has are their own."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def leaders(pool: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of a bucket of several labels with the bucket's first node, in turn 0 the smallest; in later turns with the first and the last of an order of its own for each bucket and turn. pool: node, band, label."""
+    mask = F.xxhash64("band", F.lit(turn)) if turn else F.lit(0).cast("long")  # xor with it orders nodes anew
+    key = F.col("node").bitwiseXOR(mask)
+    ends = pool.groupBy("band").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    leads = F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask)) if turn else F.array("lo")
+    led = pool.select("node", "band").join(ends.select("band", leads.alias("leads")), "band")
+    return led.select(F.col("node").alias("a"), F.explode("leads").alias("b")).where("a <> b").distinct()
+
+
+def agreeing(pairs: DataFrame, info: DataFrame, share: float) -> DataFrame:
+    """(a, b, n) of the pairs with different labels of which n samples agree, at least ``share`` of them. info: node, label, samples."""
+    of = lambda c: info.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("samples").alias(f"samples_{c}"))
+    full = pairs.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b")
+    agree = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda v: v))
+    return full.select("a", "b", agree.alias("n")).where(F.col("n") >= share * F.size("samples_a"))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, last = Sampler(1, np.frombuffer(idf.value, dtype=np.uint8)), (None, None, None)
 
-        def weighed(text: str) -> tuple[np.ndarray, np.ndarray]:
-            x, tf = shingles(word_hashes(text), size)
-            return x, sampler.weights(x, tf)
+def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, each: int = 64) -> DataFrame:
+    """Of pairs (a, b) those whose weighted Jaccard similarity is at least ``least``.
 
+    The partners a of a node b are dealt to cells of about ``each``, to which b's text goes as well, so a node of any
+    number of partners spreads over tasks. A task streams its sorted cells: b first, then the partners.
+    """
+    n = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / each).alias("cells"))
+    p = pairs.join(n, "b").select("a", "b", F.pmod(F.xxhash64("a"), "cells").cast("int").alias("cell"))
+    rows = p.select(F.col("a").alias("node"), "b", "cell", F.lit(1).alias("role")).unionByName(p.select(F.col("b").alias("node"), "b", "cell", F.lit(0).alias("role")).distinct())
+    rows = rows.join(texts, "node").select("b", "cell", "role", "node", "text").repartition("b", "cell").sortWithinPartitions("b", "cell", "role")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, lead, at = Sampler(1, np.frombuffer(idf.value, dtype=np.uint8)), (), None
         for batch in batches:
             good = []
-            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if b != last[0]:
-                    last = (b, *weighed(text_b.as_py()))
-                good.append(similarity(*weighed(text_a.as_py()), *last[1:]) >= least)
+            for b, cell, role, text in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(4)):
+                if role == 0 and at == (b, cell):  # a row that repeats b's
+                    good.append(False)
+                    continue
+                x, tf = shingles(word_hashes(text.as_py()), size)
+                w = sampler.weights(x, tf)
+                if role == 0:
+                    lead, at = (x, w), (b, cell)
+                good.append(role == 1 and at == (b, cell) and similarity(x, w, *lead) >= least)
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(3).filter(mask), batch.column(0).filter(mask)], names=["a", "b"])
 
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
+    return rows.mapInArrow(check, "a long, b long")
 
 
-def candidates(pool: DataFrame, nodes: DataFrame, turn: int, share: float) -> DataFrame:
-    """(a, b, n): pairs of nodes with different labels, where b comes first or last of a bucket of a in an order of its own for each bucket and turn, and n of their samples agree, at least ``share`` of them. pool: node, band, label. nodes: node, samples."""
-    h = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "label")
-    ends = pool.groupBy("band").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    ends = checkpoint(ends.select("band", F.array("lo", "hi").alias("leads")))
-    led = joined(pool, ends, "band").select("node", "label", F.explode("leads").alias("lead")).where("label <> lead.label")
-    pairs = checkpoint(led.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
-    del led, ends
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("samples").alias(f"samples_{c}"))
-    full = joined(checkpoint(joined(pairs, of("a"), "a")), of("b"), "b")
-    agree = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda v: v))
-    return full.select("a", "b", agree.alias("n")).where(F.col("n") >= share * F.size("samples_a"))
-
-
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-
-def texts_of(d: DataFrame, nodes: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
-    """(node, text) of wanted nodes, from a row that stands for each; repeats: rows may repeat a doc_id and text."""
-    used = joined(wanted, nodes.select("node", F.col("rep.col1").alias("__id"), F.col("rep.th").alias("th")), "node")
-    found = d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), "th", "text").join(used.hint("shuffle_hash"), ["__id", "th"]).select("node", "text")
+def texts_of(d: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """(node, text) of wanted nodes (node, first_id, th), from a row that stands for each; repeats: rows may repeat a doc_id and text."""
+    used = wanted.select("node", F.col("first_id").alias("__id"), F.col("first_th").alias("th"))
+    found = d.select(F.coalesce("doc_id", F.lit(_LAST)).alias("__id"), "th", "text").join(used.hint("shuffle_hash"), ["__id", "th"]).select("node", "text")
     return found.groupBy("node").agg(F.first("text").alias("text")) if repeats else found
 
 
@@ -319,22 +346,21 @@ def meetings(t: pa.Table, share: float) -> tuple[np.ndarray, np.ndarray, np.ndar
     return p[order], q[order], n[order], labels
 
 
-def all_links(pool: DataFrame, nodes: DataFrame, texts_for, idf, size: int, least: float, share: float, block: int = 512) -> DataFrame:
+def all_links(pool: DataFrame, info: DataFrame, texts: DataFrame, store: Store, idf, size: int, least: float, share: float, block: int = 512) -> DataFrame:
     """(a, b): links that connect all nodes of different labels that share a bucket and are similar by at least ``least``.
 
     The nodes of a bucket are dealt by hash to blocks of about ``block``, and each two blocks meet in a cell of their
     own, so a bucket of any size spreads over tasks. Pairs meet in the first bucket they share. In a cell those whose
     samples agree most are verified first, and those that links of the cell connect by then are left out. Buckets of
-    up to three nodes have met by their leaders. texts_for: (node, text) of given nodes; they go only to cells in which
-    they have partners.
+    up to three nodes have met by their leaders. Texts go only to cells in which they have partners.
     """
     n = pool.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high and n > 3")
-    mixed = checkpoint(joined(pool, checkpoint(n.select("band", F.ceil(F.col("n") / block).cast("int").alias("m"))), "band"))
-    rows = joined(mixed, nodes.select("node", "bands", "samples"), "node").withColumn("own", F.pmod(F.xxhash64("node", "band"), "m").cast("int"))
+    mixed = pool.join(n.select("band", F.ceil(F.col("n") / block).cast("int").alias("m")), "band")
+    rows = mixed.join(info.select("node", "bands", "samples"), "node").withColumn("own", F.pmod(F.xxhash64("node", "band"), "m").cast("int"))
     k = (F.array_position("bands", F.col("band")) - 1).cast("int").alias("k")
     rows = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"), "own", k, "node", "label", "bands", "samples")
     rows = rows.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "k", "node", "label", "bands", "samples")
-    schema = "band long, i int, j int, own int, k int, node binary, label binary, bands array<long>, samples array<int>"
+    schema = "band long, i int, j int, own int, k int, node long, label long, bands array<long>, samples array<int>"
     gathered = lambda df: df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,44 +392,50 @@ def all_links(pool: DataFrame, nodes: DataFrame, texts_for, idf, size: int, leas
                     par[x] = y
                     good.append((node[a].as_py(), node[b].as_py()))
             if good:
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in good], pa.binary()) for c in range(2)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in good], pa.int64()) for c in range(2)], names=["a", "b"])
 
-    rows = checkpoint(gathered(rows).mapInArrow(partnered, schema))
-    full = joined(rows, texts_for(rows.select("node").distinct()), "node").select(*rows.columns, "text")
-    return gathered(full).mapInArrow(link, "a binary, b binary")
+    met = store.keep(gathered(rows).mapInArrow(partnered, schema))
+    full = met.join(texts, "node").select(*met.columns, "text")
+    return gathered(full).mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3, turns: int = 2, share: float = 0.5) -> DataFrame:
+#: Stands for a null doc_id where the smallest is looked for.
+_LAST = 2**63 - 1
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = 14, rows: int = 3, turns: int = 2, share: float = 0.5, guard: float = 0.85) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_texts, kept, text_hash (xxhash64).
 
     Texts are multisets of shingles of ``size`` words (``word_hashes``), weighed by count times inverse document
-    frequency (``idf_table``). Texts of equal words are one node from the start. ``bands`` bands of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.99996.
-    In a bucket every node is paired with the two that come first and last in a hash order, another one in each bucket.
-    Pairs with fewer than ``share`` of their samples in common are dropped (of those at similarity 0.8, 3e-06).
-    Each node's pair with the most is verified by weighted Jaccard similarity first, then all pairs of nodes that are
-    not yet connected. Buckets whose nodes still fall in several components choose other leaders, for ``turns`` turns
-    in all or until a turn of other leaders connects nothing. That only saves work: in buckets whose nodes then still have different
-    labels, all pairs of different label meet (``all_links``). Classes are connected components. n_texts is the
-    number of different texts (by words) in the class; kept says that the row has the class's smallest doc_id.
+    frequency (``idf_steps``; ``guard``: see ``least_weight``). Texts of equal words are one node from the start. ``bands`` bands of ``rows`` consistent weighted samples name buckets: at similarity 0.8 a pair shares one with probability 0.99996.
+    In a bucket each node first meets the smallest one; of these pairs, each node's with the most samples in common is
+    verified by weighted Jaccard similarity. In each later turn, up to ``turns`` in all, the nodes of buckets that still hold
+    several components meet two leaders of another order. Pairs with fewer than ``share`` of their samples in common are
+    dropped (of those at similarity 0.8, 3e-06). The turns only save work: in buckets whose nodes then still have
+    different labels, all pairs of different label meet (``all_links``), with no cap. Classes are connected components.
+    n_texts is the number of different texts (by words) in the class; kept says that the row has the class's smallest doc_id.
 
     Null and empty texts, and texts without words, are near only to equal texts; a text of fewer words than ``size`` is
     one shingle. A class of null doc_ids alone has a null class_id and keeps them all. Rows that repeat a doc_id and
-    text are kept or not together. No rows: no rows. Buckets are summed up before they are shuffled, and the joins on
-    frequent buckets, leaders, labels and copies are such that adaptive execution splits them; no bucket is gathered.
+    text are kept or not together. No rows: no rows. Other columns are not read. A very long text is hashed in segments;
+    a task holds its words and shingles, and one batch. Buckets of one node are dropped before anything else; the others are summed
+    up before they are shuffled, and no bucket is gathered. Steps are tables in the shared folder (``Store``), dropped as
+    soon as no later step reads them; the last three stay with the result.
     """
     spark = docs.sparkSession
+    store = Store(spark, "near")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    idf = spark.sparkContext.broadcast(idf_table(d, size).tobytes())
+    idf = spark.sparkContext.broadcast(idf_table(d, size, least_weight(least, max(least, guard))).tobytes())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows, np.frombuffer(idf.value, dtype=np.uint8))
         salt = _MUL[16 : 16 + bands]
         for b in batches:
-            nodes, keys, samples = [], [], []
+            digests, keys, samples = [], [], []
             for text in b.column(1):
                 t = text.as_py()
                 words = word_hashes(t)
-                nodes.append(node_of(t, words))
+                digests.append(node_of(t, words))
                 if not len(words):
                     keys.append([])
                     samples.append([])
@@ -415,44 +447,44 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
                     key = (key ^ s[:, r]) * _MIX
                     key ^= key >> np.uint64(30)
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], names=["doc_id", "th", "node", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], names=["doc_id", "th", "digest", "bands", "samples"])
 
-    signed = checkpoint(d.mapInArrow(sign, "doc_id long, th long, node binary, bands array<long>, samples array<int>"))
-    first = F.first(F.struct("bands", "samples"))
-    nodes = signed.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.min("doc_id").alias("first_id"), first.alias("x"))
-    nodes = checkpoint(nodes.select("node", "rep", "first_id", "x.bands", "x.samples"))
+    signed = store.keep(spread(d).mapInArrow(sign, "doc_id long, th long, digest binary, bands array<long>, samples array<int>"))
+    # A class's smallest doc_id and the text of a row that has it stand for equal texts; node is a number of their own.
+    one = signed.groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "th")).alias("rep"), F.first(F.struct("bands", "samples")).alias("x"))
+    nodes = store.keep(one.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("rep.id").alias("first_id"), F.col("rep.th").alias("first_th"), "x.bands", "x.samples"))
     repeats = not signed.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
-    inside = checkpoint(nodes.select("node", F.explode("bands").alias("band"), F.col("node").alias("label")))
-    pairs = checkpoint(candidates(inside, nodes, 0, share))
-    texts = checkpoint(texts_of(d, nodes, ends_of(pairs), repeats))
-    best = checkpoint(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b"))
-    edges = checkpoint(verified(best, texts, idf, size, least))
-    for turn in range(1, turns + 1):
-        labels = components(edges, turns=1)
-        if turn == 1:
-            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))  # noqa: B023, E731
-            rest = joined(checkpoint(joined(pairs.select("a", "b"), of("a"), "a", "left")), of("b"), "b", "left")
-            rest = rest.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b").join(best, ["a", "b"], "left_anti")
-        else:
-            pool = joined(inside.select("node", "band"), labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
-            rest = candidates(checkpoint(pool), nodes, turn, share).select("a", "b")
-        rest = checkpoint(rest)
-        lacking = checkpoint(joined(ends_of(rest), texts.select("node"), "node", "left_anti")) if turn > 1 else None
-        if lacking is not None and not lacking.isEmpty():
-            texts = checkpoint(texts.unionByName(texts_of(d, nodes, lacking, repeats)))
-        more = checkpoint(verified(rest, texts, idf, size, least))
-        if turn > 1 and more.isEmpty():  # turn 1 tests the first leaders only, so it says nothing of others
-            break
-        edges = checkpoint(edges.unionByName(more))
-    labels = components(edges)
-    pool = checkpoint(joined(inside.select("node", "band"), labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label")))
-    more = checkpoint(all_links(pool, nodes, lambda wanted: checkpoint(texts_of(d, nodes, wanted, repeats)), idf, size, least, share))
+    inside = nodes.select("node", F.explode("bands").alias("band"))
+    shared = inside.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
+    live = store.keep(inside.join(shared, "band").select("node", "band"))
+    info = store.keep(nodes.join(live.select("node").distinct(), "node", "left_semi").drop("digest"))
+    texts = store.keep(texts_of(d, info, repeats))
+    own = info.withColumn("label", F.col("node"))
+    pairs = store.keep(agreeing(leaders(live.withColumn("label", F.col("node")), 0), own, share))
+    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
+    edges = store.keep(verified(best, texts, idf, size, least))
+    labels = components(edges, store)
+    for turn in range(1, turns):
+        here = store.keep(labelled(info.select("node", "samples"), labels))
+        again = leaders(live.join(here.select("node", "label"), "node"), turn)
+        again = agreeing(again.unionByName(pairs.select("a", "b")).distinct() if turn == 1 else again, here, share).select("a", "b")
+        again = store.keep(again)
+        edges = edges.unionByName(store.keep(verified(again, texts, idf, size, least)))
+        store.drop(here, again)
+        labels = components(edges, store)
+    pool = store.keep(labelled(live, labels))
+    more = store.keep(all_links(pool, info, texts, store, idf, size, least, share))
     if not more.isEmpty():
-        labels = components(edges.unionByName(more))
-    known = checkpoint(joined(nodes.select("node", "first_id"), labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")))
-    classes = checkpoint(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts")))
-    known = checkpoint(joined(known, classes, "label").select("node", "class_id", "n_texts"))
-    out = joined(signed.select("doc_id", "th", "node"), known, "node")
+        labels = components(edges.unionByName(more), store)
+    # Nodes without a link are classes of their own.
+    ids = labels.join(nodes.select("node", F.nullif("first_id", F.lit(_LAST)).alias("first_id")), "node")
+    classes = ids.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
+    members = store.keep(labels.join(classes, "label").select("node", "class_id", "n_texts"))
+    store.drop_others(signed, nodes, members)
+    known = nodes.select("node", "digest", "first_id").join(members, "node", "left")
+    class_id = F.when(F.col("n_texts").isNull(), F.nullif("first_id", F.lit(_LAST))).otherwise(F.col("class_id"))
+    known = known.select("digest", class_id.alias("class_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))
+    out = signed.select("doc_id", "th", "digest").join(known, "digest")
     return out.select("doc_id", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("th").alias("text_hash"))
 
 

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import chunk_dedup, near_dedup, url_trust
+from tessera.llm.common import Store
 from tests.llm.conftest import EDGE, frame, words
 
 
@@ -152,15 +153,53 @@ def test_near_duplicates_meet_in_mixed_buckets(spark):
 def test_all_links_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "all_links", functools.partial(near_dedup.all_links, block=16))
     rows = template_rows(40)
-    got = near_dedup.near_duplicates(frame(spark, rows), turns=0).collect()  # few links are known before
+    got = near_dedup.near_duplicates(frame(spark, rows), turns=1).collect()  # few links are known before
     assert {r.doc_id: r.class_id for r in got} == {r[0]: r[0] // 2 * 2 for r in rows}
 
 
 def test_second_leaders_do_not_depend_on_the_first(spark, monkeypatch):
-    turns, run = [], near_dedup.candidates
-    monkeypatch.setattr(near_dedup, "candidates", lambda pool, nodes, turn, share: turns.append(turn) or run(pool, nodes, turn, share))
+    turns, run = [], near_dedup.leaders
+    monkeypatch.setattr(near_dedup, "leaders", lambda pool, turn: turns.append(turn) or run(pool, turn))
     assert near_dedup.near_duplicates(frame(spark, template_rows(4))).count() == 8
-    assert turns == [0, 2]  # the rest of the first leaders' pairs gives no link
+    assert turns == [0, 1]
+
+
+def test_recall_on_documents(spark):
+    """Rows whose doc_id is divisible by 50 against all rows: every pair of 0.8 or more by brute force is in one class, and classes are no larger than the links make them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, None) for r in docs.select("doc_id", "text").collect()]
+    s, idf = None, near_dedup.idf_table(docs.select("text"), 5)
+    s = near_dedup.Sampler(1, idf)
+    sets = []
+    for _, t, _ in rows:
+        x, tf = near_dedup.shingles(near_dedup.word_hashes(t), 5)
+        sets.append((x, s.weights(x, tf)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    pairs = [(i, j) for i in range(len(rows)) if rows[i][0] % 50 == 0 for j in range(len(rows)) if i != j and len(sets[i][0]) and near_dedup.similarity(*sets[i], *sets[j]) >= 0.8]
+    assert pairs and all(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
+    assert near_by_hand(rows, idf) == [got[r[0]] for r in rows]
+
+
+def test_weights_do_not_depend_on_the_size():
+    """Slots of corpora of one kind, of 20 thousand and of 2 billion texts, with 300 other shingles a text: the weight of a shingle that a given share of texts has."""
+    rng, shares = np.random.default_rng(2), np.repeat([0.0, 1e-4, 2e-3, 1e-2, 0.1, 0.5], 4000)
+    floor = near_dedup.least_weight(0.8, 0.85)
+    assert floor == pytest.approx(0.70588, abs=1e-5)
+    got = []
+    for n in (20_000, 2_000_000_000):
+        counts = rng.poisson(300 * n / near_dedup.SLOTS, near_dedup.SLOTS).astype(np.int64)
+        counts[: len(shares)] += (shares * n).astype(np.int64)
+        got.append(near_dedup.idf_steps(counts, n, floor)[: len(shares)].reshape(6, -1) / near_dedup.STEPS)
+    assert np.abs(got[0].mean(axis=1) - got[1].mean(axis=1)).max() < 0.005
+    x = np.clip(np.log(1 / np.maximum(shares[::4000], 1e-9)) / np.log(1000), 0, 1)
+    assert np.abs(got[1].mean(axis=1) - (floor + (1 - floor) * x)).max() < 0.01 and (got[1][:2] == 1).mean() > 0.99
+
+
+def test_guard_links_copies_that_share_only_frequent_shingles():
+    floor = near_dedup.least_weight(0.8, 0.85)
+    x, y = np.arange(100, dtype=np.uint64), np.concatenate([np.arange(92), np.arange(200, 208)]).astype(np.uint64)  # counted similarity 92 / 108
+    weigh = lambda z: np.where(z < 92, floor, 1.0)
+    assert near_dedup.similarity(x, weigh(x), y, weigh(y)) >= 0.8
 
 
 def test_pairs_at_the_threshold_share_a_bucket():
@@ -188,8 +227,8 @@ def test_sampler_estimates_weighted_similarity():
 
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 100)] + [(200, 201 + i) for i in range(30)]
-    df = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in edges], "a binary, b binary")
-    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.label, "big") for r in near_dedup.components(df).collect()}
+    store = Store(spark, "test")
+    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), store).collect()}
     assert got == {i: 0 for i in [*range(41), 100, 101]} | {i: 200 for i in range(200, 231)}
 
 
@@ -197,7 +236,7 @@ def test_idf_counts_all_rows(spark):
     docs = spark.createDataFrame([("a b c d e f",)] * 30 + [(words(30, i),) for i in range(70)], "text string").repartition(5)
     idf = near_dedup.idf_table(docs, 5)
     x, _ = near_dedup.shingles(near_dedup.word_hashes("a b c d e f"), 5)
-    assert idf[x & np.uint64(near_dedup.SLOTS - 1)].tolist() == [round((0.75 + 0.25 * np.log1p(100 / 30) / np.log1p(100)) * near_dedup.STEPS)] * 2
+    assert idf[x & np.uint64(near_dedup.SLOTS - 1)].tolist() == [round((0.70588 + 0.29412 * np.log(100 / 30) / np.log(1000)) * near_dedup.STEPS)] * 2
 
 
 def test_word_hashes_are_of_words():
