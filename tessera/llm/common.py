@@ -78,6 +78,16 @@ def mixed_hash(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - HASH_BITS)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """60 bits of a hash of all columns of df: rows of the same are taken to be equal in full. Maps, which have no hash, count by their JSON."""
+    return mixed_hash(*(F.to_json(F.struct(f.name)) if re.search(r"map<|variant", f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
+def broadcast_few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """df hinted for broadcast if it has at most ``most`` rows, else left to the planner, which joins it by a shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def prefix_sums(df: DataFrame, group: str, h: str, ties: list[Column], value: str, out: str, rows: int | None = None, per_bucket: int = 256) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``group`` that come before a row by (h, ties).
 

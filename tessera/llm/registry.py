@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_mix": mix.OP1_SQL,
     "op4_url_trust": url_trust.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op10_exact_dedup": dedup_exact.OP10_SQL,

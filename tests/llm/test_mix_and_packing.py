@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -5,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm.mix import hypergeometric, leaf, mix, mixed_documents, op1_mix, permuted, targets_of
+from tessera.llm.mix import _rng, hypergeometric, leaf, mix, mixed_documents, op1_mix, permuted, targets_of
 from tessera.llm.packing import Deal, Encoder, drr, pack, word_tokenizer
 from tests.llm.conftest import EDGE, frame, words
 
@@ -42,6 +43,77 @@ def test_mix_targets(spark):
     assert sum(want) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def tree(quotas, shards, seed):
+    """The whole splitting tree, node by node from the root: what each shard gets of each source."""
+    total, out = int(quotas.sum()), {}
+
+    def node(lo, hi, counts):
+        if hi - lo == 1:
+            out[lo] = counts
+            return
+        mid = (lo + hi) // 2
+        left = hypergeometric(_rng(seed, lo, hi), counts, total * mid // shards - total * lo // shards)
+        node(lo, mid, left)
+        node(mid, hi, counts - left)
+
+    node(0, shards, quotas)
+    return [out[s] for s in range(shards)]
+
+
+@pytest.mark.parametrize("block, shard_blocks", [(40, 3), (200, 2)])
+def test_mix_equals_one_by_one(spark, block, shard_blocks):
+    got = {(r.doc_id, r.epoch): (r.taken, r.shard) for r in mix(frame(spark, ROWS).repartition(4), shard_blocks=shard_blocks, block=block).pieces.collect()}
+    names = sorted({r[2] for r in ROWS})
+    of = {s: sorted(((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i, size(t)) for i, t, x in ROWS if x == s)) for s in names}
+    z = [sum(r[2] for r in of[s]) for s in names]
+    want = [min(2 * a, round(t)) for a, t in zip(z, targets_of(z, [3, 1, 2, 3], 1.5 * sum(z), 2.0))]
+    drawn = []  # by source: the (epoch, block) of each draw
+    for g, s in enumerate(names):
+        n, order = -(-z[g] // block), []
+        for e in range(-(-want[g] // z[g])):
+            to = permuted(np.arange(n), n, 12 + g * 64 + e).tolist()
+            order += [(e, to.index(k)) for k in range(n)]
+        drawn.append(order)
+    expect, quotas, owner = {}, [], []
+    for g, s in enumerate(names):
+        left, places, draws = want[g], defaultdict(list), 0
+        at = 0
+        for _, i, n in of[s]:
+            places[at // block].append((i, n))
+            at += n
+        for k, (e, b) in enumerate(drawn[g]):
+            for i, n in places[b]:
+                if left > 0:
+                    expect[i, e] = min(n, left), (g, k)
+                    left -= min(n, left)
+                    draws = k + 1
+        quotas.append(draws)
+        assert left == 0
+    shards = -(-sum(quotas) // shard_blocks)
+    first = [0] * len(names)
+    for s, counts in enumerate(tree(np.array(quotas), shards, 11)):
+        for g, n in enumerate(counts):
+            owner += [((g, k), s) for k in range(first[g], first[g] + n)]
+            first[g] += int(n)
+    owner = dict(owner)
+    assert shards > 3 and got == {k: (n, owner[d]) for k, (n, d) in expect.items()}
+
+
+def test_mixed_rows_keep_their_source(spark):
+    """The same doc_id and text in two sources: each draw comes out as a row of the source that it was drawn from."""
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), *((10 + i, words(4, i), "xy"[i % 2]) for i in range(6))]
+    docs = frame(spark, rows)
+    drawn = Counter(r.gi for r in mix(docs).pieces.collect())
+    assert Counter("xy".index(r.source) for r in mixed_documents(docs).collect()) == drawn
+    taken = defaultdict(int)
+    for r in mix(docs).pieces.collect():
+        taken[r.gi] += r.taken
+    out = defaultdict(int)
+    for r in mixed_documents(docs).collect():
+        out["xy".index(r.source)] += size(r.text)
+    assert out == taken
+
+
 def test_mix_edges(edge, empty, tmp_path, spark):
     check_mix(EDGE, mix(edge))
     assert mix(empty).docs.collect() == []

@@ -38,8 +38,6 @@ def test_equals_sql(spark, name):
 
 def test_edges_equal_sql(spark, tmp_path):
     keep = [r for r in EDGE if r[0] is not None or r[1]]
-    frame(spark, keep).select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
-    compare(spark, "op1_mix", str(tmp_path), ["documents"])
     frame(spark, EDGE + LICENSED * 2).select("doc_id", "text").write.parquet(f"{tmp_path}/c/documents.parquet")
     compare(spark, "op5_licenses", f"{tmp_path}/c", ["documents"])
     frame(spark, [r for r in keep if r[0] not in (9, None)]).select("doc_id", "text").write.parquet(f"{tmp_path}/b/documents.parquet")
