@@ -11,10 +11,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import md5_hash, table
+from tessera.llm.common import checkpoint, md5_hash, spread, table
 from tessera.shipping import ship
 
 #: Slots for hashed words; statistics follow them.
@@ -146,37 +146,43 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, most_slots: int = 4_000_000) -> Model:
     """A model of labels.quality from at most ``sample`` labelled documents: those whose doc_id's MD5 is smallest, of all whose CRC-32 is not divisible by 5.
 
-    Labels with null doc_id or quality are left out; of labels that repeat a doc_id the largest counts. The bound on
-    what the driver receives is ``sample`` lists of word slots.
+    Labels with null doc_id or quality are left out; of labels that repeat a doc_id the largest counts, of documents
+    that repeat one the text whose hash is smallest. Texts enter whole, as their slots; in that order they are taken until they
+    have ``most_slots`` slots together. So the driver receives ``sample`` rows and 8 x ``most_slots`` bytes at most.
     """
     ship(docs.sparkSession)
     y = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     y = y.where(~held_out(F.col("doc_id"))).orderBy(md5_hash(F.col("doc_id")), "doc_id").limit(sample)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")  # at most sample rows
+    d = d.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for b in batches:
-            got = [features(t, slots) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary())], names=["doc_id", "y", "idx", "val"])
-
-    rows = d.mapInArrow(extract, "doc_id long, y int, idx binary, val binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.idx)))
+            got = [features(t, slots) for t in b.column(2).to_pylist()]
+            cols = [pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "y", "n", "idx", "val"])
+
+    found = checkpoint(d.mapInArrow(extract, "doc_id long, y int, n long, idx binary, val binary").withColumn("h", md5_hash(F.col("doc_id"))))
+    before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most sample rows
+    chosen = found.select("doc_id", F.sum("n").over(before).alias("sum")).where(F.col("sum") <= most_slots)
+    rows = found.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "y", "idx", "val").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit([(np.frombuffer(r.idx, dtype="<i4").astype(np.int64), np.frombuffer(r.val, dtype="<f4"), r.y) for r in rows])
 
 
-def scorer(model: Model):
-    """A column function from text to score."""
-    bias, linear, factors = model
+def scorer(spark: SparkSession, model: Model):
+    """A column function from text to score. The model (2 MB) is broadcast."""
+    shared = spark.sparkContext.broadcast(tuple(model))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         slots = Slots()
         for texts in parts:
-            yield pd.Series(scores(Model(bias, linear, factors), texts.tolist(), slots))
+            yield pd.Series(scores(Model(*shared.value), texts.tolist(), slots))
 
     return score
 
@@ -185,17 +191,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
     The score is the machine's probability of label 1 from the whole text alone; null and empty texts have the score
-    of a text without words. Null doc_ids hash as empty text. Equal texts have equal scores. No rows: no rows.
+    of a text without words. Null doc_ids hash as empty text. Equal texts have equal scores; a score equal to
+    ``threshold`` counts as 1. Rows that repeat another stay. No rows: no rows. Other columns are not read. A very long
+    text is scored whole, in the memory of its words and their counts.
     """
-    score = scorer(train(docs, labels, sample))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    score = scorer(docs.sparkSession, train(docs, labels, sample))
+    out = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000) -> DataFrame:
-    """Rows of docs whose score is at least ``threshold``, in the columns of docs."""
-    score = scorer(train(docs, labels, sample))
-    return docs.withColumn("__score", score("text")).where(F.col("__score") >= threshold).drop("__score")
+    """Rows of docs whose score is at least ``threshold``, in the columns of docs; nulls, ties, long and repeated texts as in ``quality_scores``. No rows: no rows."""
+    score = scorer(docs.sparkSession, train(docs, labels, sample))
+    return spread(docs).withColumn("__score", score("text")).where(F.col("__score") >= threshold).drop("__score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
