@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import spread, table
 from tessera.shipping import ship
 
 BLOCK = 64
@@ -155,23 +154,20 @@ def features(stored: list[bytes]) -> list[str]:
     return out
 
 
-def _store(keep: bool, step_bytes: int = 4 << 20):
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def _store(step_bytes: int = 1 << 20):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "media", "feature", "pcm"]
 
     def rows(part: list[tuple]) -> pa.RecordBatch:
         media = [wav(p) for _, _, p in part]
-        back = [read_wav(m)[2] for m in media]
-        cols = [[i for i, _, _ in part], [n for _, n, _ in part], [len(p) for p in back], [hashlib.sha256(p).hexdigest() for p in back], [zlib.crc32(p[-BLOCK:]) for p in back], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], features(media)]
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        more = [pa.array(media, pa.binary()), pa.array([decode(m).tobytes() for m in media], pa.binary())] if keep else []
-        return pa.RecordBatch.from_arrays(arrays + more, names=names + ["media", "pcm"] * keep)
+        cols = [[i for i, _, _ in part], [n for _, n, _ in part], [len(read_wav(m)[2]) for m in media], media, features(media), [decode(m).tobytes() for m in media]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                part.append((i, *payload_of(t.as_py())))
+            for i, t in zip(b.column(0), b.column(1)):
+                part.append((i.as_py(), *payload_of(t.as_py())))
                 held += len(part[-1][2])
                 if held >= step_bytes:
                     yield rows(part)
@@ -182,21 +178,34 @@ def _store(keep: bool, step_bytes: int = 4 << 20):
     return run
 
 
-_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def telephony(docs: DataFrame, keep: bool = True) -> DataFrame:
+def telephony(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its text stored as a mu-law WAV file of 8-bit samples at 8 kHz, read back and decoded.
 
-    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and, with
-    ``keep``, media (the file) and pcm (its samples at 16 kHz, 16 bits, little-endian). Null and empty texts are 64
-    zero bytes. Equal texts have equal values; rows that repeat another stay. No rows: no rows. A task holds a few MB
-    of files at a time, or one text if that is longer.
+    Columns: doc_id, n_bytes (of the text), payload_bytes (read back), media (the file), feature, and pcm (its samples at
+    16 kHz, 16 bits, little-endian). Null and empty texts are 64 zero bytes. Equal texts have equal values; rows that
+    repeat another stay. No rows: no rows. Other columns are not read. A task holds about 1 MB of payload at a time with its
+    file and samples, or one text if that is longer.
     """
     ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(_store(keep), _SCHEMA + ", media binary, pcm binary" * keep)
+    return spread(d).mapInArrow(_store(), "doc_id long, n_bytes long, payload_bytes long, media binary, feature string, pcm binary")
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony(table(spark, sf_dir, "documents"), keep=False)
+    """The stored files and samples with their digests. The payload is the end of the file, as its header says (``wav``)."""
+    out = telephony(table(spark, sf_dir, "documents"))
+    payload = lambda n: F.expr(f"substring(media, -({n}))")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        F.sha2(payload("payload_bytes"), 256).alias("payload_sha256"),
+        F.crc32(payload(BLOCK)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
+        "media",
+        "pcm",
+    )
