@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, table
+from tessera.llm.common import broadcast_few, checkpoint, table
 from tessera.shipping import ship
 
 #: Runs of the bytes that normalisation turns into one space.
@@ -54,27 +54,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def exact_duplicates(docs: DataFrame, partitions: int | None = None, prefix: int = 32) -> DataFrame:
+def exact_duplicates(docs: DataFrame, partitions: int | None = None, prefix: int = 16) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows are range-partitioned at sampled splitters of (first ``prefix`` characters, digest, doc_id) of the normalised
-    text, sorted outside memory, and each is compared in full with its neighbour. As doc_id belongs to the splitters, a
+    Rows are range-partitioned at sampled splitters of (first ``prefix`` characters, half the digest, doc_id) of the normalised
+    text, sorted outside memory by these and the text, and each is compared in full with its neighbour. A splitter has about 60 bytes,
+    however long texts are; whole texts as splitters would send a sample of them to the driver. As doc_id belongs to the splitters, a
     group of copies of any size spreads over partitions; what is left to settle are each partition's first and last
-    run, two small rows a partition, which are summed and broadcast.
+    run, two small rows a partition, which are summed and broadcast, or joined by a shuffle beyond 100,000 of them.
 
     Null text counts as empty; a text of white space only is one space, other than empty. Of equal texts the smallest
     doc_id stays, null only where all are null; of rows that repeat a doc_id and text one stays. No rows: no rows.
-    Other columns are not read.
+    Other columns are not read. Of very long texts a task holds two at a time and one batch of rows.
     """
     ship(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
-    t = t.withColumn("sha", F.sha2("text", 256)).withColumn("prefix", F.substring("text", 1, prefix))
-    t = t.repartitionByRange(n, F.col("prefix"), F.col("sha"), F.col("doc_id").asc_nulls_last())
-    t = t.sortWithinPartitions("prefix", "sha", "text", F.col("doc_id").asc_nulls_last()).select("text", "sha", "doc_id")
+    t = t.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("prefix", F.substring("text", 1, prefix)).withColumn("half", F.substring("sha", 1, 16))
+    t = t.repartitionByRange(n, F.col("prefix"), F.col("half"), F.col("doc_id").asc_nulls_last())
+    t = t.sortWithinPartitions("prefix", "half", "text", F.col("doc_id").asc_nulls_last()).select("text", F.lower(F.hex("sha")).alias("sha"), "doc_id")
     runs = checkpoint(t.mapInArrow(_runs, _RUNS))
     edges = runs.where("edge and is_first").groupBy("text_sha256").agg(F.min("run_min").alias("__min"), F.sum("run_size").alias("__size"))
-    out = runs.join(F.broadcast(edges), "text_sha256", "left")  # at most two rows a partition
+    out = runs.join(broadcast_few(edges, 2 * n), "text_sha256", "left")  # at most two rows a partition
     keep, size = (F.when(F.col("edge"), F.col(a)).otherwise(F.col(b)) for a, b in (("__min", "run_min"), ("__size", "run_size")))
     return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), (F.col("is_first") & F.col("run_min").eqNullSafe(keep)).alias("kept"), "text_sha256")
 
