@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.dedup_exact import exact_duplicates
 from tessera.llm.shard_ring import flows, ring, ring_shards
@@ -88,3 +89,11 @@ def test_ring_moves_little():
     moved = a != b
     assert (b[moved] == 24).all() and moved.mean() < 0.1
     assert sum(x[2] - x[1] for x in flows(np.array([5, 0, 9]), np.array([0, 1, 2]), np.array([4, 5, 5]))) == 14
+
+
+def test_bounded_ring_moves_little(spark):
+    """From 24 to 25 shards of bounded loads: few keys move beyond the twenty-fifth that must."""
+    docs = spark.range(50_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    a, b = (ring_shards(docs, n).select("doc_id", "shard") for n in (24, 25))
+    both = a.join(b.withColumnRenamed("shard", "more"), "doc_id").groupBy().agg(F.avg((F.col("shard") != F.col("more")).cast("int")).alias("moved"), F.avg(((F.col("shard") != F.col("more")) & (F.col("more") < 24)).cast("int")).alias("between")).first()
+    assert 0.04 <= both.moved < 0.1 and both.between < 0.06

@@ -285,6 +285,40 @@ def test_repeated_spans(spark, edge, empty):
     assert chunk_dedup.repeated_spans(empty).collect() == []
 
 
+def spans_by_hand(rows, least=100):
+    cuts, where = [], defaultdict(set)
+    for k, (_, t, _) in enumerate(rows):
+        raw = (t or "").encode()
+        ends = chunk_dedup.boundaries(np.frombuffer(raw, dtype=np.uint8))
+        cuts.append([(a, b, raw[a:b]) for a, b in zip([0, *ends[:-1]], ends)])
+        for _, _, c in cuts[-1]:
+            where[c].add(k)
+    low = {c: min((rows[k][0] for k in ks if rows[k][0] is not None), default=None) for c, ks in where.items()}
+    out = []
+    for k, chunks in enumerate(cuts):
+        run = []
+        for a, b, c in [*chunks, (0, 0, None)]:
+            if c is not None and len(where[c]) > 1:
+                run.append((a, b, c))
+                continue
+            if run and run[-1][1] - run[0][0] >= least:
+                ids = [low[x[2]] for x in run]
+                out.append((rows[k][0], run[0][0], run[-1][1] - run[0][0], len(run), min(len(where[x[2]]) for x in run), min((i for i in ids if i is not None), default=None), all(i == rows[k][0] for i in ids)))
+            run = []
+    return out
+
+
+def test_repeated_spans_equal_brute_force(spark, edge):
+    rng = random.Random(6)
+    parts = [words(rng.randint(5, 60), 100 + i) for i in range(25)]
+    rows = [(i if i % 17 else None, " ".join(rng.choices(parts, k=rng.randint(0, 6))) + words(rng.randint(1, 80), 900 + i), "a") for i in range(150)]
+    rows += [(300 + i, "la " * 400 + words(20, i), "a") for i in range(60)] + [(500, None, "a"), (501, "", "a"), (3, rows[3][1], "a")]
+    cols = ["doc_id", "start", "length", "n_chunks", "n_docs", "keep_id", "keep"]
+    for docs, want in ((frame(spark, rows).repartition(4), rows), (edge, EDGE)):
+        got = Counter(tuple(r[c] for c in cols) for r in chunk_dedup.repeated_spans(docs).collect())
+        assert got == Counter(spans_by_hand(want)) and (want is EDGE or len(got) > 100)
+
+
 def test_near_dedup_keeps_classes_of_repeated_ids(spark):
     near, alone = words(100, 1), words(100, 2)
     rows = [(1, near, "a"), (5, edited(near, 1, 3), "a"), (5, alone, "a"), (6, None, "a")]

@@ -9,6 +9,30 @@ from tessera.llm import licenses, quality, telephony
 from tests.llm.conftest import EDGE, frame, words
 
 
+BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+
+
+def test_license_spans_are_verified(spark):
+    w = BSD.split()
+    rng = np.random.default_rng(3)
+    scrambled = " ".join(" ".join(w[k : k + 4]) for k in rng.permutation(np.arange(18)).tolist())  # all its 4-grams, in no order
+    drifting = " ".join(x + " and" * (k % 3) for k, x in enumerate(w))
+    rows = [
+        (1, scrambled, "a"),
+        (2, "see here: " + BSD.upper() + ".", "a"),
+        (3, BSD.replace("with or", "with any or"), "a"),  # a word more
+        (4, BSD.replace(" following", ""), "a"),  # a word less
+        (5, drifting, "a"),
+        (6, " ".join(reversed(w)), "a"),
+        (7, " ".join(w[:9]) + " " + words(30, 5) + " " + " ".join(w[9:]), "a"),  # the halves far apart
+        (8, "mit license " * 50 + "x" * 2_500_000 + " apache license " + words(200_000, 1) + " the mit license", "a"),
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert [i for i, r in got.items() if "bsd" in r.labels] == [i for i in got if i in (2, 3, 4)]
+    assert got[2].score == 1 and got[2].labels == "bsd" and got[6].score < 0.2
+    assert (got[8].n_words, got[8].n_base, got[8].first_word, got[8].last_word, got[8].base_labels) == (100 + 1 + 2 + 200_000 + 3, 52, 0, 200_104, "apache,mit")
+
+
 def labelled(spark, n=400):
     rows = [(i, words(60, i) + ". " if i % 4 else " | ".join(words(60, i).split()), "abc"[i % 3]) for i in range(n)]
     labels = spark.createDataFrame([(i, int(bool(i % 4)), 0) for i in range(0, n, 1)], "doc_id long, quality int, toxic int")
@@ -45,6 +69,69 @@ def test_linear_time_pairs_equal_the_sum_over_pairs():
     assert z[0] == pytest.approx(want)
 
 
+def test_training_rows_are_bounded(spark, monkeypatch):
+    docs, labels = labelled(spark, 100)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, **_: seen.append(rows) or quality.Model(0.0, np.zeros(quality.SIZE), np.zeros((quality.SIZE, 1))))
+    quality.train(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels), sample=2)
+    assert len(seen[-1]) == 2
+    order = sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i) for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    n = [len(quality.features(docs.where(f"doc_id = {i}").first().text, quality.Slots())[0]) for _, i in order[:3]]
+    quality.train(docs, labels, most_slots=sum(n) - 1)
+    assert sorted(len(r[0]) for r in seen[-1]) == sorted(n[:2])  # whole texts, until the third goes beyond
+
+
+def test_training_equals_plain_descent():
+    """Steps of AdaGrad on the logistic loss with gradients by differences, over dense vectors and all pairs."""
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)), rng.normal(size=3).astype(np.float32), int(k % 2)) for k in range(8)]
+    got = quality.fit(rows, rank=2, epochs=2, batch=4)
+    r = np.random.default_rng(5)
+    w, v = np.zeros(6), r.normal(0, 0.02, (quality.SIZE, 2)).astype(np.float32)[:6].astype(float)
+    bias, gw, gv, gb = 0.0, np.full(6, 1e-3), np.full((6, 2), 1e-3), 1e-3
+    x = np.zeros((8, 6))
+    for k, (idx, val, _) in enumerate(rows):
+        x[k, idx] = val
+    y = np.array([q[2] for q in rows])
+
+    def loss(b, w, v, at):
+        z = np.array([b + w @ x[k] + sum(v[i] @ v[j] * x[k, i] * x[k, j] for i in range(6) for j in range(i)) for k in at])
+        return np.mean(np.log1p(np.exp(-z)) + (1 - y[at]) * z)
+
+    def slope(f, a):
+        out = np.zeros_like(a)
+        for i in np.ndindex(a.shape):
+            up, down = a.copy(), a.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            out[i] = (f(up) - f(down)) / 2e-6
+        return out
+
+    for _ in range(2):
+        order = r.permutation(8)
+        for i in range(0, 8, 4):
+            at = order[i : i + 4]
+            used = (x[at] != 0).any(axis=0)
+            dw, dv = slope(lambda a: loss(bias, a, v, at), w) + 1e-5 * w * used, slope(lambda a: loss(bias, w, a, at), v) + 1e-5 * v * used[:, None]  # noqa: B023
+            db = float(slope(lambda a: loss(a[0], w, v, at), np.array([bias]))[0])  # noqa: B023
+            gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
+            w, v, bias = w - 0.08 * dw / np.sqrt(gw), v - 0.08 * dv / np.sqrt(gv), bias - 0.08 * db / gb**0.5
+    assert got.linear[:6] == pytest.approx(w, abs=2e-3) and got.factors[:6] == pytest.approx(v, abs=2e-3) and got.bias == pytest.approx(bias, abs=2e-3)
+
+
+def test_quality_of_documents(spark):
+    """Scores of real rows by the sum over all pairs, and how well labels that were held out are told."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    model = quality.train(docs, labels)
+    for d in docs.where("length(text) between 10 and 600").limit(15).collect():
+        idx, val = quality.features(d.text, quality.Slots())
+        z = model.bias + float(model.linear[idx] @ val) + sum(float(model.factors[idx[i]] @ model.factors[idx[j]]) * val[i] * val[j] for i in range(len(idx)) for j in range(i))
+        assert got[d.doc_id].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    held = [(got[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    assert len(held) > 30 and np.mean([(g.score >= 0.5) == bool(q) for g, q in held]) > 0.9
+
+
 def adpcm_by_hand(block):
     x, at, out = int(np.array(block[:2], dtype=np.uint8).view("<i2")[0]), min(block[2], 88), []
     out.append(x)
@@ -73,8 +160,9 @@ def test_codecs():
         telephony.read_wav(b"not a wav")
 
 
-def test_telephony_edges(edge, empty):
-    got = telephony.telephony(edge).collect()
+def test_telephony_edges(spark, edge, empty, tmp_path):
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    got = telephony.op6_telephony(spark, str(tmp_path)).collect()
     assert len(got) == len(EDGE)
     want = sorted((t or "").encode() for _, t, _ in EDGE)
     assert sorted(telephony.read_wav(bytes(r.media))[2][: r.n_bytes] for r in got) == want
@@ -84,6 +172,7 @@ def test_telephony_edges(edge, empty):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
         assert bytes(r.pcm) == telephony.decode(bytes(r.media)).tobytes() and telephony.features([bytes(r.media)]) == [r.feature]
+        assert r.pcm_bytes == len(r.pcm) == 4 * r.payload_bytes and r.pcm_sha256 == hashlib.sha256(r.pcm).hexdigest()
     assert telephony.telephony(empty).collect() == []
 
 
