@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -10,11 +11,11 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, mixed_hash, prefix_sums, table
+from tessera.llm.common import broadcast_few, checkpoint, mixed_hash, prefix_sums, spread, table
 from tessera.shipping import ship
 
 #: What a text has beyond the letters, digits, signs and white space whose pieces are known by heart.
@@ -194,7 +195,7 @@ def _tokenized(path: str, end_id: int, step: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own, pack = encoder(path, end_id), zstandard.ZstdCompressor(level=1)
+        own, pack = encoder(SparkFiles.get(os.path.basename(path)), end_id), zstandard.ZstdCompressor(level=1)
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
             for i in range(0, b.num_rows, step):
@@ -283,24 +284,23 @@ def drr(queues: Mapping[int, deque], weights: Mapping[int, float], deficits: dic
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, segment: int = 512, windows: int = 256, weights: Mapping[str | None, float] | None = None, max_sources: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, segment: int = 512, windows: int = 256, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every window follows the target proportions of tokens by source: ``weights``, or the sources' own shares, by which
     all queues end together. Queues stand in hash order and are dealt to partitions of about ``windows`` windows in
     closed form (``Deal``); in each, deficit round-robin fills the windows (``drr``), starting with the fractions that
     its sources are owed. A partition's last, partial window becomes full sequences of powers of two. Sources without
-    a weight get weight 1. The driver sees a row for each source (``max_sources`` at most, else ValueError).
+    a weight get weight 1. The driver and tasks see a few numbers for each source. The tokenizer's file goes to executors with the session's files.
 
     Null and empty texts are the end id alone. Null sources form one source. Rows that repeat another, or have no
     doc_id, are packed separately. No rows: no rows. Very long texts are cut over windows and partitions.
     """
     ship(docs.sparkSession)
+    docs.sparkSession.sparkContext.addFile(tokenizer)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    tokens = checkpoint(d.mapInArrow(_tokenized(tokenizer, end_id), "doc_id long, source string, rid long, n long, ids binary"))
-    stats = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
-    if len(stats) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    tokens = checkpoint(spread(d).mapInArrow(_tokenized(tokenizer, end_id), "doc_id long, source string, rid long, n long, ids binary"))
+    stats = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # a row a source
     stats.sort(key=lambda r: (r.source is None, r.source or ""))
     spark = docs.sparkSession
     names = spark.createDataFrame([(i, r.source is None, r.source or "") for i, r in enumerate(stats)], "gi int, __null boolean, __source string")
@@ -341,7 +341,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, s
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     meta = tokens.select(F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__source"), "rid", "n")
-    meta = meta.join(F.broadcast(names), ["__null", "__source"]).select("rid", "gi", "n", mixed_hash("rid").alias("h"))  # a row a source
+    meta = meta.join(broadcast_few(names, len(stats)), ["__null", "__source"]).select("rid", "gi", "n", mixed_hash("rid").alias("h"))
     meta = checkpoint(meta)
     placed = prefix_sums(meta, "gi", "h", [F.col("rid")], "n", "at", sum(r.rows for r in stats)).select("rid", "gi", "n", "at")
     cuts = placed.mapInArrow(cut, "p long, rid long, gi int, at long, start long, length long, owed double")

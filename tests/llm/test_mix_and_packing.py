@@ -1,7 +1,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pytest
@@ -229,3 +229,63 @@ def test_encoder_matches_the_tokenizer():
     texts = [x or "" for _, x, _ in EDGE] + ["It's 'S ''s !!'re 12a", "a\x1cb\x85c d", "<|StartOfText|> <|startoftext|>", "É é É"]
     for x, got in zip(texts, e.encode(texts)):
         assert got == np.array([*t.encode(x, add_special_tokens=False).ids, 2], dtype="<u2").tobytes()
+
+
+def round_robin(queues, weights, deficits, window, segment):
+    """Deficit round-robin token by token: where each (rid, token) goes."""
+    flat = {g: [(r, s + k, n - k) for r, s, n in q for k in range(n)] for g, q in queues.items()}  # with what is left of its piece
+    total, out, seq, turn = sum(map(len, flat.values())), {}, 0, 0
+    active = [g for g in flat if flat[g]]
+    while total:
+        cap = window if total >= window else 1 << (total.bit_length() - 1)
+        room = cap
+        for g in active:
+            deficits[g] += cap * weights[g] / sum(weights[x] for x in active)
+
+        def send(g):
+            nonlocal room
+            n = min(flat[g][0][2], segment, room)
+            for r, k, _ in flat[g][:n]:
+                out[r, k] = seq, cap - room  # noqa: B023
+                room -= 1
+            del flat[g][:n]
+            deficits[g] -= n
+
+        for g in active[turn % len(active) :] + active[: turn % len(active)]:
+            while flat[g] and room and min(flat[g][0][2], segment) <= deficits[g]:
+                send(g)
+        while room:
+            send(max((g for g in active if flat[g]), key=lambda g: (deficits[g], -g)))
+        turn, seq, total = turn + 1, seq + 1, total - cap
+        active = [g for g in active if flat[g]]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_drr_equals_round_robin_by_token(seed):
+    rng = np.random.default_rng(seed)
+    queues = {g: [[100 * g + k, int(rng.integers(0, 5)), int(rng.integers(1, 90))] for k in range(int(rng.integers(1, 25)))] for g in range(4)}
+    weights = {g: float(w) for g, w in enumerate(rng.integers(1, 6, 4))}
+    owed = {g: float(x) for g, x in enumerate(rng.random(4))}
+    want = round_robin(queues, weights, dict(owed), 64, 16)
+    got = {}
+    for rid, start, length, seq, offset in drr({g: deque([list(x) for x in q]) for g, q in queues.items()}, weights, dict(owed), 64, 16):
+        got |= {(rid, start + k): (seq, offset + k) for k in range(length)}
+    assert got == want
+
+
+def test_deal_equals_sending_in_small_steps():
+    """Sources that send their weight in small steps of time until they are empty; partitions end when a share of all tokens is sent."""
+    tokens, weights, parts = np.array([500, 120, 77, 1]), np.array([3.0, 1.0, 2.0, 5.0]), 7
+    deal, step = Deal(tokens, weights, parts), 1e-3
+    sent, ends = np.zeros(4), [np.zeros(4)]
+    while len(ends) < parts:
+        sent = np.minimum(tokens, sent + weights * step)
+        if sent.sum() >= tokens.sum() / parts * len(ends):
+            ends.append(sent.copy())
+    for p, want in enumerate([*ends, tokens.astype(float)]):
+        whole, part = deal.owed(np.arange(4), np.full(4, p))
+        assert whole + part == pytest.approx(want, abs=0.02)
+    for g in range(4):  # a row that is the whole queue is cut where partitions end
+        row, p, start, length, _ = deal.cut(np.array([g]), np.array([0]), tokens[g : g + 1])
+        assert length.sum() == tokens[g] and (start[1:] == start[:-1] + length[:-1]).all() and (np.diff(p) > 0).all()
