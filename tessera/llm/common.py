@@ -118,15 +118,16 @@ def hot_keys(df: DataFrame, key: str, share: int = 200) -> list:
     return [r[0] for r in counts.where((F.col("__n") > n / share) & (F.col("__n") > 100)).select(key).collect()]
 
 
-def hot_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", share: int = 200) -> DataFrame:
+def hot_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", share: int = 200, hot: list | None = None) -> DataFrame:
     """df joined with ``other`` (one row a key) without sending a frequent key's rows to one task.
 
     The rest is hinted to merge: the sizes that the planner assumes after explode() are too low for it to choose a broadcast.
 
     Keys that hold over 1/share of df's rows, fewer than ``share`` of them, meet a broadcast of their rows of
-    ``other``; the rest are shuffled. how: inner, left or left_semi. df is read three times: checkpoint it first.
+    ``other``; the rest are shuffled. how: inner, left or left_semi. df is read three times: checkpoint it first. hot: those
+    keys, if known from an earlier join.
     """
-    hot = hot_keys(df, key, share)
+    hot = hot_keys(df, key, share) if hot is None else hot
     if not hot:
         return df.join(other.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

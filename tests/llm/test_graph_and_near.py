@@ -53,29 +53,91 @@ def test_url_trust(spark):
     assert url_trust.url_verdicts(pages.where("false")).collect() == []
 
 
+def rank_by_hand(edges, seed, hosts, steps=100, damping=0.8):
+    """Personalised PageRank by plain steps, in units of a seed. Own links take their share, and walks end there."""
+    out = defaultdict(int)
+    for (a, _), n in edges.items():
+        out[a] += n
+    r = {h: seed.get(h, 0.0) for h in hosts}
+    for _ in range(steps):
+        new = {h: seed.get(h, 0.0) for h in hosts}
+        for (a, b), n in edges.items():
+            if a != b:
+                new[b] += damping * r[a] * n / out[a]
+        r = new
+    return r
+
+
 def test_spread_is_personalised_pagerank(spark):
     rng = random.Random(4)
-    hosts = [f"h{i}" for i in range(12)]
-    links = {(a, b): rng.randint(1, 4) for a in hosts for b in rng.sample(hosts, 3) if a != b}
+    hosts = [f"h{i}" for i in range(14)]
+    links = {(a, b): rng.randint(1, 4) for a in hosts[:12] for b in rng.sample(hosts, 3)}
+    links |= {(h, h): rng.randint(1, 9) for h in hosts[:6]}
     trusted = {h: rng.random() for h in hosts[:4]}
-    blocked = {h: rng.random() for h in hosts[7:]}
+    blocked = {h: rng.random() for h in [*hosts[7:], "alone"]}
+    hosts.append("alone")
     seeds = spark.createDataFrame([(h, trusted.get(h, 0.0), blocked.get(h, 0.0)) for h in hosts], "host string, trusted double, blocked double")
     df = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, n long")
-    got = {r.host: (r.trust, r.distrust) for r in url_trust.spread(df, seeds, 5, 0.85).collect()}
-
-    def rank(edges, seed):
-        out, r = defaultdict(int), {h: 0.15 * seed.get(h, 0) for h in hosts}
-        for (a, _), n in edges.items():
-            out[a] += n
-        for _ in range(5):
-            new = {h: 0.15 * seed.get(h, 0) for h in hosts}
-            for (a, b), n in edges.items():
-                new[b] += 0.85 * r[a] * n / out[a]
-            r = new
-        return r
-
-    t, d = rank(links, trusted), rank({(b, a): n for (a, b), n in links.items()}, blocked)
-    assert all(got.get(h, (0, 0)) == pytest.approx((t[h], d[h])) for h in hosts)
+    got = {r.host: (r.trust, r.distrust) for r in url_trust.spread(df, seeds, 12, 0.8).collect()}
+    t, d = rank_by_hand(links, trusted, hosts), rank_by_hand({(b, a): n for (a, b), n in links.items()}, blocked, hosts)
+    part = rank_by_hand(links, trusted, hosts, 12), rank_by_hand({(b, a): n for (a, b), n in links.items()}, blocked, hosts, 12)
+    assert all(got.get(h, (0, 0)) == pytest.approx((part[0][h], part[1][h])) for h in hosts)
+    left = 5 * 0.8**13 * sum(trusted.values()), 5 * 0.8**13 * sum(blocked.values())
+    assert all(t[h] - part[0][h] <= left[0] and d[h] - part[1][h] <= left[1] for h in hosts)
+    assert got["alone"][1] == pytest.approx(blocked["alone"])
+    exact = {r.host: (r.trust, r.distrust) for r in url_trust.spread(df, seeds, 60, 0.8).collect()}
+    assert all(exact.get(h, (0, 0)) == pytest.approx((t[h], d[h]), abs=1e-4) for h in hosts)
+
+
+def test_host_edges(spark):
+    html = """<base href='http://CDN.x.org/a'><a href="/local"><A href=other.html><a href='//B.net:80/x?y'><a href="mailto:a@b.c"><a
+     href="https://r.com/go?x=1&url=https%3A%2F%2Ffar.org%2Fp"><a name=x><a href="javascript:void(0)">"""
+    rows = [("www.a.x.org", html), ("www.a.x.org", None), ("x.org", "<a href=#top>"), ("10.0.0.1", '<a href="http://x.org">'), ("", "<a href=//no.org>"), ("single", "")]
+    got = {(r.src, r.dst): r.n for r in url_trust.host_edges(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert got == {
+        ("www.a.x.org", "cdn.x.org"): 2,
+        ("www.a.x.org", "b.net:80"): 1,
+        ("www.a.x.org", "r.com"): 1,
+        ("www.a.x.org", "far.org"): 1,
+        ("www.a.x.org", "www.a.x.org"): 2,
+        ("www.a.x.org", "a.x.org"): 2,
+        ("a.x.org", "x.org"): 2,
+        ("x.org", "a.x.org"): 1,
+        ("a.x.org", "www.a.x.org"): 1,
+        ("x.org", "x.org"): 2,
+        ("10.0.0.1", "x.org"): 1,
+        ("10.0.0.1", "10.0.0.1"): 1,
+        ("single", "single"): 1,
+    }
+
+
+def test_url_trust_over_many_hosts(spark):
+    """4000 hosts with links, a hub that half of all pages are of, long html and clashing columns, against plain steps."""
+    rng, rows = random.Random(9), []
+    for i in range(8000):
+        host = "hub.big.com" if i % 2 else f"h{rng.randrange(4000)}.d{rng.randrange(40)}.{rng.choice(['net', 'org', 'com'])}"
+        path = rng.choice(["/en/1", "/fr/2", "/de/3"])
+        rows.append((i, f"http://{host}{path}", "".join(f'<a href="http://h{rng.randrange(4000)}.d{rng.randrange(40)}.net/x">' for _ in range(rng.randrange(3))) + "<p>" * (200_000 if i == 5 else 1), "h", "p", "r", "v"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, rule string, verdict string").repartition(4)
+    got = {r.page_id: r for r in url_trust.url_verdicts(pages).collect()}
+    p = spark.createDataFrame([(host_path(r[1])[0], r[2]) for r in rows], "host string, html string")
+    links = {(r.src, r.dst): r.n for r in url_trust.host_edges(p).collect()}
+    by = defaultdict(list)
+    for r in rows:
+        by[host_path(r[1])[0]].append(rule(*host_path(r[1]))[1])
+    hosts = set(by) | {x for e in links for x in e}
+    t = rank_by_hand(links, {h: v.count("allow") / len(v) for h, v in by.items()}, hosts, 80)
+    d = rank_by_hand({(b, a): n for (a, b), n in links.items()}, {h: v.count("block") / len(v) for h, v in by.items()}, hosts, 80)
+    verdicts = Counter()
+    for i, u, *_ in rows:
+        h, path = host_path(u)
+        r, v = rule(h, path)
+        assert (got[i].host, got[i].path, got[i].rule) == (h, path, r)
+        if v is None and abs(d[h] - t[h] - 1 / 3) > 0.05:
+            v = "block" if d[h] - t[h] > 1 / 3 else "allow"
+            verdicts[v] += 1
+        assert v in (None, got[i].verdict)
+    assert min(verdicts["block"], verdicts["allow"]) > 20  # propagation decides either way
 
 
 def edited(text, k, seed):
