@@ -68,15 +68,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, steps: int, damping: float, every: int = 4) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, steps: int, damping: float, every: int = 4, few: int = 100_000) -> DataFrame:
     """(host, trust, distrust) after ``steps`` steps of two personalised PageRanks.
 
     Trust flows from trusted seeds along links, distrust from blocked seeds against them: a host that links to blocked
     hosts is distrusted. Both run as one table of (kind, host), so a step is one join and one sum. Ranks are in units of
     a seed: a host that no other gives anything has its seed as rank. A host's own links take their share of what it
     passes on, and a walk ends there, so hosts do not pile up what they give to themselves. What is left out are walks of more than
-    ``steps`` links between hosts, at most damping ** steps of all seeds. seeds: host, trusted, blocked (0 to 1). links:
-    src, dst, n; own links included.
+    ``steps`` links between hosts, at most damping ** steps of all seeds. Up to ``few`` links are broadcast, more are shuffled. seeds: host, trusted,
+    blocked (0 to 1). links: src, dst, n; own links included.
     """
     kinds = F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"))))
     e = links.select("n", kinds.alias("e")).select(F.concat("e.kind", F.lit(" "), "e.a").alias("node"), F.concat("e.kind", F.lit(" "), "e.b").alias("to"), "n")
@@ -86,9 +86,10 @@ def spread(links: DataFrame, seeds: DataFrame, steps: int, damping: float, every
     e = checkpoint(hot_join(e.where("node <> to"), out, "node", hot=hot).select("node", "to", (F.col("n") / F.col("total") * damping).alias("weight")))
     seed = F.explode(F.array(F.struct(F.concat(F.lit("t "), "host").alias("node"), F.col("trusted").alias("rank")), F.struct(F.concat(F.lit("d "), "host").alias("node"), F.col("blocked").alias("rank"))))
     s = checkpoint(seeds.select(seed.alias("s")).select("s.node", "s.rank").where("rank > 0"))
-    rank = s
+    rank, small = s, e.count() <= few
     for k in range(steps):
-        flow = hot_join(e, rank, "node", hot=hot).select(F.col("to").alias("node"), (F.col("rank") * F.col("weight")).alias("rank"))
+        passed = rank.join(F.broadcast(e), "node") if small else hot_join(e, rank, "node", hot=hot)
+        flow = passed.select(F.col("to").alias("node"), (F.col("rank") * F.col("weight")).alias("rank"))
         rank = flow.unionByName(s).groupBy("node").agg(F.sum("rank").alias("rank"))
         rank = checkpoint(rank) if k % every == every - 1 else rank
     kind, host = F.substring("node", 1, 1), F.expr("substring(node, 3)")
@@ -96,7 +97,7 @@ def spread(links: DataFrame, seeds: DataFrame, steps: int, damping: float, every
     return rank.select(kind.alias("kind"), host.alias("host"), "rank").groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps: int = 12, damping: float = 0.8, margin: float = 1 / 3) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, steps: int = 12, damping: float = 0.8, margin: float = 0.2, **options) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, trust, distrust.
 
     A url that a rule fits has the rule's verdict. Of the others, those of a host whose distrust exceeds its trust by
@@ -115,7 +116,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, ste
     judged = checkpoint(p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("__verdict")))
     share = lambda v: F.avg((F.coalesce(F.col("__verdict"), F.lit("")) == v).cast("double"))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
-    scores = spread(host_edges(p), seeds, steps, damping)
+    scores = spread(host_edges(p), seeds, steps, damping, **options)
     out = hot_join(judged, scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     own = F.when(distrust - trust > margin, "block").otherwise("allow")
@@ -160,6 +161,6 @@ s AS (SELECT host, avg((own = 'allow' AND own IS NOT NULL)::INT) AS t, avg((own
 r0 AS MATERIALIZED (SELECT 't' AS kind, host, t AS rank FROM s WHERE t > 0 UNION ALL SELECT 'd', host, d FROM s WHERE d > 0),
 {_steps_sql(12)},
 f AS (SELECT host, coalesce(sum(rank) FILTER (kind = 't'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'd'), 0) AS distrust FROM r12 GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 1 / 3 THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.2 THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
 FROM j LEFT JOIN f USING (host)
 """

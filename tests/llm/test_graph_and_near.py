@@ -119,7 +119,7 @@ def test_url_trust_over_many_hosts(spark):
         path = rng.choice(["/en/1", "/fr/2", "/de/3"])
         rows.append((i, f"http://{host}{path}", "".join(f'<a href="http://h{rng.randrange(4000)}.d{rng.randrange(40)}.net/x">' for _ in range(rng.randrange(3))) + "<p>" * (200_000 if i == 5 else 1), "h", "p", "r", "v"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, rule string, verdict string").repartition(4)
-    got = {r.page_id: r for r in url_trust.url_verdicts(pages).collect()}
+    got = {r.page_id: r for r in url_trust.url_verdicts(pages, few=0).collect()}  # links are shuffled
     p = spark.createDataFrame([(host_path(r[1])[0], r[2]) for r in rows], "host string, html string")
     links = {(r.src, r.dst): r.n for r in url_trust.host_edges(p).collect()}
     by = defaultdict(list)
@@ -133,8 +133,8 @@ def test_url_trust_over_many_hosts(spark):
         h, path = host_path(u)
         r, v = rule(h, path)
         assert (got[i].host, got[i].path, got[i].rule) == (h, path, r)
-        if v is None and abs(d[h] - t[h] - 1 / 3) > 0.05:
-            v = "block" if d[h] - t[h] > 1 / 3 else "allow"
+        if v is None and abs(d[h] - t[h] - 0.2) > 0.03:
+            v = "block" if d[h] - t[h] > 0.2 else "allow"
             verdicts[v] += 1
         assert v in (None, got[i].verdict)
     assert min(verdicts["block"], verdicts["allow"]) > 20  # propagation decides either way
