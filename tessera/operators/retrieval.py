@@ -70,20 +70,20 @@ def ranked(lists: DataFrame, strategy: str, score: str, name: str) -> DataFrame:
     return lists.withColumn("rank", F.row_number().over(Window.partitionBy(strategy).orderBy(F.col(score).desc(), name)))
 
 
-def fuse(lists: DataFrame, name: str = "name") -> DataFrame:
-    """One row for each name of ranked lists (name, strategy, source, rank, score): ranks, fused score, match type and source.
+def fuse(lists: DataFrame, name: str = "name", strategies: Sequence[str] = ("lexical", "vector")) -> DataFrame:
+    """One row for each name of ranked lists (name, strategy, source, rank, score): its rank in each of the strategies, fused score, match type and source.
 
-    A local row wins over a remote one of the same name. Ranks of the lexical and the vector list are fused by
-    reciprocal rank; a row in neither keeps its score.
+    A local row wins over a remote one of the same name. Ranks in the lists of ``strategies``, any number of them, are fused by
+    reciprocal rank, and the match type is the one strategy that has the name, or hybrid; a row in none of them is listed and keeps its score.
     """
     of = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
-    one = lists.groupBy(name).agg(
-        of("lexical", "rank").alias("lexical_rank"), of("vector", "rank").alias("vector_rank"), F.min("source").alias("source"), F.max(F.when(~F.col("strategy").isin("lexical", "vector"), F.col("score"))).alias("own")
-    )
-    both = F.col("lexical_rank").isNotNull() & F.col("vector_rank").isNotNull()
-    none = F.col("lexical_rank").isNull() & F.col("vector_rank").isNull()
-    kind = F.when(both, "hybrid").when(none, "listed").when(F.col("lexical_rank").isNotNull(), "lexical").otherwise("vector")
-    return one.select(name, "source", "lexical_rank", "vector_rank", F.when(none, F.col("own")).otherwise(T.rrf(F.col("lexical_rank"), F.col("vector_rank"))).alias("score"), kind.alias("match_type"))
+    ranks = [f"{s}_rank" for s in strategies]
+    own = F.max(F.when(~F.col("strategy").isin(list(strategies)), F.col("score"))).alias("own")
+    one = lists.groupBy(name).agg(*[of(s, "rank").alias(r) for s, r in zip(strategies, ranks)], F.min("source").alias("source"), own)
+    found = sum((F.col(r).isNotNull().cast("int") for r in ranks), F.lit(0))
+    kind = F.when(found > 1, "hybrid").otherwise(F.coalesce(*[F.when(F.col(r).isNotNull(), s) for s, r in zip(strategies, ranks)], F.lit("listed")))
+    score = F.when(found == 0, F.col("own")).otherwise(T.rrf(*[F.col(r) for r in ranks]))
+    return one.select(name, "source", *ranks, score.alias("score"), kind.alias("match_type"))
 
 
 def tiered(candidates: DataFrame, k: int, name: str = "name") -> DataFrame:

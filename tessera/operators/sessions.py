@@ -99,3 +99,26 @@ def two_tier_history(turns: DataFrame, session: str, order: str, keep: int, most
     old = d.where("not recent").withColumn("__all", F.sum("__t").over(Window.partitionBy(session))).join(used, session, "left").withColumn("__left", F.lit(most) - F.coalesce("__used", F.lit(0))).where("__left > 200")
     a = new.select(session, order, F.lit("recent").alias("tier"), F.lit(False).alias("needs_compaction"))
     return a.unionByName(old.select(session, order, F.lit("earlier").alias("tier"), (F.col("__all") > F.col("__left")).alias("needs_compaction")))
+
+
+def numbered(df: DataFrame, group: Sequence[str], value: Column, ties: Sequence[str], out: str, falling: bool = False, parts: int = 64) -> DataFrame:
+    """Adds ``out``: each row's place from 1 in its group by a numeric value, then by ties; null values last.
+
+    Groups may hold most rows, so none is one window: percentiles of the value cut it into about ``parts`` ranges, rows
+    are numbered within (group, range), and what stands before a range comes from counts by range, a few rows a group.
+    """
+    v = value.cast("double")
+    cuts = df.agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 1000)).first()[0] or []  # at most ``parts`` numbers
+    cuts = sorted(set(cuts))
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < v)) if cuts else F.lit(0)
+    at = F.when(v.isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - at if falling else at)
+    d = df.withColumn("__v", value).withColumn("__at", at)
+    sums = d.groupBy(*group, "__at").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__at").alias("__range"), F.coalesce(before, F.lit(0)).alias("__before"))
+    order = F.col("__v").desc_nulls_last() if falling else F.col("__v").asc_nulls_last()
+    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy(*group, "__at").orderBy(order, *ties)))
+    same = F.col("__at") == F.col("__range")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return d.join(sums, same).withColumn(out, (F.col("__rn") + F.col("__before")).cast("long")).select(*df.columns, out)

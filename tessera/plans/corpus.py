@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import corpus as C
+from tessera.operators.sessions import numbered
 from tessera.plans.registry import Tables, query
 from tessera.plans.retrieval import TOK
 
@@ -421,4 +421,4 @@ def extension_rollup(t: Tables):
 
 @query("win_row_renumber", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents")
 def win_row_renumber(t: Tables):
-    return t.documents.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("place"))
+    return numbered(t.documents.select("doc_id", "lang"), ["lang"], F.col("doc_id"), [], "place").select("doc_id", "place")

@@ -391,7 +391,7 @@ def win_merge_adjacent(t: Tables):
 
 @query("sort_priority_rules", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part")
 def sort_priority_rules(t: Tables):
-    return t.part.select("p_partkey", F.row_number().over(S.ordered("p_brand", F.col("p_size").desc(), "p_partkey")).cast("long").alias("place"))
+    return S.numbered(t.part, ["p_brand"], F.col("p_size"), ["p_partkey"], "place", falling=True).select("p_partkey", "place")
 
 
 @query("sink_markdown_json_report", "SELECT '| ' || l_returnflag || ' | ' || count(*) || ' |' AS line FROM lineitem GROUP BY l_returnflag")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
+from tessera.operators.bm25_index import Bm25Index, index_of
+from tessera.operators.sessions import numbered
 from tessera.plans.registry import Tables, query
+from tessera.storage import new_folder
 
 #: Words that are common in the documents.
 TERMS = ["thereat", "heed", "reth"]
@@ -26,6 +29,14 @@ d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 SELECT doc_id, round(sum({_IDF} * {_BM25}), 6) AS score FROM p JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY doc_id ORDER BY sum({_IDF} * {_BM25}) DESC, doc_id LIMIT {k}"""
 
 
+FIELDS = ("source", "lang", "text")
+
+
+def index(t: Tables) -> Bm25Index:
+    """The stored index of documents, built by the first query of a session that needs it."""
+    return index_of(t.spark, f"{t.dir}/documents", t.documents, "doc_id", FIELDS, new_folder(t.spark, "bm25"))
+
+
 def _rounded(df, c="score", n=6):
     return df.withColumn(c, F.round(c, n))
 
@@ -43,13 +54,13 @@ def agg_term_freq(t: Tables):
 @query(
     "agg_doc_freq",
     f"""WITH p AS (SELECT doc_id, unnest(list_distinct({TOK})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
-SELECT term, df, round({_IDF}, 6) AS idf FROM (SELECT term, count(*) AS df FROM p GROUP BY term), n ORDER BY df DESC, term LIMIT 50""",
+SELECT term, df, round({_IDF}, 6) AS idf FROM (SELECT term, count(*) AS df FROM p GROUP BY term), n""",
 )
 def agg_doc_freq(t: Tables):
-    terms = t.documents.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    n = t.documents.agg(F.count(F.lit(1)).alias("n"))
-    top = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(50)
-    return top.crossJoin(F.broadcast(n)).select("term", "df", F.round(T.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    i = index(t)
+    n = i.documents().agg(F.count(F.lit(1)).alias("n"))
+    df = i.postings().where("tf_text > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(T.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("agg_corpus_stats", f"SELECT count(*) AS n_docs, round(avg(len({TOK})), 6) AS average FROM documents")
@@ -57,9 +68,11 @@ def agg_corpus_stats(t: Tables):
     return R.lengths(t.documents, "doc_id", {"text": 1}).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("length"), 6).alias("average"))
 
 
-@query("fn_idf", f"SELECT df, round(ln(1 + (1000 - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT unnest(range(1, 1000, 37)) AS df)")
+@query("fn_idf", f"SELECT lang, source, df, round({_IDF}, 6) AS idf FROM (SELECT lang, source, count(*) AS df FROM documents GROUP BY ALL), (SELECT count(*) AS n FROM documents)")
 def fn_idf(t: Tables):
-    return t.spark.range(1, 1000, 37).select(F.col("id").alias("df"), F.round(T.idf(F.lit(1000), F.col("id")), 6).alias("idf"))
+    n = t.documents.agg(F.count(F.lit(1)).alias("n"))
+    df = t.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("lang", "source", "df", F.round(T.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("fn_bm25_term", "SELECT l_orderkey, l_linenumber, round(1.5 * l_quantity * 2.2 / (l_quantity + 1.2 * (0.25 + 0.75 * l_linenumber / 4.0)), 6) AS score FROM lineitem")
@@ -69,12 +82,12 @@ def fn_bm25_term(t: Tables):
 
 @query("bm25_search", _bm25_sql(f"SELECT doc_id, unnest({TOK}) AS term, 1 AS w FROM documents", f"len({TOK})", 10))
 def bm25_search(t: Tables):
-    return _rounded(R.bm25_search(t.documents, "doc_id", TERMS, 10))
+    return _rounded(index(t).search(TERMS, 10, {"text": 1}))
 
 
 @query("topk_bm25", _bm25_sql(f"SELECT doc_id, unnest({TOK}) AS term, 1 AS w FROM documents", f"len({TOK})", 3))
 def topk_bm25(t: Tables):
-    return _rounded(R.bm25_search(t.documents, "doc_id", TERMS, 3))
+    return _rounded(index(t).search(TERMS, 3, {"text": 1}))
 
 
 @query(
@@ -86,7 +99,24 @@ def topk_bm25(t: Tables):
     ),
 )
 def bm25_field_weighted(t: Tables):
-    return _rounded(R.bm25_search(t.documents, "doc_id", TERMS, 10, {"source": 4, "lang": 2, "text": 1}))
+    return _rounded(index(t).search(TERMS, 10, {"source": 4, "lang": 2, "text": 1}))
+
+
+_HALF = "(SELECT doc_id, source, lang, CASE WHEN doc_id % 5 = 0 THEN 'heed ' || source ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1)"
+
+
+@query("bm25_index_refresh", _bm25_sql(f"SELECT doc_id, unnest({TOK}) AS term, 1 AS w FROM {_HALF}", f"len({TOK})", 10).replace("AS length FROM documents", f"AS length FROM {_HALF}"))
+def bm25_index_refresh(t: Tables):
+    """A fifth of the documents changed, a fifth removed."""
+    i = Bm25Index(t.spark, new_folder(t.spark, "bm25"), "doc_id", ["text"], 4).build(t.documents)
+    new = t.documents.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("heed "), "source"))
+    return _rounded(i.refresh(new, t.documents.where("doc_id % 5 = 1")).search(TERMS, 10))
+
+
+@query("bm25_ad_hoc", _bm25_sql(f"SELECT doc_id, unnest({TOK}) AS term, 1 AS w FROM documents WHERE lang = 'en'", f"len({TOK})", 10).replace("AS length FROM documents", "AS length FROM documents WHERE lang = 'en'"))
+def bm25_ad_hoc(t: Tables):
+    """Without an index: one pass over documents that were filtered before."""
+    return _rounded(R.bm25_search(t.documents.where("lang = 'en'"), "doc_id", TERMS, 10))
 
 
 @query(
@@ -132,7 +162,7 @@ def fn_rrf(t: Tables):
 
 @query("win_rank_stamp", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
 def win_rank_stamp(t: Tables):
-    return R.ranked(t.documents, "source", "n_chars", "doc_id").select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
+    return numbered(t.documents, ["source"], F.col("n_chars"), ["doc_id"], "rank", falling=True).select("doc_id", "source", "rank")
 
 
 def _lists(t: Tables):
@@ -140,8 +170,8 @@ def _lists(t: Tables):
     long = t.documents.select(F.col("doc_id").alias("name"), F.col("n_chars").cast("double").alias("score")).orderBy(F.col("score").desc(), "name").limit(60).withColumn("strategy", F.lit("lexical"))
     near = R.vector_search(t.embeddings, "vec_id", "embedding", _query_vector(t), 60).select(F.col("vec_id").alias("name"), F.col("sim").alias("score")).withColumn("strategy", F.lit("vector"))
     all_ = t.documents.select(F.col("doc_id").alias("name"), F.lit(1.0).alias("score")).withColumn("strategy", F.lit("listed"))
-    lists = long.unionByName(near).unionByName(all_).withColumn("source", F.when(F.col("name") % 3 == 0, "local").otherwise("remote"))
-    return R.ranked(lists, "strategy", "score", "name")
+    lists = R.ranked(long.unionByName(near), "strategy", "score", "name").unionByName(all_.withColumn("rank", F.lit(None).cast("int")))  # lists of 60 rows are ranked; listed rows need no rank
+    return lists.withColumn("source", F.when(F.col("name") % 3 == 0, "local").otherwise("remote"))
 
 
 _LISTS = f"""
