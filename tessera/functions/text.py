@@ -106,9 +106,54 @@ def error_fingerprint(text: Column) -> Column:
 
 
 def action_signature(tool: Column, arguments: Column) -> Column:
+    """SHA-1 of the tool and its arguments as they stand; ``events.signed`` brings JSON objects to one form before."""
     return F.sha1(F.concat(tool, F.lit("|"), arguments))
 
 
+#: Words by which an answer concludes.
+CONCLUSIONS = ["综上", "总结", "结论", "final", "in summary", "overall", "完成", "done"]
+
+
+def concludes(text: Column) -> Column:
+    return either([F.lower(F.coalesce(text, F.lit(""))).contains(w) for w in CONCLUSIONS])
+
+
+def task_signal(
+    category: Column, *, repeated: Column, success: Column, files: Column, dependencies: Column, error_changed: Column, concluding: Column, new_urls: Column, new_entities: Column, has_entities: Column, error: Column
+) -> Column:
+    """none, weak, medium or strong: what a step of a task has brought. files and dependencies: how many were made or installed; error: its text."""
+    found = has_entities & (F.coalesce(error, F.lit("")) == "")
+    weak = F.when(found, "weak").otherwise("none")
+    seen = F.when(new_urls >= 2, "strong").when((new_urls >= 1) | (new_entities >= 2), "medium").otherwise(weak)
+    useful = F.when(files > 0, "strong").when((dependencies > 0) | error_changed | concluding, "medium").when(category == "observation", seen).otherwise(weak)
+    return F.when(repeated | ~success, "none").otherwise(useful)
+
+
+def step_output(raw: Column, most: int = 500) -> Column:
+    """What a step hands on: the first of output, summary and result of a JSON object that is not empty, else the text; cut."""
+    of = lambda k: F.nullif(F.get_json_object(raw, f"$.{k}"), F.lit(""))
+    named = F.when(F.ltrim(raw).startswith("{") & F.try_parse_json(raw).isNotNull(), F.coalesce(of("output"), of("summary"), of("result")))
+    return F.substring(F.coalesce(named, raw), 1, most)
+
+
+def slim_result(content: Column, most: int = 300, historical: bool = False) -> Column:
+    """A tool's result in short: its status and summary, a line for each of its first ten results, or the text cut after ``most`` characters."""
+    kind = "ok boolean, skill_name string, summary string, results array<struct<tool: string, error: string, result: string>>"
+    o = F.when(F.ltrim(content).startswith("{") & F.try_parse_json(content).isNotNull(), F.from_json(content, kind))
+    status = F.when(o["ok"], "OK").when(~o["ok"], "FAIL").otherwise("?")
+    single = F.concat(F.lit("[tool: "), F.coalesce(o["skill_name"], F.lit("unknown")), F.lit("] "), status, F.lit(" — "), F.coalesce(o["summary"], F.lit("")))
+    err = lambda r: F.coalesce(r["error"], F.lit(""))
+    line = lambda r: F.concat(F.lit("  - "), F.coalesce(r["tool"], F.lit("unknown")), F.when(err(r) != "", F.concat(F.lit(": FAIL — "), F.substring(err(r), 1, 80))).otherwise(F.concat(F.lit(": OK — "), F.substring(F.coalesce(r["result"], F.lit("")), 1, 80))))
+    batch = F.concat(F.lit("[batch results]\n"), F.array_join(F.transform(F.slice(o["results"], 1, 10), line), "\n"))
+    out = F.when(o["skill_name"].isNotNull() | o["summary"].isNotNull(), single).when(F.size(o["results"]) > 0, batch).otherwise(truncated(content, most, "...[truncated]"))
+    return F.concat(F.lit("[historical] "), out) if historical else out
+
+
+def backoff(attempt: Column, base: float = 0.5, most: float = 30.0) -> Column:
+    """Seconds to wait after ``attempt`` failures (from 0): base doubled each time, ``most`` at the longest."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
 #: Fixed values: (error type, category, retryable, patterns), tried in this order.
 ERROR_RULES = [
     ("timeout", "timeout", True, [r"\btimeout\b", "timed out", "deadline exceeded", "operation timed out", "read timed out"]),
@@ -192,6 +237,7 @@ def script_class(text: Column, script: str = "Latin", target: float = 0.95, othe
     return F.when(F.coalesce(F.trim(F.regexp_replace(text, r"\s", "")), F.lit("")) == "", "empty").when(letters == 0, "unknown").when(ratio >= target, "target").when(ratio <= other, "non_target").otherwise("mixed")
 
 
+#: Fixed value: a commit subject by its convention.
 _COMMIT = r"(?i)^(feat|fix|docs|refactor|chore|test|style|perf|ci|build|revert)(?:\(([^)]+)\))?(!)?:\s*(.+)$"
 
 

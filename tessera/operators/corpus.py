@@ -35,6 +35,18 @@ def grep(docs: DataFrame, key: str, text: str, pattern: str, most: int = 100) ->
     return found.orderBy(key, "line_no").limit(most)
 
 
+def file_index(files: DataFrame, path: str = "path") -> DataFrame:
+    """(word, paths): the inverted index of paths by the words in them, in lower case."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.col(path)), "[^a-z0-9]+"), lambda x: x != ""))
+    return files.select(F.col(path).alias("path"), F.explode(words).alias("word")).groupBy("word").agg(F.collect_set("path").alias("paths"))
+
+
+def found_files(index: DataFrame, wanted: Sequence[str], most: int = 20) -> DataFrame:
+    """(path): the first ``most`` paths that have a word which holds one of the wanted ones. Words that do not match are left out before their paths are read out."""
+    hit = T.either([F.col("word").contains(w.lower()) for w in wanted])
+    return index.where(hit).select(F.explode("paths").alias("path")).distinct().orderBy("path").limit(most)
+
+
 def references(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(key, target): distinct targets that a document refers to."""
     return docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("target"))
@@ -86,20 +98,31 @@ def related(refs: DataFrame, changes: DataFrame) -> DataFrame:
     return r.join(c, "key").groupBy("doc", "hash", "day").agg(F.array_sort(F.collect_set("ref")).alias("matched"))
 
 
+#: Patterns of topics; the first group is the topic.
+TOPICS = ["`([^`]+)`", r"(?m)^#+\s+(.+?)$", r"(?m)(?:^|\s)([a-zA-Z0-9_./\-]+\.(?:py|js|ts|json|yaml|yml|md|txt|conf|cfg|sh|rb|go|rs))"]
+
+
 def topics(markdown: Column) -> Column:
     """Distinct terms in backquotes, headings and file paths, in lower case."""
-    parts = [("`([^`]+)`", 1), (r"(?m)^#+\s+(.+?)$", 1), (r"(?m)(?:^|\s)([a-zA-Z0-9_./\-]+\.(?:py|js|ts|json|yaml|yml|md|txt|conf|cfg|sh|rb|go|rs))", 1)]
-    found = F.concat(*[F.regexp_extract_all(markdown, F.lit(p), F.lit(g)) for p, g in parts])
+    found = F.concat(*[F.regexp_extract_all(markdown, F.lit(p), F.lit(1)) for p in TOPICS])
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
 
 
+#: Fixed values: (language, what its lines look like), tried in this order after json.
+LANGUAGES = [
+    ("python", r"(?m)^\s*(def |class |import |from \w+ import|print\()"),
+    ("bash", r"(?m)^\s*(\$ |sudo |apt |apt-get |npm |pip |pip3 |yarn |brew |cd |git |python3? |curl |wget |echo |export )"),
+    ("yaml", r"(?m)^[A-Za-z_][\w\-]*:\s"),
+]
+
+
 def fence_language(code: Column) -> Column:
     """json, python, bash, yaml or text, by the look of a code block."""
     t = F.ltrim(code)
-    json = (t.startswith("{") | t.startswith("[")) & code.contains('"')
-    python = code.rlike(r"(?m)^\s*(def |class |import |from \w+ import|print\()")
-    bash = t.startswith("#!/") | code.rlike(r"(?m)^\s*(\$ |sudo |apt |apt-get |npm |pip |pip3 |yarn |brew |cd |git |python3? |curl |wget |echo |export )")
-    return F.when(json, "json").when(python, "python").when(bash, "bash").when(code.rlike(r"(?m)^[A-Za-z_][\w\-]*:\s"), "yaml").otherwise("text")
+    case = F.when((t.startswith("{") | t.startswith("[")) & code.contains('"'), "json")
+    for kind, pattern in LANGUAGES:
+        case = case.when(code.rlike(pattern) | (t.startswith("#!/") if kind == "bash" else F.lit(False)), kind)
+    return case.otherwise("text")
 
 
 #: Link texts that say nothing.
@@ -179,13 +202,14 @@ class _Main(HTMLParser):
         if tag in self.SKIP:
             self.skip.append(tag)
         elif tag in ("main", "article"):
+            self.skip.clear()  # frames that were never closed end where the content begins
             self.inside += 1
         if not self.skip and tag in self.BLOCK:
             self._add("\n" + ("#" * int(tag[1]) + " " if tag[0] == "h" and tag[1:].isdigit() else "- " if tag == "li" else ""))
 
     def handle_endtag(self, tag):
-        if self.skip and tag == self.skip[-1]:
-            self.skip.pop()
+        if tag in self.skip:  # what was left open inside it ends with it
+            del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag) :]
         elif tag in ("main", "article"):
             self.inside = max(0, self.inside - 1)
 
@@ -194,7 +218,7 @@ class _Main(HTMLParser):
             self._add(data)
 
 
-def page_text(html: str | None, most: int) -> str:
+def page_text(html: str | None, most: int | None = None) -> str:
     parser = _Main()
     parser.feed(html or "")
     parser.close()
@@ -202,8 +226,8 @@ def page_text(html: str | None, most: int) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()[:most]
 
 
-def main_text(pages: DataFrame, key: str, html: str, most: int = 15_000) -> DataFrame:
-    """(key, text): a page's main text as light Markdown."""
+def main_text(pages: DataFrame, key: str, html: str, most: int | None = 15_000) -> DataFrame:
+    """(key, text): a page's main text as light Markdown, up to ``most`` characters (None: all)."""
     return per_document(pages.select(key, html), f"{key} long, text string", lambda i, h: iter([(i, page_text(h, most))]))
 
 
@@ -293,7 +317,7 @@ def _guess(code: str) -> str:
         return "text"
     if x[0] in "{[" and '"' in code:
         return "json"
-    for kind, pattern in (("python", r"(?m)^\s*(def |class |import |from \w+ import|print\()"), ("bash", r"(?m)^\s*(\$ |sudo |apt |apt-get |npm |pip |pip3 |yarn |brew |cd |git |python3? |curl |wget |echo |export )"), ("yaml", r"(?m)^[A-Za-z_][\w\-]*:\s")):
+    for kind, pattern in LANGUAGES:
         if re.search(pattern, code) or kind == "bash" and x.startswith("#!/"):
             return kind
     return "text"

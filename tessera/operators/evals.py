@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sessions import ordered
+
 
 def stats(rows: DataFrame, config: Column, value: str, digits: int = 4) -> DataFrame:
     """Mean, sample deviation (0 for one row), least and largest value of each configuration."""
@@ -102,11 +104,45 @@ def allowed(tools: DataFrame, name: str, wanted: Sequence[str] | None, virtual:
 
 
 def route(calls: DataFrame, tool: str, workers: DataFrame, worker: str, can: str) -> DataFrame:
-    """(tool, worker): the workers that can run each tool; all of them for a tool that none can."""
+    """(tool, worker): the workers that can run each tool; all of them for a tool that none can. calls may repeat tools; few or many workers join alike, as sizes decide."""
     able = workers.select(worker, F.explode(can).alias(tool)).distinct()
-    direct = calls.join(F.broadcast(able), tool).select(tool, worker)  # workers are a dimension of a few rows
-    rest = calls.join(F.broadcast(able), tool, "left_anti").crossJoin(F.broadcast(workers.select(worker))).select(tool, worker)
-    return direct.unionByName(rest)
+    tools = calls.select(tool).distinct()
+    per_tool = tools.join(able.select(tool).distinct().withColumn("__some", F.lit(True)), tool, "left")
+    wanted = per_tool.select(tool, F.when(F.col("__some"), F.col(tool)).alias("__tool"))  # null: any worker
+    every = workers.select(worker).distinct().withColumn("__tool", F.lit(None).cast(dict(calls.dtypes)[tool]))
+    offers = able.select(worker, F.col(tool).alias("__tool")).unionByName(every)
+    return wanted.join(offers, wanted["__tool"].eqNullSafe(offers["__tool"])).select(tool, worker)
+
+
+#: Endings of files that are results in their own right.
+CORE_ENDINGS = [".pptx", ".docx", ".xlsx", ".pdf", ".py", ".js", ".ts", ".java", ".go", ".rs", ".html", ".css", ".md", ".json", ".yaml", ".yml", ".csv", ".db", ".sqlite"]
+
+
+def locked_artifacts(files: DataFrame, run: str, order: Sequence[str], path: str, preferred: str | None = None) -> DataFrame:
+    """Adds accepted and existing: whether a run may make a file, and the file to edit instead.
+
+    The first file of each ending of CORE_ENDINGS is the run's core file of that ending. A later one is refused if its
+    name is the same without versions and the like; with ``preferred``, once that ending has its core file, so is the
+    first file of any other. Paths that came before and other endings are accepted.
+    """
+    name = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+    ending = F.regexp_extract(F.lower(path), r"(\.[^./]*)$", 1)
+    stem = F.regexp_replace(F.regexp_replace(name, r"[_-]?(v\d+|final|draft|copy|backup|new|old)[_-]?", ""), r"(?<=.)\.[^.]*$", "")
+    core = ending.isin(CORE_ENDINGS)
+    d = files.withColumns({"__e": ending, "__s": stem, "__core": core, "__again": F.row_number().over(ordered([run, path], *order)) > 1})
+    if preferred:  # others wait from the preferred ending's first file on
+        seen = F.max((F.col("__e") == preferred).cast("int")).over(ordered(run, *order).rowsBetween(Window.unboundedPreceding, -1))
+        chosen = F.first(F.when(F.col("__e") == preferred, F.col(path)), ignorenulls=True).over(ordered(run, *order).rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("__barred", F.col("__core") & (F.col("__e") != preferred) & (F.coalesce(seen, F.lit(0)) == 1)).withColumn("__chosen", chosen)
+    else:
+        d = d.withColumn("__barred", F.lit(False)).withColumn("__chosen", F.lit(None).cast("string"))
+    first = ordered([run, "__e"], *order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("__core") & ~F.col("__barred"), F.struct(F.col(path).alias("p"), F.col("__s").alias("s")))
+    d = d.withColumn("__first", F.first(own, ignorenulls=True).over(first))
+    similar = F.col("__core") & (F.col("__first.p") != F.col(path)) & (F.col("__first.s") == F.col("__s"))
+    existing = F.when(F.col("__again"), F.lit(None)).when(F.col("__barred"), F.col("__chosen")).when(similar, F.col("__first.p"))
+    d = d.withColumn("existing", existing).withColumn("accepted", F.col("existing").isNull())
+    return d.drop("__e", "__s", "__core", "__again", "__barred", "__chosen", "__first")
 
 
 def version_drift(sites: DataFrame, canonical: str) -> DataFrame:

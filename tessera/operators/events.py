@@ -6,12 +6,15 @@ after each row. Windows are partitioned by run, so a log of many runs spreads ov
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.corpus import per_document
 from tessera.operators.sessions import islands, ordered, so_far
 
 
@@ -123,11 +126,28 @@ def saturation(results: DataFrame, run: str, order: str, text: str, query: str,
     w = ordered(run, order)
     d = content_similarity(results, run, order, text)
     d = d.withColumns({"__e": T.entities(F.col(text)), "__q": F.array_distinct(F.filter(F.split(F.lower(F.col(query)), r"\s+"), lambda x: x != ""))})
-    d = d.withColumns({"__n": F.count(F.lit(1)).over(so_far(run, order)), "__sim": F.avg("jaccard").over(w.rowsBetween(-1, 0)), "__recent": F.flatten(F.collect_list("__e").over(w.rowsBetween(-2, 0))), "__all": F.flatten(F.collect_list("__e").over(so_far(run, order))), "__qs": F.collect_list("__q").over(w.rowsBetween(-4, 0))})
-    distinct = F.array_distinct("__recent")
-    fresh = F.size(F.filter(distinct, lambda e: F.size(F.filter("__all", lambda x: x == e)) <= 1)) / F.size(distinct)
-    fresh = F.when(F.size(distinct) > 0, fresh).otherwise(1.0)
+    # How often an entity was seen in the run up to each row: windows of one entity, not of the whole run.
+    seen = d.select(run, order, F.posexplode("__e").alias("__k", "__x")).withColumn("__c", F.count(F.lit(1)).over(so_far([run, "__x"], order)))
+    seen = seen.groupBy(run, order).agg(F.collect_list(F.struct(F.col("__x").alias("x"), F.col("__c").alias("c"))).alias("__seen"))
+    d = d.drop("__e").join(seen, [run, order], "left")
+    d = d.withColumns({"__n": F.count(F.lit(1)).over(so_far(run, order)), "__sim": F.avg("jaccard").over(w.rowsBetween(-1, 0)), "__recent": F.flatten(F.collect_list("__seen").over(w.rowsBetween(-2, 0))), "__qs": F.collect_list("__q").over(w.rowsBetween(-4, 0))})
+    distinct = F.array_distinct(F.transform("__recent", lambda r: r["x"]))
+    again = F.array_distinct(F.transform(F.filter("__recent", lambda r: r["c"] > 1), lambda r: r["x"]))
+    fresh = F.when(F.size(distinct) > 0, 1 - F.size(again) / F.size(distinct)).otherwise(1.0)
     pairs = F.flatten(F.transform("__qs", lambda a, i: F.transform(F.slice("__qs", i + 2, F.size("__qs")), lambda b: T.jaccard(a, b))))
     mean = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)
     kind = F.when(F.col("__sim") > similar, "content_similarity").when(fresh < new, "low_new_entities").when(1 - mean < varied, "repetitive_queries")
-    return d.withColumn("saturated", F.when(F.col("__n") >= 3, kind)).drop("__e", "__q", "__n", "__sim", "__recent", "__all", "__qs")
+    return d.withColumn("saturated", F.when(F.col("__n") >= 3, kind)).drop("__q", "__n", "__sim", "__recent", "__seen", "__qs")
+
+
+def _canonical(arguments: str | None) -> str:
+    try:
+        value = json.loads(arguments or "")
+    except ValueError:
+        return arguments or ""
+    return json.dumps(value, sort_keys=True, ensure_ascii=False) if isinstance(value, dict) else arguments or ""
+
+
+def signed(actions: DataFrame, key: str, tool: str, arguments: str) -> DataFrame:
+    """(key, signature): SHA-1 of the tool and its arguments, JSON objects with their keys in order at every level, so that the order in which a caller writes them does not matter. Null arguments are empty."""
+    return per_document(actions.select(F.col(key).cast("long").alias(key), tool, arguments), f"{key} long, signature string", lambda i, t, a: iter([(i, hashlib.sha1(f"{t}|{_canonical(a)}".encode()).hexdigest())]))

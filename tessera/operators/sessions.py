@@ -122,3 +122,45 @@ def numbered(df: DataFrame, group: Sequence[str], value: Column, ties: Sequence[
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     return d.join(sums, same).withColumn(out, (F.col("__rn") + F.col("__before")).cast("long")).select(*df.columns, out)
+
+
+def duplicate_entries(entries: DataFrame, owner: str, order: str, text: str) -> DataFrame:
+    """Adds duplicate: whether the trimmed entry stands in an earlier entry of its owner that is not blank.
+
+    Entries meet by (owner, a word): the longest of an entry's inner words, which stands whole in any text that holds the
+    entry. Entries of fewer than three words meet all earlier ones of their owner.
+    """
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    d = entries.withColumn("__t", trimmed)
+    words = F.split("__t", r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    new = d.select(owner, order, "__t", F.coalesce(best, F.lit("")).alias("__w")).where("__t is not null")
+    held = d.where("__t <> ''").select(F.col(owner).alias("__owner"), F.col(order).alias("__at"), F.col(text).alias("__held"), F.explode(F.array_distinct(F.concat(F.split(F.col(text), r"\s+"), F.array(F.lit(""))))).alias("__h"))
+    on = (F.col(owner) == F.col("__owner")) & (F.col("__w") == F.col("__h")) & (F.col("__at") < F.col(order)) & F.col("__held").contains(F.col("__t"))
+    found = new.join(held, on, "left_semi").select(owner, order, F.lit(True).alias("__found"))
+    return entries.join(found, [owner, order], "left").withColumn("duplicate", F.coalesce("__found", F.lit(False))).drop("__found")
+
+
+def repaired_messages(messages: DataFrame, session: str, order: str, most: int = 500) -> DataFrame:
+    """Messages (session, order, role, content, has_calls) that strict services accept.
+
+    An assistant's message without content that calls tools has null content. One without content or calls has lost its
+    calls: the tool messages right after it become one message of the user, each cut at ``most`` characters, and it is
+    left out if there are none.
+    """
+    lost = (F.col("role") == "assistant") & (F.coalesce("content", F.lit("")) == "") & ~F.col("has_calls")
+    d = messages.withColumn("__lost", lost).withColumn("__g", F.sum((F.col("role") != "tool").cast("long")).over(so_far(session, order)))
+    d = d.withColumn("__in", F.first(F.col("__lost")).over(ordered([session, "__g"], order).rowsBetween(Window.unboundedPreceding, 0)) & ((F.col("role") == "tool") | F.col("__lost")) & (F.col("__g") > 0))
+    plain = d.where(~F.col("__in")).select(session, order, "role", F.when((F.col("role") == "assistant") & (F.col("content") == ""), F.lit(None)).otherwise(F.col("content")).alias("content"), "has_calls")
+    parts = d.where(F.col("__in")).groupBy(session, "__g").agg(F.min(order).alias(order), F.array_sort(F.collect_list(F.when(~F.col("__lost"), F.struct(F.col(order).alias("o"), F.substring(F.coalesce("content", F.lit("")), 1, most).alias("x"))))).alias("__l"))
+    joined = F.concat(F.lit("[Tool Result]\n"), F.array_join(F.transform("__l", lambda r: r["x"]), "\n---\n"))
+    return plain.unionByName(parts.where(F.size("__l") > 0).select(session, order, F.lit("user").alias("role"), joined.alias("content"), F.lit(False).alias("has_calls")))
+
+
+def assembled(deltas: DataFrame, session: str, index: str, order: str) -> DataFrame:
+    """(session, index, id, name, arguments) of tool calls that come in fragments (id, name, arguments): the last id and name that are not empty, empty if none is, and all arguments in order."""
+    last = lambda c: F.coalesce(F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col(order))), F.lit(""))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("arguments", F.lit("")).alias("x"))))
+    g = deltas.groupBy(session, F.coalesce(index, F.lit(0)).alias(index)).agg(last("id").alias("id"), last("name").alias("name"), parts.alias("__l"))
+    return g.withColumn("arguments", F.array_join(F.transform("__l", lambda r: r["x"]), "")).drop("__l")

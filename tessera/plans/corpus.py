@@ -169,9 +169,15 @@ def filter_scope_set(t: Tables):
     return t.orders.where(F.lower("o_orderpriority").isin("1-urgent", "3-medium")).select("o_orderkey")
 
 
-@query("search_file_index", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_partkey LIMIT 20")
+_WORDS_OF = "list_distinct(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@query("search_file_index", f"""WITH f AS (SELECT p_brand || '/' || replace(p_name, ' ', '_') || '.' || (['md', 'py'])[p_size % 2 + 1] AS path FROM part), w AS (SELECT path, unnest({_WORDS_OF}) AS word FROM f)
+SELECT path FROM (SELECT DISTINCT path FROM w WHERE contains(word, 'brand#1') OR contains(word, 'an') OR contains(word, '3')) ORDER BY path LIMIT 20""")
 def search_file_index(t: Tables):
-    return t.part.where(F.lower("p_name").contains("a")).select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
+    ending = F.when(F.col("p_size") % 2 == 0, ".md").otherwise(".py")
+    d = t.part.select(F.concat("p_brand", F.lit("/"), F.translate("p_name", " ", "_"), ending).alias("path"))
+    return C.found_files(C.file_index(d), ["Brand#1", "an", "3"])
 
 
 @query("fn_fingerprint", r"SELECT fp, count(*) AS n, min(doc_id) AS min_doc FROM (SELECT doc_id, substr(md5(substr(regexp_replace(lower(text), '[^\x{4e00}-\x{9fa5}a-zA-Z0-9]', '', 'g'), 1, 200)), 1, 16) AS fp FROM documents) GROUP BY fp HAVING count(*) > 1")
@@ -225,7 +231,8 @@ def fn_extract_urls(t: Tables):
     return t.pages.select("page_id", F.array_join(T.urls(F.concat("url", F.lit(" "), "url", F.lit("x"))), " ").alias("urls"))
 
 
-@query("fn_extract_entities")
+@query("fn_extract_entities", """SELECT page_id, list_sort(list_distinct(list_concat(list_slice(regexp_extract_all(x, 'https?://[^\\s\\]\\)"''>]+'), 1, 5), list_slice(regexp_extract_all(x, '[\\x{4e00}-\\x{9fa5}]{2,}诉[\\x{4e00}-\\x{9fa5}]{2,}案'), 1, 3),
+list_slice(regexp_extract_all(x, '[\\x{4e00}-\\x{9fa5}]{2,}(?:公司|集团|企业)'), 1, 5), list_slice(regexp_extract_all(x, '202[0-5]'), 1, 3)))) AS entities FROM (SELECT page_id, url || ' 2024 甲乙公司 丙丁诉戊己案' AS x FROM pages)""")
 def fn_extract_entities(t: Tables):
     return t.pages.select("page_id", F.array_sort(T.entities(F.concat("url", F.lit(" 2024 甲乙公司 丙丁诉戊己案")))).alias("entities"))
 
@@ -254,10 +261,16 @@ def agg_commit_summary(t: Tables):
     return t.orders.agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("authors"), F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query("fn_case_convert", r"""SELECT c_custkey, lower(replace(regexp_replace(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '-', '_')) AS snake FROM (SELECT c_custkey, 'PDFReader-' || c_mktsegment || 'getItem' || c_custkey AS n FROM customer)""")
+_SNAKE = r"lower(replace(regexp_replace(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '-', '_'))"
+_CAPITAL = "list_transform(string_split(snake, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2))"
+
+
+@query("fn_case_convert", f"""WITH s AS (SELECT c_custkey, {_SNAKE} AS snake FROM (SELECT c_custkey, 'PDFReader-' || c_mktsegment || '_get' || c_mktsegment || 'ItemURL' || c_custkey || c_nationkey || 'x' AS n FROM customer))
+SELECT c_custkey, snake, replace(snake, '_', '-') AS kebab, array_to_string({_CAPITAL}, '') AS pascal, lower(substr(snake, 1, 1)) || substr(array_to_string({_CAPITAL}, ''), 2) AS camel, array_to_string({_CAPITAL}, ' ') AS title FROM s""")
 def fn_case_convert(t: Tables):
-    n = F.concat(F.lit("PDFReader-"), "c_mktsegment", F.lit("getItem"), F.col("c_custkey").cast("string"))
-    return t.customer.select("c_custkey", T.snake_case(n).alias("snake"))
+    n = F.concat(F.lit("PDFReader-"), "c_mktsegment", F.lit("_get"), "c_mktsegment", F.lit("ItemURL"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.lit("x"))
+    cases = {"snake": T.snake_case, "kebab": T.kebab_case, "pascal": T.pascal_case, "camel": T.camel_case, "title": T.title_case}
+    return t.customer.select("c_custkey", *[f(n).alias(c) for c, f in cases.items()])
 
 
 @query("fn_normalize_name", "SELECT c_custkey, replace(replace(lower(trim(' My-' || c_mktsegment || ' name ')), '-', '_'), ' ', '_') AS name FROM customer")
@@ -315,14 +328,38 @@ def text_chunk(t: Tables):
     return C.chunks(t.documents, "doc_id", "text", 4000)
 
 
-@query("scan_http_page")
+_ENTITY = {"&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&amp;": "&"}
+
+
+def _plain_sql(html: str) -> str:
+    """Text of an article without nested tags of its own kind: headings and items marked, other blocks begin a line."""
+    out = f"regexp_replace({html}, '(?is)<(script|style|nav|footer|aside|header)\\b.*?</(script|style|nav|footer|aside|header)>|<!--.*?-->', '', 'g')"
+    for k in range(1, 7):
+        out = f"regexp_replace({out}, '(?i)<h{k}\\b[^>]*>', chr(10) || '{'#' * k} ', 'g')"
+    out = f"regexp_replace({out}, '(?i)<li\\b[^>]*>', chr(10) || '- ', 'g')"
+    out = f"regexp_replace({out}, '(?i)<(p|div|br|tr|section)\\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    for a, b in _ENTITY.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    out = f"regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+_ARTICLE = _plain_sql("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")
+
+
+@query("scan_http_page", f"SELECT page_id, url, {_ARTICLE} AS text FROM pages WHERE html LIKE '%<article>%'")
 def scan_http_page(t: Tables):
-    return C.main_text(t.pages, "page_id", "html")
+    """Pages of a source that serves them by address, and their text."""
+    served = t.pages.where(F.col("html").contains("<article>")).select("page_id", "url", "html")
+    return C.main_text(served, "page_id", "html", None).join(served.select("page_id", "url"), "page_id").select("page_id", "url", "text")
 
 
-@query("fn_html_main_text")
+@query("fn_html_main_text", f"SELECT page_id, substr({_ARTICLE}, 1, 15000) AS text FROM pages WHERE html LIKE '%<article>%'")
 def fn_html_main_text(t: Tables):
-    return C.main_text(t.pages, "page_id", "html", 500)
+    """The main text, up to 15,000 characters; frames that are left open do not swallow it."""
+    broken = F.replace(F.replace("html", F.lit("</nav>"), F.lit("")), F.lit("<nav>"), F.lit("<aside><nav>x</aside><nav>"))
+    return C.main_text(t.pages.where(F.col("html").contains("<article>")).select("page_id", broken.alias("html")), "page_id", "html")
 
 
 @query("style_autofix")
@@ -331,13 +368,16 @@ def style_autofix(t: Tables):
     return C.lint(t.documents.select("doc_id", md.alias("text")), "doc_id", "text")
 
 
-@query("signature_extract")
+@query(
+    "signature_extract",
+    """SELECT p_partkey, kind, name, signature, doc FROM part, LATERAL (VALUES ('function', 'f' || p_partkey, 'f' || p_partkey || '(a: int, *b, c=1) -> str', 'Doc.'), ('class', 'A', 'A(Base)', NULL), ('function', 'm', 'm(self)', NULL)) v(kind, name, signature, doc)""",
+)
 def signature_extract(t: Tables):
     code = F.concat(F.lit("import os\n\ndef f"), F.col("p_partkey").cast("string"), F.lit("(a: int, *b, c=1) -> str:\n    \"\"\"Doc.\"\"\"\n    return os.name\n\nclass A(Base):\n    def m(self): pass\n"))
     return C.signatures(t.part.select("p_partkey", code.alias("code")), "p_partkey", "code")
 
 
-@query("fn_import_modules")
+@query("fn_import_modules", "SELECT p_partkey, unnest(['m' || p_partkey % 3, 'numpy', 'pandas']) AS module FROM part")
 def fn_import_modules(t: Tables):
     code = F.concat(F.lit("import os, numpy as np\nfrom pandas.core import x\nimport m"), (F.col("p_partkey") % 3).cast("string"))
     return C.imports(t.part.select("p_partkey", code.alias("code")), "p_partkey", "code")
@@ -349,21 +389,28 @@ def fn_close_matches(t: Tables):
     return C.close_matches(t.nation.select("n_nationkey", F.lower(F.substring("n_name", 1, 5)).alias("name")), "n_nationkey", "name", [n.lower() for n in names])
 
 
-@query("win_heading_level_map")
+#: Lines of a text without marks of its own, with a head that has some.
+_PLAIN = "regexp_replace(coalesce(text, ''), '[#`~-]', '.', 'g')"
+
+
+@query("win_heading_level_map", "SELECT doc_id, line_no, level, emitted FROM documents, (VALUES (1, 1, 1), (2, 3, 2), (3, 4, 3), (4, 3, 2), (5, 2, 2), (9, 5, 3)) v(line_no, level, emitted)")
 def win_heading_level_map(t: Tables):
-    md = F.concat(F.lit("# A\n### B\n#### C\n### D\n## E\n"), "text")
+    md = F.concat(F.lit("# A\n### B\n#### C\n### D\n## E\n```\n# no\n```\n##### F\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[#`~-]", "."))
     return C.heading_levels(t.documents.select("doc_id", md.alias("text")), "doc_id", "text")
 
 
-@query("win_fence_mask")
+@query("win_fence_mask", f"SELECT doc_id, line_no::INT AS line_no, line_no IN (1, 2, 3, 6, 7, 11) AS protected FROM (SELECT doc_id, unnest(range(1, 13 + len(string_split({_PLAIN}, chr(10))))) AS line_no FROM documents)")
 def win_fence_mask(t: Tables):
-    md = F.concat(F.lit("---\nx: 1\n---\ntext\n```\ncode\n```\n"), "text")
+    md = F.concat(F.lit("---\nx: 1\n---\ntext\n````\ncode\n```\n````\n---\n~~~\n```\n~~~\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[#`~-]", "."))
     return C.fence_mask(t.documents.select("doc_id", md.alias("text")), "doc_id", "text")
 
 
-@query("fn_strip_heading_colon", "SELECT n_nationkey, '## ' || n_name AS line FROM nation")
+@query("fn_strip_heading_colon", "SELECT doc_id, line, CASE line WHEN 1 THEN '# Notes on ' || lang ELSE '## Source ' || source || ' ##' END AS after FROM documents, (VALUES (1), (4)) v(line) WHERE lang IS NOT NULL AND source IS NOT NULL")
 def fn_strip_heading_colon(t: Tables):
-    return t.nation.select("n_nationkey", F.regexp_replace(F.concat(F.lit("## "), "n_name", F.lit(": ")), r"^(#{1,6} .*?)\s*:\s*$", "$1").alias("line"))
+    """Headings that end in one colon, in two, and without."""
+    md = F.concat(F.lit("# Notes on "), "lang", F.lit(":\n\ntext:\n## Source "), "source", F.lit(": ##\n### Both::\n### Plain\n"))
+    d = t.documents.where("lang is not null and source is not null").select("doc_id", md.alias("text"))
+    return C.lint(d, "doc_id", "text").where("rule = '3.6'").select("doc_id", "line", "after")
 
 
 @query("fn_infer_fence_lang", "SELECT n_nationkey, (['json', 'python', 'bash', 'yaml', 'text'])[n_nationkey % 5 + 1] AS lang FROM nation")
@@ -378,15 +425,21 @@ def fn_generic_link(t: Tables):
     return t.nation.select("n_nationkey", C.generic_link(line).alias("generic"))
 
 
-@query("fn_sentence_case")
+@query("fn_sentence_case", "SELECT page_id, 'The great API guide to ' || CASE WHEN length(regexp_extract(url, '://([a-z]+)', 1)) = 1 THEN upper(regexp_extract(url, '://([a-z]+)', 1)) ELSE regexp_extract(url, '://([a-z]+)', 1) END || '. Then ' || (page_id % 90 + 1) || '. GitHub and `Code`' AS title FROM pages")
 def fn_sentence_case(t: Tables):
-    return C.sentence_case(t.nation.select("n_nationkey", F.concat(F.lit("The Great API Guide To "), F.initcap("n_name")).alias("title")), "n_nationkey", "title")
+    host = F.initcap(F.regexp_extract("url", "://([a-z]+)", 1))
+    title = F.concat(F.lit("The Great Api Guide To "), host, F.lit(". Then "), (F.col("page_id") % 90 + 1).cast("string"), F.lit(". github And `Code`"))
+    return C.sentence_case(t.pages.select("page_id", title.alias("title")), "page_id", "title")
 
 
-@query("fn_path_normalize")
+@query(
+    "fn_path_normalize",
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'docs/guide/a/c' || page_id || '.py' WHEN 1 THEN 'out' || page_id || '.md' WHEN 2 THEN 'docs/guide/d' || page_id || '/' WHEN 3 THEN 'abs/p' || page_id || '.txt' END AS path FROM pages""",
+)
 def fn_path_normalize(t: Tables):
-    raw = F.array(*[F.lit(x) for x in ("./a//b/../c.py", "../../out.md", "docs/", "x", "/abs/p.txt", "https://x.y", "#top")])[F.col("n_nationkey") % 7]
-    return C.normalized_paths(t.nation.select("n_nationkey", raw.alias("raw"), F.lit("docs/guide").alias("folder")), "n_nationkey", "raw", "folder")
+    forms = ("./a//b/../c%.py", "../../out%.md", "d%/", "/abs/p%.txt", "https://x.y/%", "#top%", "../../../up%.md")
+    raw = F.replace(F.array(*[F.lit(x) for x in forms])[(F.col("page_id") % 7).cast("int")], F.lit("%"), F.col("page_id").cast("string"))
+    return C.normalized_paths(t.pages.select("page_id", raw.alias("raw"), F.lit("docs/guide").alias("folder")), "page_id", "raw", "folder")
 
 
 @query("fn_path_overlap_concat", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a/b/c/d' ELSE 'a/b/c/x/d' END AS path FROM nation")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import evals as V
 from tessera.operators import sessions as S
 from tessera.plans.registry import Tables, query
+from tessera.sources import sinks
+from tessera.storage import new_folder
 
 _STATS = "round(avg(l_quantity), 4) AS mean, round(coalesce(stddev_samp(l_quantity), 0), 4) AS stddev, min(l_quantity) AS min, max(l_quantity) AS max"
 
@@ -311,10 +314,23 @@ def account_by_suffix(t: Tables):
     return t.customer.select(k.alias("k")).where(F.col("k").endswith(":user")).select(F.expr("substring_index(k, ':', 2)").alias("account")).distinct()
 
 
-@query("dedupe_similar_artifact", r"SELECT p_brand AS ext, arg_min(p_partkey, p_partkey) AS first, count(DISTINCT regexp_replace(lower(p_name), '[_-]?(v\d+|final|draft|copy|backup|new|old)[_-]?', '', 'g')) AS stems FROM part GROUP BY p_brand")
+_MADE = """(SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, '/w' || l_suppkey % 2 || '/Report' || l_partkey % 2 || (['', '_v2', '-final', '_copy', '.old'])[l_linenumber % 5 + 1] || (['.docx', '.PDF', '.txt'])[l_partkey % 3 + 1] AS path FROM lineitem)"""
+
+
+@query(
+    "dedupe_similar_artifact",
+    f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS o FROM {_MADE}),
+s AS (SELECT *, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext, regexp_replace(regexp_replace(lower(regexp_extract(path, '([^/]*)$', 1)), '[_-]?(v\\d+|final|draft|copy|backup|new|old)[_-]?', '', 'g'), '(.)\\.[^.]*$', '\\1') AS stem FROM m),
+f AS (SELECT *, first_value(path) OVER (PARTITION BY l_orderkey, ext ORDER BY o) AS p, first_value(stem) OVER (PARTITION BY l_orderkey, ext ORDER BY o) AS ps, row_number() OVER (PARTITION BY l_orderkey, path ORDER BY o) AS again FROM s)
+SELECT l_orderkey, o, path, CASE WHEN again = 1 AND ext IN ('.docx', '.pdf') AND path <> p AND stem = ps THEN p END AS existing FROM f""",
+)
 def dedupe_similar_artifact(t: Tables):
-    stem = F.regexp_replace(F.lower("p_name"), r"[_-]?(v\d+|final|draft|copy|backup|new|old)[_-]?", "")
-    return t.part.groupBy(F.col("p_brand").alias("ext")).agg(F.min("p_partkey").alias("first"), F.count_distinct(stem).alias("stems"))
+    """Files that orders make: versions of two reports in three formats, of which .txt is no result of its own."""
+    c = F.col
+    part = lambda names, k: F.array(*[F.lit(n) for n in names])[k.cast("int")]
+    path = F.concat(F.lit("/w"), (c("l_suppkey") % 2).cast("string"), F.lit("/Report"), (c("l_partkey") % 2).cast("string"), part(["", "_v2", "-final", "_copy", ".old"], c("l_linenumber") % 5), part([".docx", ".PDF", ".txt"], c("l_partkey") % 3))
+    d = t.lineitem.select("l_orderkey", F.row_number().over(S.ordered("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).cast("long").alias("o"), path.alias("path"))
+    return V.locked_artifacts(d, "l_orderkey", ["o"], "path").select("l_orderkey", "o", "path", "existing")
 
 
 @query("join_prev_feedback", "SELECT coalesce(o_orderkey, doc_id) AS id, coalesce(o_orderstatus, '') AS output, coalesce(quality, -1) AS feedback FROM orders FULL JOIN labels ON doc_id = o_orderkey")
@@ -338,10 +354,21 @@ def join_validate_plan(t: Tables):
     return d.select("l_orderkey", F.row_number().over(S.ordered("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).cast("long").alias("step"), "skill")
 
 
-@query("fn_step_output", "SELECT event_id, substr(coalesce(nullif(props->>'$.output', ''), nullif(props->>'$.k', ''), props), 1, 500) AS output FROM events")
+_STEPS = "(['out ' || o_orderkey, 'sum ' || o_orderstatus, trunc(o_totalprice)::BIGINT::VARCHAR, 'plain ' || o_orderpriority, '[1, 2]'])[o_orderkey % 5 + 1]"
+
+
+@query("fn_step_output", f"SELECT o_custkey, string_agg(substr(CASE o_orderkey % 7 WHEN 6 THEN repeat({_STEPS} || ' ', 100) ELSE {_STEPS} END, 1, 500), chr(10) || '---' || chr(10) ORDER BY o_orderkey) AS output FROM orders GROUP BY o_custkey")
 def fn_step_output(t: Tables):
-    of = lambda k: F.nullif(F.get_json_object("props", f"$.{k}"), F.lit(""))
-    return t.events.select("event_id", F.substring(F.coalesce(of("output"), of("k"), F.col("props")), 1, 500).alias("output"))
+    """Results of a customer's orders, joined: JSON objects with output, summary or result, other JSON and plain texts, some long."""
+    c, k = F.col, F.col("o_orderkey") % 5
+    times = F.when(c("o_orderkey") % 7 == 6, 100).otherwise(1)
+    long = lambda x: F.when(times > 1, F.repeat(F.concat(x, F.lit(" ")), times)).otherwise(x)
+    num = F.when(times > 1, F.to_json(F.struct(long(c("o_totalprice").cast("long").cast("string")).alias("result")))).otherwise(F.format_string('{"result": %d}', c("o_totalprice").cast("long")))
+    raw = F.when(k == 0, F.to_json(F.struct(long(F.concat(F.lit("out "), c("o_orderkey").cast("string"))).alias("output"), F.lit("x").alias("summary"))))
+    raw = raw.when(k == 1, F.to_json(F.struct(F.lit("").alias("output"), long(F.concat(F.lit("sum "), "o_orderstatus")).alias("summary")))).when(k == 2, num)
+    raw = raw.when(k == 3, long(F.concat(F.lit("plain "), "o_orderpriority"))).otherwise(long(F.lit("[1, 2]")))
+    g = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", T.step_output(raw).alias("x")))).alias("l"))
+    return g.select("o_custkey", F.array_join(F.transform("l", lambda r: r["x"]), "\n---\n").alias("output"))
 
 
 @query("fn_coerce_args", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 7 ELSE o_orderkey END AS n, o_orderkey % 4 IN (0, 1) AS flag FROM orders")
@@ -358,15 +385,33 @@ def fn_extract_json(t: Tables):
     return t.orders.select("o_orderkey", V.json_in(text, "$.v").cast("long").alias("v"))
 
 
-@query("fn_repair_json")
+@query("fn_repair_json", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE o_custkey::VARCHAR END AS a FROM orders")
 def fn_repair_json(t: Tables):
-    raw = F.array(*[F.lit(x) for x in ('{"a": 1}', 'call {"a": 2', '{"a": 3,}', "{'a': 4}", "none")])[(F.col("o_orderkey") % 5).cast("int")]
-    return t.orders.select("o_orderkey", F.get_json_object(V.repaired_json(raw), "$.a").alias("a"))
+    raw = F.array(*[F.lit(x) for x in ('{"a": %d}', 'call {"a": %d', '{"b": [1, 2,], "a": %d,}', "{'a': %d, 'b': 'x'}", "none of %d")])[(F.col("o_orderkey") % 5).cast("int")]
+    return t.orders.select("o_orderkey", F.get_json_object(V.repaired_json(F.replace(raw, F.lit("%d"), F.col("o_custkey").cast("string"))), "$.a").alias("a"))
+
+
+_NTH = "list_transform(range(0, n_chars::BIGINT % 13), lambda i: '  - tool' || i || CASE WHEN (doc_id + i) % 3 = 0 THEN ': FAIL — ' || substr('broke on ' || source || repeat('!', 90), 1, 80) ELSE ': OK — ' || substr(text, 1, 80) END)"
 
 
-@query("fn_slim_json", "SELECT event_id, 'k=' || (props->>'$.k') AS line FROM events")
+@query(
+    "fn_slim_json",
+    f"""SELECT doc_id, '[historical] ' || CASE doc_id % 4 WHEN 0 THEN '[tool: ' || coalesce(source, 'unknown') || '] ' || (['OK', 'FAIL', '?'])[doc_id // 4 % 3 + 1] || ' — ' || coalesce(lang, '')
+WHEN 1 THEN CASE WHEN n_chars % 13 = 0 THEN '{{"results":[]}}' ELSE '[batch results]' || chr(10) || array_to_string(list_slice({_NTH}, 1, 10), chr(10)) END
+WHEN 2 THEN CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...[truncated]' ELSE text END ELSE '[' || doc_id || ']' END AS line FROM documents WHERE text IS NOT NULL""",
+)
 def fn_slim_json(t: Tables):
-    return t.events.select("event_id", F.concat(F.lit("k="), F.get_json_object("props", "$.k")).alias("line"))
+    """Results with a status, lists of up to twelve results, texts and other JSON, of documents' texts."""
+    c, k = F.col, F.col("doc_id") % 4
+    one = F.to_json(F.struct(F.element_at(F.array(F.lit(True), F.lit(False), F.lit(None).cast("boolean")), (F.floor(c("doc_id") / 4) % 3).cast("int") + 1).alias("ok"), c("source").alias("skill_name"), F.coalesce("lang", F.lit("")).alias("summary")))
+    bad = lambda i: (c("doc_id") + i) % 3 == 0
+    broke = F.concat(F.lit("broke on "), "source", F.repeat(F.lit("!"), 90))
+    item = lambda i: F.struct(F.concat(F.lit("tool"), i.cast("string")).alias("tool"), F.when(bad(i), broke).alias("error"), F.when(~bad(i), c("text")).alias("result"))
+    n = (c("n_chars") % 13).cast("int")
+    items = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), item)).otherwise(F.array().cast("array<struct<tool:string,error:string,result:string>>"))
+    many = F.to_json(F.struct(items.alias("results")))
+    content = F.when(k == 0, one).when(k == 1, many).when(k == 2, c("text")).otherwise(F.format_string("[%d]", "doc_id"))
+    return t.documents.where("text is not null").select("doc_id", T.slim_result(content, historical=True).alias("line"))
 
 
 @query("fn_parse_dep", "SELECT n_nationkey, (['cli', 'python', 'python', 'cli', 'python'])[n_nationkey % 5 + 1] AS kind, (['jq', 'numpy', 'opencv-python', 'ffmpeg', 'requests'])[n_nationkey % 5 + 1] AS name FROM nation")
@@ -394,9 +439,16 @@ def sort_priority_rules(t: Tables):
     return S.numbered(t.part, ["p_brand"], F.col("p_size"), ["p_partkey"], "place", falling=True).select("p_partkey", "place")
 
 
-@query("sink_markdown_json_report", "SELECT '| ' || l_returnflag || ' | ' || count(*) || ' |' AS line FROM lineitem GROUP BY l_returnflag")
+@query("sink_markdown_json_report", """WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT '| l_returnflag | l_linestatus | n |' AS line UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT '| ' || l_returnflag || ' | ' || l_linestatus || ' | ' || n || ' |' FROM g
+UNION ALL SELECT '{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus || '","n":' || n || '}' FROM g""")
 def sink_markdown_json_report(t: Tables):
-    return t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).select(F.format_string("| %s | %d |", "l_returnflag", "n").alias("line"))
+    """Both reports of one table, written and read back."""
+    d = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    at = new_folder(t.spark, "report")
+    sinks.markdown_report(d, head=True).write.text(f"{at}/markdown")
+    sinks.json_report(d).write.text(f"{at}/json")
+    return t.spark.read.text([f"{at}/markdown", f"{at}/json"]).withColumnRenamed("value", "line")
 
 
 @query("filter_files_preview", "SELECT p_partkey FROM part WHERE NOT starts_with(p_name, '_') AND NOT contains(p_name, '9')")

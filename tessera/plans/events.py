@@ -136,10 +136,28 @@ def set_intersect_jaccard(t: Tables):
     return g.where(F.size("b") > 0).select("o_custkey", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("saturation_detect")
+_ENT = """list_distinct(list_concat(list_slice(regexp_extract_all(text, 'https?://[^\\s\\]\\)"''>]+'), 1, 5), list_slice(regexp_extract_all(text, '[\\x{4e00}-\\x{9fa5}]{2,}诉[\\x{4e00}-\\x{9fa5}]{2,}案'), 1, 3),
+  list_slice(regexp_extract_all(text, '[\\x{4e00}-\\x{9fa5}]{2,}(?:公司|集团|企业)'), 1, 5), list_slice(regexp_extract_all(text, '202[0-5]'), 1, 3)))"""
+_JAC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END"
+_RUN_TEXT = "text || CASE WHEN doc_id % 3 = 0 THEN ' seen in 2021 and http://a.b/' || doc_id % 7 ELSE '' END"
+
+
+@query(
+    "saturation_detect",
+    f"""WITH r AS (SELECT doc_id, source || doc_id % 23 AS run, {_RUN_TEXT} AS text, lang || ' ' || source || ' ' || doc_id % 4 AS query FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, {_WORDS} AS w, {_ENT} AS e, list_distinct(list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '')) AS q, row_number() OVER (PARTITION BY run ORDER BY doc_id) AS n FROM r),
+p AS (SELECT *, lag(w) OVER (PARTITION BY run ORDER BY doc_id) AS p FROM s),
+j AS (SELECT *, CASE WHEN p IS NOT NULL THEN {_JAC.format(a="w", b="p")} END AS jac FROM p),
+c AS (SELECT run, n, x, count(*) OVER (PARTITION BY run, x ORDER BY n) AS c FROM (SELECT run, n, unnest(e) AS x FROM s)),
+f AS (SELECT a.run, a.n, 1 - count(DISTINCT x) FILTER (c > 1) / count(DISTINCT x)::DOUBLE AS fresh FROM s a JOIN c b ON a.run = b.run AND b.n BETWEEN a.n - 2 AND a.n GROUP BY ALL),
+d AS (SELECT a.run, a.n, avg({_JAC.format(a="x.q", b="y.q")}) AS mean FROM s a JOIN s x ON x.run = a.run AND x.n BETWEEN a.n - 4 AND a.n JOIN s y ON y.run = a.run AND y.n BETWEEN a.n - 4 AND a.n AND x.n < y.n GROUP BY ALL),
+m AS (SELECT doc_id, run, n, avg(jac) OVER (PARTITION BY run ORDER BY n ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS sim FROM j)
+SELECT doc_id, CASE WHEN m.n < 3 THEN NULL WHEN sim > 0.7 THEN 'content_similarity' WHEN coalesce(fresh, 1) < 0.2 THEN 'low_new_entities' WHEN 1 - mean < 0.3 THEN 'repetitive_queries' END AS saturated
+FROM m LEFT JOIN f ON f.run = m.run AND f.n = m.n LEFT JOIN d ON d.run = m.run AND d.n = m.n""",
+)
 def saturation_detect(t: Tables):
-    d = t.documents.select("doc_id", "source", "text", F.concat_ws(" ", "lang", "source").alias("query"))
-    return E.saturation(d, "source", "doc_id", "text", "query").select("doc_id", "saturated")
+    d = t.documents.where("text is not null").select("doc_id", F.concat("source", (F.col("doc_id") % 23).cast("string")).alias("run"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" seen in 2021 and http://a.b/"), (F.col("doc_id") % 7).cast("string"))).otherwise("")).alias("text"), F.concat_ws(" ", "lang", "source", (F.col("doc_id") % 4).cast("string")).alias("query"))
+    return E.saturation(d, "run", "doc_id", "text", "query").select("doc_id", "saturated")
 
 
 @query("agg_tool_stats", f"SELECT user_id, count(*) AS total, round(avg((category = 'effect')::INT), 6) AS effect_ratio, round(avg((category = 'observation')::INT), 6) AS observation_ratio FROM {_E} GROUP BY user_id")
@@ -158,9 +176,9 @@ def agg_entity_stats(t: Tables):
     return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("entities"), again.alias("repeated"), F.round(again / F.count(F.lit(1)), 6).alias("reuse"))
 
 
-@query("agg_command_usage", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("agg_command_usage", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 0 ORDER BY n DESC, event_type")
 def agg_command_usage(t: Tables):
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).where("n > 0").orderBy(F.col("n").desc(), "event_type")
 
 
 @query("agg_routing_stats", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -254,18 +272,43 @@ def fn_tool_category(t: Tables):
 
 @query(
     "fn_task_signal",
-    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'none' WHEN event_type = 'purchase' THEN 'strong' WHEN event_type = 'signup' THEN 'medium'
-WHEN value >= 60 THEN 'strong' WHEN value >= 30 THEN 'medium' WHEN value >= 10 THEN 'weak' ELSE 'none' END AS signal FROM events""",
+    f"""WITH l AS (SELECT *, lag(event_type) OVER w AS before, lag(props) OVER w AS props_before, (props->>'$.k')::INT AS k, trunc(value)::BIGINT AS v FROM {_E} {_W})
+SELECT event_id, CASE WHEN coalesce(event_type = before AND props = props_before, false) OR event_type = 'error' THEN 'none' WHEN k % 9 = 0 THEN 'strong'
+WHEN k % 11 = 0 OR coalesce(before = 'error', false) OR v % 13 = 0 THEN 'medium'
+WHEN category = 'observation' AND v % 4 >= 2 THEN 'strong' WHEN category = 'observation' AND (v % 4 >= 1 OR new_entities >= 2) THEN 'medium'
+WHEN new_entities > 0 AND k % 2 = 0 THEN 'weak' ELSE 'none' END AS signal FROM l""",
 )
 def fn_task_signal(t: Tables):
-    v, e = F.col("value"), F.col("event_type")
-    case = F.when(e == "error", "none").when(e == "purchase", "strong").when(e == "signup", "medium").when(v >= 60, "strong").when(v >= 30, "medium").when(v >= 10, "weak").otherwise("none")
-    return t.events.select("event_id", case.alias("signal"))
-
-
-@query("fn_action_signature", "SELECT event_id, sha1(event_type || '|' || props) AS signature FROM events")
+    """Steps of each user: the same action again, errors before, files, dependencies, urls and entities from the event's value."""
+    w, c = S.ordered("user_id", *ORDER), F.col
+    d = log(t).withColumns({"before": F.lag("event_type").over(w), "props_before": F.lag("props").over(w), "k": F.get_json_object("props", "$.k").cast("int"), "v": c("value").cast("long")})
+    signal = T.task_signal(
+        c("category"),
+        repeated=F.coalesce((c("event_type") == c("before")) & (c("props") == c("props_before")), F.lit(False)),
+        success=c("event_type") != "error",
+        files=(c("k") % 9 == 0).cast("int"),
+        dependencies=(c("k") % 11 == 0).cast("int"),
+        error_changed=F.coalesce(c("before") == "error", F.lit(False)),
+        concluding=T.concludes(F.when(c("v") % 13 == 0, "In summary, it works").otherwise("going on")),
+        new_urls=c("v") % 4,
+        new_entities=c("new_entities"),
+        has_entities=c("new_entities") > 0,
+        error=F.when(c("k") % 2 == 1, "warning").otherwise(""),
+    )
+    return d.select("event_id", signal.alias("signal"))
+
+
+@query("fn_action_signature", """SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS id, sha1(l_returnflag || '|' || CASE WHEN l_suppkey % 4 = 3 THEN 'plain ' || l_partkey ELSE '{"a": {"x": ' || l_partkey || ', "y": "é ' || l_linestatus || '"}, "b": [' || l_suppkey || ', 1], "path": "/f/' || l_orderkey || '"}' END) AS signature FROM lineitem""")
 def fn_action_signature(t: Tables):
-    return t.events.select("event_id", T.action_signature(F.col("event_type"), F.col("props")).alias("signature"))
+    """Arguments whose keys come in three orders, with and without spaces, and plain texts."""
+    c = F.col
+    inner = F.when(c("l_suppkey") % 2 == 0, F.format_string('{"y":"é %s","x":%d}', "l_linestatus", "l_partkey")).otherwise(F.format_string('{"x": %d, "y": "é %s"}', "l_partkey", "l_linestatus"))
+    one = F.format_string('{"b": [%d,1],"path":"/f/%d", "a":%s}', "l_suppkey", "l_orderkey", inner)
+    two = F.format_string('{"path": "/f/%d","a":  %s ,"b":[%d, 1]}', "l_orderkey", inner, "l_suppkey")
+    three = F.format_string('{"a": %s, "b": [%d, 1], "path": "/f/%d"}', inner, "l_suppkey", "l_orderkey")
+    args = F.when(c("l_suppkey") % 4 == 0, one).when(c("l_suppkey") % 4 == 1, two).when(c("l_suppkey") % 4 == 2, three).otherwise(F.format_string("plain %d", "l_partkey"))
+    d = t.lineitem.select((c("l_orderkey") * 1000 + c("l_linenumber") * 100 + c("l_suppkey") % 100).alias("id"), "l_returnflag", args.alias("args"))
+    return E.signed(d, "id", "l_returnflag", "args")
 
 
 @query("fn_state_fingerprint", "SELECT user_id, sha1('[' || string_agg(DISTINCT '\"' || event_type || '\"', ',' ORDER BY '\"' || event_type || '\"') || ']') AS fingerprint FROM events GROUP BY user_id")
@@ -278,15 +321,22 @@ def fn_progress(t: Tables):
     return t.events.select("event_id", F.round(F.least(F.lit(1.0), F.col("value") / 50), 6).alias("pct"))
 
 
-@query("stream_backoff", "SELECT n, least(0.5::DOUBLE * 2 ** n, 30) AS delay FROM (SELECT unnest(range(0, 12)) AS n)")
+@query("stream_backoff", f"""SELECT user_id, event_id, least(0.5::DOUBLE * 2 ** (row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) - 1), 30) AS delay FROM
+(SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) WHERE event_type = 'error'""")
 def stream_backoff(t: Tables):
-    return t.spark.range(12).select(F.col("id").alias("n"), F.least(F.lit(0.5) * F.pow(F.lit(2.0), F.col("id")), F.lit(30.0)).alias("delay"))
+    """The wait after each of a user's errors in a row."""
+    d = t.events.withColumn("g", F.sum((F.col("event_type") != "error").cast("long")).over(S.so_far("user_id", *ORDER))).where("event_type = 'error'")
+    return d.select("user_id", "event_id", T.backoff(F.row_number().over(S.ordered(["user_id", "g"], *ORDER)) - 1).alias("delay"))
+
+
+_FRAGMENTS = """SELECT conv_id, (turn % 3)::INT AS index, turn, CASE WHEN turn % 2 = 0 THEN 'call_' || turn ELSE '' END AS id, CASE WHEN turn % 4 < 2 THEN role END AS name, CASE WHEN turn % 5 < 4 THEN text END AS arguments FROM conversations"""
 
 
-@query("stream_delta_assemble", "SELECT user_id, event_type, string_agg(event_id::VARCHAR, '' ORDER BY ts, event_id) AS arguments, max_by(event_id, (ts, event_id)) AS last FROM events GROUP BY ALL")
+@query("stream_delta_assemble", f"""SELECT conv_id, index, coalesce(max_by(id, turn) FILTER (id <> ''), '') AS id, coalesce(max_by(name, turn) FILTER (name <> ''), '') AS name, coalesce(string_agg(arguments, '' ORDER BY turn), '') AS arguments FROM ({_FRAGMENTS}) GROUP BY conv_id, index""")
 def stream_delta_assemble(t: Tables):
-    g = t.events.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("l"))
-    return g.select("user_id", "event_type", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), "").alias("arguments"), F.element_at("l", -1)["event_id"].alias("last"))
+    c = F.col
+    d = t.conversations.select("conv_id", (c("turn") % 3).cast("int").alias("index"), "turn", F.when(c("turn") % 2 == 0, F.concat(F.lit("call_"), "turn")).otherwise("").alias("id"), F.when(c("turn") % 4 < 2, c("role")).alias("name"), F.when(c("turn") % 5 < 4, c("text")).alias("arguments"))
+    return S.assembled(d, "conv_id", "index", "turn")
 
 
 @query("extension_session_window", """WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS s FROM events),

@@ -204,7 +204,15 @@ def event_compact(t: Tables):
     return S.compacted(e, "conv_id", "turn", 1).withColumn("size", F.col("size").cast("long"))
 
 
-@query("history_two_tier")
+@query(
+    "history_two_tier",
+    f"""WITH t AS (SELECT *, {EST} AS tok FROM conversations), r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS rnd FROM t),
+m AS (SELECT *, max(rnd) OVER (PARTITION BY conv_id) AS total FROM r), n AS (SELECT *, total <= 1 OR rnd > total - 1 AS recent FROM m),
+c AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS cum FROM n WHERE recent), k AS (SELECT * FROM c WHERE cum <= 600),
+u AS (SELECT conv_id, max(cum) AS used FROM k GROUP BY conv_id),
+o AS (SELECT n.conv_id, turn, sum(tok) OVER (PARTITION BY n.conv_id) AS every, 600 - coalesce(used, 0) AS room FROM n LEFT JOIN u ON u.conv_id = n.conv_id WHERE NOT recent)
+SELECT conv_id, turn, 'recent' AS tier, FALSE AS needs_compaction FROM k UNION ALL SELECT conv_id, turn, 'earlier', every > room FROM o WHERE room > 200""",
+)
 def history_two_tier(t: Tables):
     return S.two_tier_history(t.conversations, "conv_id", "turn", 1, 600)
 
@@ -280,15 +288,34 @@ def viewport_slice(t: Tables):
     return t.documents.select("doc_id").orderBy("doc_id").offset(25).limit(30)
 
 
-@query("memory_dedup", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND contains(lower(b.n_name), lower(substr(a.n_name, 1, 4)))")
+_MEMORY = "(SELECT conv_id, turn, CASE turn % 5 WHEN 3 THEN substr(lag(text, 2) OVER w, 3, 40) WHEN 4 THEN ' ' || lag(text) OVER w || ' ' ELSE text END AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+
+
+@query(
+    "memory_dedup",
+    f"""WITH e AS {_MEMORY} SELECT a.conv_id, a.turn, EXISTS (SELECT 1 FROM e b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND regexp_replace(b.text, '^\\s+|\\s+$', '', 'g') <> '' AND contains(b.text, regexp_replace(a.text, '^\\s+|\\s+$', '', 'g'))) AS duplicate FROM e a""",
+)
 def memory_dedup(t: Tables):
-    a, b = t.nation.select(F.col("n_nationkey").alias("a"), F.lower(F.substring("n_name", 1, 4)).alias("x")), t.nation.select(F.col("n_nationkey").alias("b"), F.lower("n_name").alias("y"))
-    return b.join(F.broadcast(a), F.col("y").contains(F.col("x")) & (F.col("a") != F.col("b"))).select("a", "b")  # nations are a fixed table
+    """Entries of a conversation's memory; some are cut from an earlier one, some repeat the one before."""
+    w = S.ordered("conv_id", "turn")
+    text = F.when(F.col("turn") % 5 == 3, F.substring(F.lag("text", 2).over(w), 3, 40)).when(F.col("turn") % 5 == 4, F.concat(F.lit(" "), F.lag("text").over(w), F.lit(" "))).otherwise(F.col("text"))
+    return S.duplicate_entries(t.conversations.select("conv_id", "turn", text.alias("text")), "conv_id", "turn", "text").select("conv_id", "turn", "duplicate")
+
+
+_MESSAGES = """(SELECT conv_id, turn, (['user', 'assistant', 'tool', 'tool', 'system'])[(turn + conv_id) % 5 + 1] AS role, CASE WHEN length(text) % 2 = 0 AND (turn + conv_id) % 5 = 1 THEN '' ELSE text END AS content, (turn + conv_id) % 5 = 1 AND length(text) % 3 = 0 AS has_calls FROM conversations)"""
 
 
-@query("repair_message_groups", """WITH i AS (SELECT *, sum((turn = 0 OR role <> 'system')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM conversations)
-SELECT conv_id, g, count(*) AS n, string_agg(substr(text, 1, 500), chr(10) ORDER BY turn) AS text FROM i GROUP BY ALL""")
+@query(
+    "repair_message_groups",
+    f"""WITH m AS (SELECT *, role = 'assistant' AND coalesce(content, '') = '' AND NOT has_calls AS lost FROM {_MESSAGES}),
+g AS (SELECT *, sum((role <> 'tool')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM m),
+h AS (SELECT *, bool_or(lost) OVER (PARTITION BY conv_id, g) AS inside FROM g)
+SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND content = '' THEN NULL ELSE content END AS content, has_calls FROM h WHERE NOT inside
+UNION ALL SELECT conv_id, min(turn), 'user', '[Tool Result]' || chr(10) || string_agg(substr(coalesce(content, ''), 1, 500), chr(10) || '---' || chr(10) ORDER BY turn) FILTER (NOT lost), FALSE FROM h WHERE inside GROUP BY conv_id, g HAVING count(*) FILTER (NOT lost) > 0""",
+)
 def repair_message_groups(t: Tables):
-    d = t.conversations.withColumn("g", F.sum(((F.col("turn") == 0) | (F.col("role") != "system")).cast("long")).over(S.so_far("conv_id", "turn")))
-    g = d.groupBy("conv_id", "g").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 500).alias("x")))).alias("l"))
-    return g.select("conv_id", "g", "n", F.array_join(F.transform("l", lambda r: r["x"]), "\n").alias("text"))
+    k, c = (F.col("turn") + F.col("conv_id")) % 5, F.col
+    role = F.array(*[F.lit(x) for x in ("user", "assistant", "tool", "tool", "system")])[k.cast("int")]
+    content = F.when((F.length("text") % 2 == 0) & (k == 1), "").otherwise(c("text"))
+    d = t.conversations.select("conv_id", "turn", role.alias("role"), content.alias("content"), ((k == 1) & (F.length("text") % 3 == 0)).alias("has_calls"))
+    return S.repaired_messages(d, "conv_id", "turn")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus as C
-from tessera.plans.registry import ORACLES, QUERIES, Tables, query
-from tessera.sources import files, paged
+from tessera.plans.registry import Tables, query
+from tessera.sources import files, paged, sinks, xlsx
+from tessera.storage import new_folder
+from tessera.streaming import state as St
 
 
 def s(*parts: Column | str) -> Column:
@@ -101,7 +109,7 @@ def scan_source_tree(t: Tables):
 
 @query("scan_markdown_tree", "SELECT p_name AS value FROM part WHERE p_size % 4 = 2")
 def scan_markdown_tree(t: Tables):
-    return _paths(t).where(c("path").like("%.md")).select("value")
+    return files.markdown_of(_paths(t)).select("value")
 
 
 @query("scan_dir_tree", "SELECT 'f' || p_partkey AS name, p_brand AS folder, FALSE AS is_dir, p_size::BIGINT AS length FROM part UNION ALL SELECT DISTINCT p_brand, '', TRUE, NULL::BIGINT FROM part")
@@ -116,22 +124,37 @@ def scan_eval_dirs(t: Tables):
     return files.eval_runs_of(d).select("eval_id", "config", "run_number", "pass_rate", "total")
 
 
-def _page(options: dict, k: int) -> list[tuple]:
-    return [(k, f"{options['query']} {k}-{i}", "x" * 10 * i) for i in range(int(options["size"]))]
+def _rows(options: dict, columns: list[str]) -> list[tuple]:
+    """Rows of a page of a table, as a service would serve it."""
+    from pyarrow import dataset
+
+    k, size = int(options["page"]), int(options["size"])
+    found = dataset.dataset(options["table"], format="parquet").to_table(columns=columns).sort_by(columns[0]).slice(k * size, size)
+    return list(zip(*(c.to_pylist() for c in found.columns)))
+
+
+def _catalog(options: dict, k: int) -> list[tuple]:
+    return [(k, *r) for r in _rows(options | {"page": k}, ["p_partkey", "p_name", "p_type"])]
 
 
-_PAGES = "SELECT k::INT AS page, 'q ' || k || '-' || i AS title, repeat('x', (10 * i)::INT) AS snippet FROM (SELECT unnest(range(0, 4)) AS k), (SELECT unnest(range(0, 5)) AS i)"
+def _results(options: dict, k: int) -> list[tuple]:
+    return [(k, *r) for r in _rows(options | {"page": k}, ["doc_id", "source", "text"]) if options["query"] in (r[2] or "").lower()]
 
 
-@query("scan_remote_catalog", _PAGES)
+@query("scan_remote_catalog", "SELECT ((row_number() OVER (ORDER BY p_partkey) - 1) // 97)::INT AS page, p_partkey, p_name, p_type FROM part")
 def scan_remote_catalog(t: Tables):
-    return paged.read(t.spark, paged.paged_source("catalog", "page int, title string, snippet string", _page, 4), query="q", size="5")
+    """All pages of a catalog that serves parts by 97."""
+    pages = -(-t.part.count() // 97)
+    return paged.read(t.spark, paged.paged_source("catalog", "page int, p_partkey long, p_name string, p_type string", _catalog), table=f"{t.dir}/part.parquet", size="97", pages=str(pages))
 
 
-@query("scan_web_search", f"SELECT page, title, substr(snippet, 1, 25) AS snippet FROM ({_PAGES}) ORDER BY page, title LIMIT 7")
+@query("scan_web_search", "SELECT doc_id, source, substr(text, 1, 3000) AS snippet FROM documents WHERE contains(lower(text), 'heed') ORDER BY doc_id LIMIT 40")
 def scan_web_search(t: Tables):
-    d = paged.read(t.spark, paged.paged_source("search", "page int, title string, snippet string", _page, 4), query="q", size="5")
-    return d.select("page", "title", F.substring("snippet", 1, 25).alias("snippet")).orderBy("page", "title").limit(7)
+    """The first forty results of a search that is served by pages, with snippets of 3000 characters."""
+    pages = -(-t.documents.count() // 500)
+    source = paged.paged_source("search", "page int, doc_id long, source string, snippet string", _results)
+    d = paged.read(t.spark, source, table=f"{t.dir}/documents.parquet", size="500", query="heed", pages=str(pages))
+    return d.select("doc_id", "source", F.substring("snippet", 1, 3000).alias("snippet")).orderBy("doc_id").limit(40)
 
 
 @query("scan_chat_messages", "SELECT conv_id, turn FROM conversations WHERE turn BETWEEN 1 AND 3 AND contains(lower(text), 'the')")
@@ -163,5 +186,117 @@ def style_rules_3_1_4_1(t: Tables):
     return _linted(t).where("rule in ('3.1', '4.1')").select("n_nationkey", "rule", "line", "after")
 
 
-for _name, _of in {"loop_observation_chain": "win_observation_chain", "loop_effect_ratio": "win_effect_ratio", "loop_repeat_sequence": "win_repeat_sequence", "loop_diminishing": "win_diminishing", "grep_lines": "filter_regex_lines"}.items():
-    QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]
+def _polls(options: dict, cursor: int) -> tuple[list[tuple], int]:
+    """What a service has after a cursor: up to ``size`` rows of a table, and the cursor after them."""
+    from pyarrow import dataset
+
+    found = dataset.dataset(options["table"], format="parquet").to_table(columns=["o_orderkey", "o_orderstatus"]).sort_by("o_orderkey").slice(cursor, int(options["size"]))
+    return list(zip(*(c.to_pylist() for c in found.columns))), cursor + found.num_rows
+
+
+def _polled(t: Tables, at: str, size: int, rounds: int) -> None:
+    """Runs the long poll from where the checkpoint has it, for a number of rounds, and stops as a process would."""
+    source = paged.polled_source("orders_poll", "o_orderkey long, o_orderstatus string", _polls)
+    stream = paged.read_stream(t.spark, source, table=f"{t.dir}/orders.parquet", size=str(size))
+    q = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").start()
+    try:
+        for _ in range(rounds):
+            q.processAllAvailable()
+    finally:
+        q.stop()
+
+
+@query("scan_long_poll", "SELECT o_orderkey, o_orderstatus FROM orders")
+def scan_long_poll(t: Tables):
+    """Orders as a service hands them out after a cursor, a fifth at a time, until there are no more."""
+    at, n = new_folder(t.spark, "poll"), t.orders.count()
+    _polled(t, at, n // 5 + 1, 1)
+    return t.spark.read.schema("o_orderkey long, o_orderstatus string").parquet(f"{at}/rows")
+
+
+@query("stream_cursor_resume", "SELECT o_orderkey, o_orderstatus, 1::BIGINT AS times FROM orders")
+def stream_cursor_resume(t: Tables):
+    """The same, stopped and started again twice: the checkpoint's cursor neither loses nor repeats an order."""
+    at, n = new_folder(t.spark, "poll"), t.orders.count()
+    for _ in range(3):
+        _polled(t, at, n // 4 + 1, 1)
+    d = t.spark.read.schema("o_orderkey long, o_orderstatus string").parquet(f"{at}/rows")
+    return d.groupBy("o_orderkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("sink_atomic_cursor", "SELECT n_name AS account, CASE WHEN n_nationkey % 5 = 4 THEN 'none' ELSE 'c' || n_regionkey || '-' || n_nationkey END AS cursor FROM nation")
+def sink_atomic_cursor(t: Tables):
+    """Cursors of nations (a fixed table) saved twice, some forgotten, and loaded."""
+    cursors = sinks.Cursors(tempfile.mkdtemp())  # the polling driver's own files
+    rows = t.nation.select("n_name", "n_nationkey", "n_regionkey").collect()
+    for r in rows:
+        cursors.save(r.n_name, "old")
+        cursors.save(r.n_name, f"c{r.n_regionkey}-{r.n_nationkey}")
+        if r.n_nationkey % 5 == 4:
+            cursors.forget(r.n_name)
+    return t.spark.createDataFrame([(r.n_name, cursors.load(r.n_name, "none")) for r in rows], "account string, cursor string")
+
+
+@query("sink_jsonl_append", "SELECT event_id, event_type, value FROM events")
+def sink_jsonl_append(t: Tables):
+    """Events appended in two parts, and read back."""
+    at = new_folder(t.spark, "jsonl")
+    d = t.events.select("event_id", "event_type", "value")
+    for k in range(2):
+        sinks.append_json(d.where(F.col("event_id") % 2 == k), at)
+    return t.spark.read.schema(d.schema).json(at)
+
+
+@query("stream_log_rotation", "SELECT event_id, ts::DATE AS day FROM events WHERE ts::DATE >= (SELECT min(d) FROM (SELECT DISTINCT ts::DATE AS d FROM events ORDER BY d DESC LIMIT 7))")
+def stream_log_rotation(t: Tables):
+    """A log by day that keeps seven days: rows come in two batches, and days are dropped after each."""
+    name, at = f"log_{uuid.uuid4().hex}", new_folder(t.spark, "log")
+    d = t.events.select("event_id", F.to_date("ts").alias("day"))
+    for k in range(2):
+        sinks.log_daily(d.where(F.col("event_id") % 2 == k), "day", name, at, keep=None if k == 0 else 7)
+    return t.spark.table(name)
+
+
+@query("stream_fanout", """SELECT 'all' AS sink, event_type, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'errors', event_type, count(*) FROM events WHERE event_type = 'error' GROUP BY event_type""")
+def stream_fanout(t: Tables):
+    """A stream whose batches go to two sinks: all rows, and errors."""
+    at, schema = new_folder(t.spark, "fan"), t.events.schema
+    put = lambda name, cond: lambda batch, k: batch.where(cond).write.mode("overwrite").parquet(f"{at}/{name}/batch={k}")
+    t.events.repartition(5).write.parquet(f"{at}/in")
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    q = St.fan_out(stream, [put("all", "true"), put("errors", "event_type = 'error'")]).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    parts = [t.spark.read.schema(schema).parquet(f"{at}/{name}").select(F.lit(name).alias("sink"), "event_type") for name in ("all", "errors")]
+    return parts[0].unionByName(parts[1]).groupBy("sink", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _workbook(key: int, name: str, total: int) -> bytes:
+    """A spreadsheet of two sheets, with shared and inline texts, formulas and a failed cell for each third."""
+    failed = "#DIV/0!" if key % 3 == 0 else "#REF!" if key % 3 == 1 else str(total)
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda cells: f'<worksheet xmlns="{main}"><sheetData><row r="1">{cells}</row></sheetData></worksheet>'
+    one = f'<c r="A1" t="s"><v>0</v></c><c r="B1"><f>SUM(C1:C9)</f><v>{total}</v></c><c r="C1" t="e"><f>1/0</f><v>{failed}</v></c>'
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sum" sheetId="1" r:id="r1"/><sheet name="Names" sheetId="2" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>total of {key}</t></si></sst>',
+        "xl/worksheets/sheet1.xml": sheet(one),
+        "xl/worksheets/sheet2.xml": sheet(f'<c r="A1" t="inlineStr"><is><t>{escape(name)}</t></is></c>'),
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for path, text in parts.items():
+            z.writestr(path, text)
+    return out.getvalue()
+
+
+@query(
+    "scan_xlsx_cells",
+    """WITH b AS (SELECT p_partkey, p_name, p_size, CASE p_partkey % 3 WHEN 0 THEN '#DIV/0!' WHEN 1 THEN '#REF!' ELSE p_size::VARCHAR END AS failed FROM part)
+SELECT p_partkey || '.xlsx' AS path, sheet, cell, value, formula FROM b, LATERAL (VALUES ('Sum', 'A1', 'total of ' || p_partkey, NULL), ('Sum', 'B1', p_size::VARCHAR, 'SUM(C1:C9)'), ('Sum', 'C1', failed, '1/0'), ('Names', 'A1', p_name, NULL)) v(sheet, cell, value, formula)""",
+)
+def scan_xlsx_cells(t: Tables):
+    """Cells of a workbook for each part."""
+    books = C.per_document(t.part.select("p_partkey", "p_name", "p_size"), "path string, content binary", lambda k, n, z: iter([(f"{k}.xlsx", _workbook(k, n, z))]))
+    return xlsx.cells(books)

@@ -106,7 +106,12 @@ def sources_of(d: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 
 def markdown_tree(spark: SparkSession, path: str) -> DataFrame:
-    return whole_files(spark, path, "*.md")
+    return markdown_of(whole_files(spark, path, "*.md"))
+
+
+def markdown_of(d: DataFrame) -> DataFrame:
+    """Markdown files of (path, value), at any depth, by their ending."""
+    return d.where(F.col("path").endswith(".md")).select("path", "value")
 
 
 def folder_tree(spark: SparkSession, path: str, depth: int = 3) -> DataFrame:

@@ -210,8 +210,10 @@ def fan_out(df: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]]):
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for sink in sinks:
-            sink(batch, number)
-        batch.unpersist()
+        try:
+            for sink in sinks:
+                sink(batch, number)
+        finally:
+            batch.unpersist()
 
     return df.writeStream.foreachBatch(each)
