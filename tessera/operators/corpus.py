@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 from tessera.shipping import ship
+from tessera.storage import new_folder
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,25 +58,32 @@ def inbound(refs: DataFrame, key: str) -> DataFrame:
     return refs.groupBy("target").agg(F.count(key).alias("n_src"))
 
 
-def intrinsic(docs: DataFrame, key: str, text: str = "text", k: int = 10) -> DataFrame:
-    """(key, raw, intrinsic): sum of a document's k largest tf x idf, and its share of the largest such sum."""
+def intrinsic(docs: DataFrame, key: str, text: str = "text", k: int = 10, posts: DataFrame | None = None) -> DataFrame:
+    """(key, raw, intrinsic): sum of a document's k largest tf x idf, and its share of the largest such sum.
+
+    posts: (key, term, tf), as an index has them; they are counted here if not given. Read from a table, both sides of the join on terms are plain
+    exchanges, so adaptive execution splits the partitions of frequent words. The sums are written once, as their largest is needed by all.
+    """
     from tessera.operators.retrieval import postings
 
-    posts = postings(docs, key, {text: 1})
+    posts = postings(docs, key, {text: 1}) if posts is None else posts
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     scored = posts.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * T.idf(F.col("n"), F.col("df"))).alias("s"))
     w = Window.partitionBy(key).orderBy(F.col("s").desc(), "term")
     best = scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy(key).agg(F.sum("s").alias("raw"))
     raw = docs.select(key).join(best, key, "left").select(key, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    at = new_folder(docs.sparkSession, "intrinsic")
+    raw.write.parquet(at)
+    raw = docs.sparkSession.read.schema(raw.schema).parquet(at)
     top = raw.agg(F.max("raw").alias("top"))
     return raw.crossJoin(F.broadcast(top)).select(key, "raw", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0).alias("intrinsic"))
 
 
-def importance(docs: DataFrame, refs: DataFrame, key: str, own: float = 0.6, cited: float = 0.4) -> DataFrame:
-    """(key, importance): own x intrinsic + cited x share of the most references, within 0 and 1. refs: key, refs."""
+def importance(docs: DataFrame, refs: DataFrame, key: str, own: float = 0.6, cited: float = 0.4, posts: DataFrame | None = None) -> DataFrame:
+    """(key, importance): own x intrinsic + cited x share of the most references, within 0 and 1. refs: key, refs. posts: see ``intrinsic``."""
     top = refs.agg(F.max("refs").alias("most"))
-    d = intrinsic(docs, key).join(refs, key, "left").crossJoin(F.broadcast(top))
+    d = intrinsic(docs, key, posts=posts).join(refs, key, "left").crossJoin(F.broadcast(top))
     ref = F.when(F.col("most") > 0, F.coalesce("refs", F.lit(0)) / F.col("most")).otherwise(0.0)
     return d.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("intrinsic") * own + F.coalesce(ref, F.lit(0.0)) * cited)).alias("importance"))
 

