@@ -327,26 +327,34 @@ def plain_text(markdown: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
+#: Patterns of single leftovers.
+CALL_LIST = r"(?s)\[TOOL_CALLS\]\s*\[.*?\]"
+CALL_MARK = "(?s)✿FUNCTION✿.*?(?:✿RESULT✿|$)"
+FUNCTION_TAG = r"</?function(?:=[a-zA-Z_]\w*)?>"
+CALL_TAG = "</?tool_call>"
+CALL_BRACKET = r"(?i)\[/?TOOL_CALLS?\]"
+ANY_TAG = r"(?i)</?(?:\w+:)?(?:tool_calls?|function_calls?|function|invoke|parameters?|arg|execute_skill|skill_name)\b[^>]*>"
+CONTROL_TOKEN = r"<\|[a-zA-Z_0-9\u2581]+\|>"
 #: What models leave of tool calls and control tokens, in the order of removal.
 LEFTOVERS = [
     r"(?s)<\|tool_calls_section_begin\|>.*?(?:<\|tool_calls_section_end\|>|$)",
     r"(?si)<(?:\w+:)?(?:tool_calls?|function_calls?|execute_skill)\b[^>]*>.*?(?:</(?:\w+:)?(?:tool_calls?|function_calls?|execute_skill)\s*>|$)",
     r"(?si)\[TOOL_CALLS?\].*?(?:\[/TOOL_CALLS?\]|$)",
     r'(?s)\{\s*"(?:name|tool|function|tool_name)"\s*:\s*"[^"]*"\s*,[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*\}',
-    r"(?s)\[TOOL_CALLS\]\s*\[.*?\]",
-    "(?s)✿FUNCTION✿.*?(?:✿RESULT✿|$)",
+    CALL_LIST,
+    CALL_MARK,
     r"(?s)functions\.[a-zA-Z_]\w*:\d+\s*(?:<\|tool_call_argument_begin\|>)?\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}\s*(?:<\|tool_call_argument_end\|>)?",
-    r"</?function(?:=[a-zA-Z_]\w*)?>",
-    "</?tool_call>",
-    r"(?i)\[/?TOOL_CALLS?\]",
-    r"(?i)</?(?:\w+:)?(?:tool_calls?|function_calls?|function|invoke|parameters?|arg|execute_skill|skill_name)\b[^>]*>",
-    r"<\|[a-zA-Z_0-9\u2581]+\|>",
+    FUNCTION_TAG,
+    CALL_TAG,
+    CALL_BRACKET,
+    ANY_TAG,
+    CONTROL_TOKEN,
 ]
 #: Signs of a tool call in text.
 TOOL_CALL_SIGNS = [
-    LEFTOVERS[11], LEFTOVERS[7], LEFTOVERS[8], LEFTOVERS[9], LEFTOVERS[10],
+    CONTROL_TOKEN, FUNCTION_TAG, CALL_TAG, CALL_BRACKET, ANY_TAG,
     r'\{\s*"(?:name|tool|function|tool_name)"\s*:\s*"[a-zA-Z_]\w*"\s*,\s*"(?:arguments|parameters|tool_input|input)"\s*:',
-    r"functions\.[a-zA-Z_]\w*:\d+", LEFTOVERS[4], LEFTOVERS[5],
+    r"functions\.[a-zA-Z_]\w*:\d+", CALL_LIST, CALL_MARK,
 ]
 
 
