@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "tessera_package.zip")  # the driver's own copy; executors fetch it from the driver
+    folder = tempfile.mkdtemp()  # the driver's own copy; executors fetch it from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tessera_package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(top):
             for name in sorted(names):
