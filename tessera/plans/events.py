@@ -122,11 +122,12 @@ _WORDS = "list_distinct(list_concat(regexp_extract_all(substr(text, 1, 2000), '[
 
 @query(
     "saturation_jaccard",
-    f"""WITH s AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), p AS (SELECT *, lag(w) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM s)
+    f"""WITH s AS (SELECT doc_id, source || '-' || doc_id // 200 AS run, {_WORDS} AS w FROM documents), p AS (SELECT *, lag(w) OVER (PARTITION BY run ORDER BY doc_id) AS p FROM s)
 SELECT doc_id, round(CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 OR len(w) = 0 THEN 0 ELSE len(list_intersect(w, p)) / len(list_distinct(list_concat(w, p)))::DOUBLE END, 6) AS jaccard FROM p""",
 )
 def saturation_jaccard(t: Tables):
-    return E.content_similarity(t.documents.select("doc_id", "source", "text"), "source", "doc_id", "text").select("doc_id", F.round("jaccard", 6).alias("jaccard"))
+    run = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 200).cast("string"))  # searches of a source, of at most 200 results each
+    return E.content_similarity(t.documents.select("doc_id", run.alias("run"), "text"), "run", "doc_id", "text").select("doc_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("set_intersect_jaccard", """SELECT o_custkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS jaccard FROM
