@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +88,21 @@ def fuse(lists: DataFrame, name: str = "name", strategies: Sequence[str] = ("lex
     return one.select(name, "source", *ranks, score.alias("score"), kind.alias("match_type"))
 
 
+class Recall(NamedTuple):
+    """A way to find names: a strategy, where it looks, and a function of (query, k) that gives (name, score)."""
+
+    strategy: str
+    source: str
+    find: Callable[[Any, int], DataFrame]
+
+
+def multi_recall(recalls: Sequence[Recall], query: Any, k: int, each: int = 60) -> DataFrame:
+    """The first k names that any of the recalls finds, each asked for its first ``each``, fused over their strategies. A later recall of a strategy adds to its list."""
+    strategies = list(dict.fromkeys(r.strategy for r in recalls))
+    lists = reduce(DataFrame.unionByName, [r.find(query, each).select("name", F.col("score").cast("double").alias("score")).withColumns({"strategy": F.lit(r.strategy), "source": F.lit(r.source)}) for r in recalls])
+    return tiered(fuse(ranked(lists, "strategy", "score", "name"), strategies=strategies), k)
+
+
 def tiered(candidates: DataFrame, k: int, name: str = "name") -> DataFrame:
     """The first k candidates: local ones, then remote, each by falling score; ties by name."""
     tier = F.when(F.col("source") == "local", 0).otherwise(1)

@@ -215,6 +215,25 @@ def hybrid_rrf(t: Tables):
     return _fused(R.fuse(_lists(t).where("strategy <> 'listed'"))).select("name", "score", "match_type")
 
 
+@query(
+    "multi_recall",
+    f"""WITH l AS ((SELECT doc_id AS name, 'long' AS strategy, 'local' AS source, n_chars::DOUBLE AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60)
+  UNION ALL (SELECT vec_id, 'vector', 'remote', greatest(0, list_cosine_similarity(embedding::DOUBLE[], q)) AS score FROM embeddings, {_V} ORDER BY score DESC, vec_id LIMIT 60)
+  UNION ALL (SELECT doc_id, 'new', 'remote', doc_id::DOUBLE FROM documents ORDER BY doc_id DESC LIMIT 60)),
+r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY score DESC, name) AS rank FROM l),
+g AS (SELECT name, min(source) AS source, round(sum(1.0 / (60 + rank)), 9) AS score, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(strategy) END AS match_type FROM r GROUP BY name)
+SELECT *, CASE WHEN source = 'local' THEN 0 ELSE 1 END AS tier FROM g ORDER BY tier, score DESC, name LIMIT 100""",
+)
+def multi_recall(t: Tables):
+    """Three recalls, of which none knows of the others."""
+    recalls = [
+        R.Recall("long", "local", lambda q, k: t.documents.select(F.col("doc_id").alias("name"), F.col("n_chars").alias("score")).orderBy(F.col("score").desc(), "name").limit(k)),
+        R.Recall("vector", "remote", lambda q, k: R.vector_search(t.embeddings, "vec_id", "embedding", q, k).select(F.col("vec_id").alias("name"), F.col("sim").alias("score"))),
+        R.Recall("new", "remote", lambda q, k: t.documents.select(F.col("doc_id").alias("name"), F.col("doc_id").alias("score")).orderBy(F.col("score").desc()).limit(k)),
+    ]
+    return _rounded(R.multi_recall(recalls, _query_vector(t), 100).select("name", "source", "score", "match_type", "tier"), "score", 9)
+
+
 @query("topk_tiered", "SELECT doc_id AS name, CASE WHEN source = 'src0' THEN 'local' ELSE 'remote' END AS source, n_chars AS score, CASE WHEN source = 'src0' THEN 0 ELSE 1 END AS tier FROM documents ORDER BY tier, score DESC, name LIMIT 60")
 def topk_tiered(t: Tables):
     d = t.documents.select(F.col("doc_id").alias("name"), F.when(F.col("source") == "src0", "local").otherwise("remote").alias("source"), F.col("n_chars").alias("score"))

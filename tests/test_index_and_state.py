@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import corpus, evals, retrieval, sessions
 from tessera.operators.bm25_index import Bm25Index
 from tessera.sources import sinks
+from tessera.tools import TOOLS
 
 
 @pytest.fixture
@@ -133,3 +134,19 @@ def test_log_keeps_its_last_days(spark, tmp_path):
     assert {r.day for r in spark.table("kept_log").select("day").distinct().collect()} == {"2024-01-07", "2024-01-08", "2024-01-09"}
     assert spark.table("kept_log").count() == 30 and sinks.retain(spark, "kept_log", "day", 3) == 0
     spark.sql("DROP TABLE kept_log")
+
+
+def test_tools(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("one\ntwo fox\nthree")
+    assert "grep" in TOOLS and "nothing" not in TOOLS and TOOLS.schema("nothing") is None
+    assert TOOLS.schema("grep")["required"] == ["path", "pattern"] and "- search: " in TOOLS.summary()
+    at = str(tmp_path / "a")
+    assert [r.line for r in TOOLS.call(spark, "grep", {"path": at, "pattern": "fox"}).collect()] == ["two fox"]
+    assert [(r.line_no, r.line) for r in TOOLS.call(spark, "read_file", {"path": at, "start": 2, "stop": None}).collect()] == [(2, "two fox"), (3, "three")]
+    assert TOOLS.call(spark, "fly", {}) == "ERR: unknown tool 'fly'"
+    assert TOOLS.call(spark, "grep", {"path": at}) == "ERR: grep needs pattern"
+    assert TOOLS.call(spark, "grep", {"path": at, "pattern": "x", "most": "3"}) == "ERR: most of grep must be integer"
+    assert TOOLS.call(spark, "list_dir", {"path": at, "deep": 1}) == "ERR: list_dir takes no deep"
+    spark.createDataFrame([(1, "red fox"), (2, "blue")], "id long, t string").write.parquet(f"{tmp_path}/t")
+    assert [r.id for r in TOOLS.call(spark, "search", {"path": f"{tmp_path}/t", "query": "Fox", "key": "id", "text": "t"}).collect()] == [1]
