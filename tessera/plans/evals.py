@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import evals as V
 from tessera.operators import sessions as S
+from tessera.plans.corpus import forms
 from tessera.plans.registry import Tables, query
 from tessera.sources import sinks
 from tessera.storage import new_folder
@@ -275,16 +276,25 @@ def join_mention_contains(t: Tables):
     return t.customer.select("c_custkey", text.alias("text")).join(F.broadcast(names), F.col("text").contains(F.col("name"))).groupBy("c_custkey").agg(F.min("n_nationkey").alias("nation"))  # nations are a fixed table
 
 
-@query("join_version_drift", "SELECT n_nationkey, regexp_extract('v1.' || n_regionkey || '.0', 'v(\\d+\\.\\d+\\.\\d+)', 1) AS found, n_regionkey = 2 AS in_sync FROM nation")
+_SITES = "(SELECT p_partkey, '1.' || p_size % 5 || '.0' AS version FROM part)"
+
+
+def _sites(t: Tables):
+    """Places that name a version, each in its own way."""
+    v, k = F.concat(F.lit("1."), (F.col("p_size") % 5).cast("string"), F.lit(".0")), F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat("p_name", F.lit(" v"), v, F.lit(" of 3.1.4"))).when(k == 1, F.concat(F.lit('version = "'), v, F.lit('"'))).otherwise(F.concat(F.lit("<v>"), v, F.lit("</v> 9.9.9")))
+    pattern = F.when(k == 0, r"v(\d+\.\d+\.\d+)").when(k == 1, r'version\s*=\s*"([^"]+)"').otherwise(r"<v>([\d.]+)</v>")
+    return t.part.select("p_partkey", text.alias("text"), pattern.alias("pattern"))
+
+
+@query("join_version_drift", f"SELECT p_partkey, version AS found, version = '1.2.0' AS in_sync FROM {_SITES}")
 def join_version_drift(t: Tables):
-    sites = t.nation.select("n_nationkey", F.format_string("v1.%d.0", "n_regionkey").alias("text"), F.lit(r"v(\d+\.\d+\.\d+)").alias("pattern"))
-    return V.version_drift(sites, "1.2.0")
+    return V.version_drift(_sites(t), "1.2.0")
 
 
-@query("version_drift", "SELECT count(*) AS drifted FROM nation WHERE n_regionkey <> 2")
+@query("version_drift", f"SELECT count(*) AS drifted FROM {_SITES} WHERE version <> '1.2.0'")
 def version_drift(t: Tables):
-    sites = t.nation.select("n_nationkey", F.format_string("v1.%d.0", "n_regionkey").alias("text"), F.lit(r"v(\d+\.\d+\.\d+)").alias("pattern"))
-    return V.version_drift(sites, "1.2.0").where("not in_sync").agg(F.count(F.lit(1)).alias("drifted"))
+    return V.version_drift(_sites(t), "1.2.0").where("not in_sync").agg(F.count(F.lit(1)).alias("drifted"))
 
 
 @query(
@@ -414,16 +424,16 @@ def fn_slim_json(t: Tables):
     return t.documents.where("text is not null").select("doc_id", T.slim_result(content, historical=True).alias("line"))
 
 
-@query("fn_parse_dep", "SELECT n_nationkey, (['cli', 'python', 'python', 'cli', 'python'])[n_nationkey % 5 + 1] AS kind, (['jq', 'numpy', 'opencv-python', 'ffmpeg', 'requests'])[n_nationkey % 5 + 1] AS name FROM nation")
+@query("fn_parse_dep", "SELECT p_partkey, (['cli', 'python', 'python', 'cli', 'python', 'python'])[p_partkey % 6 + 1] AS kind, (['jq' || p_size, 'num' || p_partkey, 'opencv-python', 'ffmpeg', 'lib-' || p_size, 'python-docx'])[p_partkey % 6 + 1] AS name FROM part")
 def fn_parse_dep(t: Tables):
-    raw = F.array(*[F.lit(x) for x in ("cli:jq", "pip:numpy>=1", "py:cv2", "ffmpeg", "requests[socks]==2")])[F.col("n_nationkey") % 5]
-    return t.nation.select("n_nationkey", V.dependency(raw).alias("d")).select("n_nationkey", "d.kind", "d.name")
+    raw = forms(["cli: jq{z}", "pip:num{k}>={z}", "py:cv2", " ffmpeg ", "lib-{z}[socks]=={k}", "docx<{z}"], "p_partkey", k="p_partkey", z="p_size")
+    return t.part.select("p_partkey", V.dependency(raw).alias("d")).select("p_partkey", "d.kind", "d.name")
 
 
-@query("fn_dep_alias", "SELECT n_nationkey, (['opencv-python>=4', 'Pillow', 'numpy==1'])[n_nationkey % 3 + 1] AS spec FROM nation")
+@query("fn_dep_alias", "SELECT p_partkey, (['opencv-python>=' || p_size, 'Pillow', 'lib' || p_partkey || '==1', 'PyYAML[x' || p_size || ']', ''])[p_partkey % 5 + 1] AS spec FROM part")
 def fn_dep_alias(t: Tables):
-    raw = F.array(*[F.lit(x) for x in ("cv2>=4", "PIL", "numpy==1")])[F.col("n_nationkey") % 3]
-    return t.nation.select("n_nationkey", V.dependency_alias(raw).alias("spec"))
+    raw = forms(["cv2>={z}", " PIL ", "lib{k}==1", "yaml[x{z}]", "sqlite3"], "p_partkey", k="p_partkey", z="p_size")
+    return t.part.select("p_partkey", V.dependency_alias(raw).alias("spec"))
 
 
 @query("win_merge_adjacent", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS o FROM lineitem),

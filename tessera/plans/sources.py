@@ -172,18 +172,18 @@ def scan_embeddings_api(t: Tables):
 
 
 def _linted(t: Tables):
-    md = s("# My Great Title\n\ntext\n- item\n\n```\n", "{\"a\": 1}\n```\n", c("n_name"), "\n1. one")
-    return C.lint(t.nation.select(c("n_nationkey").cast("long").alias("n_nationkey"), md.alias("text")), "n_nationkey", "text")
+    md = s("# My Great Title\n\ntext ", c("p_brand"), "\n- item\n\n```\n", "{\"a\": ", c("p_size"), "}\n```\n", c("p_name"), "\n1. one")
+    return C.lint(t.part.select("p_partkey", md.alias("text")), "p_partkey", "text")
 
 
-@query("fn_blank_before_list", "SELECT n_nationkey::BIGINT AS n_nationkey, line FROM nation, (VALUES (4), (11)) v(line)")
+@query("fn_blank_before_list", "SELECT p_partkey, line FROM part, (VALUES (4), (11)) v(line)")
 def fn_blank_before_list(t: Tables):
-    return _linted(t).where("rule = '6.1'").select("n_nationkey", "line")
+    return _linted(t).where("rule = '6.1'").select("p_partkey", "line")
 
 
-@query("style_rules_3_1_4_1", "SELECT n_nationkey::BIGINT AS n_nationkey, rule, line, after FROM nation, (VALUES ('3.1', 1, '# My great title'), ('4.1', 6, '```json')) v(rule, line, after)")
+@query("style_rules_3_1_4_1", "SELECT p_partkey, rule, line, after FROM part, (VALUES ('3.1', 1, '# My great title'), ('4.1', 6, '```json')) v(rule, line, after)")
 def style_rules_3_1_4_1(t: Tables):
-    return _linted(t).where("rule in ('3.1', '4.1')").select("n_nationkey", "rule", "line", "after")
+    return _linted(t).where("rule in ('3.1', '4.1')").select("p_partkey", "rule", "line", "after")
 
 
 def _polls(options: dict, cursor: int) -> tuple[list[tuple], int]:
