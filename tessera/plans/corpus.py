@@ -206,14 +206,17 @@ def fn_error_fingerprint(t: Tables):
     return t.lineitem.groupBy(T.error_fingerprint(text).alias("fp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_OUT = ["'timed out after 3'", "'Error: permission denied'", "'ModuleNotFoundError: x'", "'HTTP 503'", "'exit code: 1'", "'stdout: fine'", "'file does not exist'", "'{\"success\": false}'", "''", "'KeyError: a'"]
+_OUT = ["{x} timed out after 3", "Error: permission denied for {x}", "ModuleNotFoundError: {x}", "HTTP 503 from {x}", "exit code: 1 ({x})", "stdout: {x} is fine", "{x}: file does not exist", '{"id": "{x}", "success": false}', "", "KeyError: {x}"]
+_LETTERS = "translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij')"
 
 
 def _outputs(t: Tables):
-    return t.orders.select("o_orderkey", F.array(*[F.lit(x[1:-1]) for x in _OUT])[(F.col("o_orderkey") % 10).cast("int")].alias("text"))
+    """What tools of orders print, with a word of each customer's."""
+    d = t.orders.select("o_orderkey", F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij").alias("x"))
+    return d.select("o_orderkey", forms(_OUT, "o_orderkey", x="x").alias("text"))
 
 
-_OUTPUTS = f"(SELECT o_orderkey, ([{', '.join(_OUT)}])[o_orderkey % 10 + 1] AS text FROM orders)"
+_OUTPUTS = f"(SELECT o_orderkey, replace(([{', '.join(repr(x) for x in _OUT)}])[o_orderkey % 10 + 1], '{{x}}', {_LETTERS}) AS text FROM orders)"
 _KIND = "(['timeout', 'permission_denied', 'dependency_error', 'unavailable', 'execution_error', 'execution_error', 'resource_missing', 'execution_error', NULL, 'environment_error'])[o_orderkey % 10 + 1]"
 
 
