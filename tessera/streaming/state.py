@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tessera.shipping import ship
@@ -44,31 +44,44 @@ def scan(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str)
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def stream(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str, minutes: int | None = None) -> DataFrame:
-    """Outputs of a step over a stream, as rows arrive; within a batch in order. State is kept as JSON by key, for ``minutes`` without rows if given."""
-    ship(df.sparkSession)
-    names = [f.name for f in StructType.fromDDL(schema)]
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(list(order)).to_dict("records")
+class _Stepper(StatefulProcessor):
+    """Applies a step to each key's rows; the state is a JSON text in a value state, which expires by itself after ``minutes``."""
+
+    def __init__(self, order: Sequence[str], step: Step, names: Sequence[str], minutes: int | None):
+        self.order, self.step, self.names, self.minutes = list(order), step, list(names), minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "value string", *([self.minutes * 60_000] if self.minutes else []))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = json.loads(self.state.get()[0]) if self.state.exists() else None
         out = []
-        for row in rows:
-            now, got = step(now, row)
+        for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):
+            now, got = self.step(now, row)
             out += got
         if now is None:
-            state.remove()
+            self.state.clear()
         else:
-            state.update((json.dumps(now),))
-            if minutes:
-                state.setTimeoutDuration(minutes * 60_000)
-        yield pd.DataFrame(out, columns=names)
+            self.state.update((json.dumps(now),))
+        yield pd.DataFrame(out, columns=self.names)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if minutes else GroupStateTimeout.NoTimeout
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", timeout)
+    def close(self) -> None:
+        pass
+
+
+#: Stores of state that can hold those of ``stream``.
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str, minutes: int | None = None) -> DataFrame:
+    """Outputs of a step over a stream, as rows arrive; within a batch in order. State is kept as JSON by key, for ``minutes`` without rows if given, in the session's RocksDB store, which is chosen if the session has no store of its own."""
+    spark = df.sparkSession
+    ship(spark)
+    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, _ROCKS)
+    out = StructType.fromDDL(schema)
+    processor = _Stepper(order, step, out.names, minutes)
+    return df.groupBy(key).transformWithStateInPandas(processor, out, "Append", "ProcessingTime" if minutes else "None")
 
 
 def sliding_limit(most: int, seconds: float, key: str, time: str, ident: str) -> Step:
