@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-import os
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import shared_folder
+
 #: Bits of the hashes that order rows.
 HASH_BITS = 60
 
@@ -19,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``. A folder of this machine stands in only where that is unset and Spark runs in one process; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return folder.rstrip("/")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for Python steps that cost far more than moving the rows. Tables of many files stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
