@@ -1,3 +1,4 @@
+import difflib
 import json
 import os
 
@@ -150,3 +151,17 @@ def test_tools(spark, tmp_path):
     assert TOOLS.call(spark, "list_dir", {"path": at, "deep": 1}) == "ERR: list_dir takes no deep"
     spark.createDataFrame([(1, "red fox"), (2, "blue")], "id long, t string").write.parquet(f"{tmp_path}/t")
     assert [r.id for r in TOOLS.call(spark, "search", {"path": f"{tmp_path}/t", "query": "Fox", "key": "id", "text": "t"}).collect()] == [1]
+
+
+def test_close_matches_are_ordered_by_ratio(spark):
+    known = ["alpha", "alphas", "alp", "beta", "betas", "gamma", "alpine"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(["alph", "bet", "zzzz", "", None, "gammas"])], "id long, name string")
+    got = {}
+    for r in corpus.close_matches(df, "id", "name", known).collect():
+        got.setdefault(r.id, {})[r.place] = r.match
+    ratio = lambda a, b: difflib.SequenceMatcher(None, b, a).ratio()
+    for k, x in ((0, "alph"), (1, "bet"), (5, "gammas")):
+        scores = [ratio(x, got[k][p]) for p in sorted(got[k])]
+        assert scores == sorted(scores, reverse=True) and min(scores) >= 0.5 and len(scores) <= 3
+        assert scores[0] == max(ratio(x, y) for y in known)
+    assert not {2, 3, 4} & set(got)
