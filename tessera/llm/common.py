@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for Python steps that cost far more than moving the rows. Tables of many files stay as they are."""
+    """df over at least as many partitions as there are cores, for Python steps that cost far more than moving the rows. Tables of many files stay as they are. df should be a table or a checkpoint: to count the partitions of a plan with shuffles, Spark runs them."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
