@@ -58,7 +58,7 @@ SELECT term, df, round({_IDF}, 6) AS idf FROM (SELECT term, count(*) AS df FROM
 )
 def agg_doc_freq(t: Tables):
     i = index(t)
-    n = i.documents().agg(F.count(F.lit(1)).alias("n"))
+    n = i.statistics({"text": 1}).select("n")
     df = i.postings().where("tf_text > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(T.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
