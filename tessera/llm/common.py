@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def tidy(run):
+    """A function of batches that, when it is done, gives back to the system what its process no longer uses: workers go on to other tasks, and several share an executor's memory."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return tidied
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and kept in ``shared_folder``, so that later jobs neither repeat it nor depend on one executor."""
     sc = df.sparkSession.sparkContext

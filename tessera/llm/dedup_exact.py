@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_few, checkpoint, table
+from tessera.llm.common import broadcast_few, checkpoint, table, tidy
 from tessera.shipping import ship
 
 #: Runs of the bytes that normalisation turns into one space.
@@ -73,7 +73,7 @@ def exact_duplicates(docs: DataFrame, partitions: int | None = None, prefix: int
     t = t.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("prefix", F.substring("text", 1, prefix)).withColumn("half", F.substring("sha", 1, 16))
     t = t.repartitionByRange(n, F.col("prefix"), F.col("half"), F.col("doc_id").asc_nulls_last())
     t = t.sortWithinPartitions("prefix", "half", "text", F.col("doc_id").asc_nulls_last()).select("text", F.lower(F.hex("sha")).alias("sha"), "doc_id")
-    runs = checkpoint(t.mapInArrow(_runs, _RUNS))
+    runs = checkpoint(t.mapInArrow(tidy(_runs), _RUNS))
     edges = runs.where("edge and is_first").groupBy("text_sha256").agg(F.min("run_min").alias("__min"), F.sum("run_size").alias("__size"))
     out = runs.join(broadcast_few(edges, 2 * n), "text_sha256", "left")  # at most two rows a partition
     keep, size = (F.when(F.col("edge"), F.col(a)).otherwise(F.col(b)) for a, b in (("__min", "run_min"), ("__size", "run_size")))

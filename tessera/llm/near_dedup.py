@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Store, spread, table
+from tessera.llm.common import Store, spread, table, tidy
 from tessera.shipping import ship
 
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
@@ -147,8 +147,8 @@ def idf_table(docs: DataFrame, size: int, floor: float | None = None) -> np.ndar
     import zstandard
 
     ship(docs.sparkSession)
-    parts = spread(docs.select("text")).mapInArrow(slot_counts(size), "part int, counts binary")
-    sums = parts.repartition("part").mapInArrow(add_counts, "part int, counts binary")
+    parts = spread(docs.select("text")).mapInArrow(tidy(slot_counts(size)), "part int, counts binary")
+    sums = parts.repartition("part").mapInArrow(tidy(add_counts), "part int, counts binary")
     unpack, df, n = zstandard.ZstdDecompressor(), np.zeros((SLOTS // PART, PART), dtype=np.int64), 0
     for r in sums.collect():  # at most SLOTS / PART rows
         x = np.frombuffer(unpack.decompress(bytes(r.counts)), dtype=np.int64)
@@ -299,7 +299,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, size: int, least: float, e
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(3).filter(mask), batch.column(0).filter(mask)], names=["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(tidy(check), "a long, b long")
 
 
 def texts_of(d: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
@@ -394,9 +394,9 @@ def all_links(pool: DataFrame, info: DataFrame, texts: DataFrame, store: Store,
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in good], pa.int64()) for c in range(2)], names=["a", "b"])
 
-    met = store.keep(gathered(rows).mapInArrow(partnered, schema))
+    met = store.keep(gathered(rows).mapInArrow(tidy(partnered), schema))
     full = met.join(texts, "node").select(*met.columns, "text")
-    return gathered(full).mapInArrow(link, "a long, b long")
+    return gathered(full).mapInArrow(tidy(link), "a long, b long")
 
 
 #: Stands for a null doc_id where the smallest is looked for.
@@ -449,7 +449,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
                 keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], names=["doc_id", "th", "digest", "bands", "samples"])
 
-    signed = store.keep(spread(d).mapInArrow(sign, "doc_id long, th long, digest binary, bands array<long>, samples array<int>"))
+    signed = store.keep(spread(d).mapInArrow(tidy(sign), "doc_id long, th long, digest binary, bands array<long>, samples array<int>"))
     # A class's smallest doc_id and the text of a row that has it stand for equal texts; node is a number of their own.
     one = signed.groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "th")).alias("rep"), F.first(F.struct("bands", "samples")).alias("x"))
     nodes = store.keep(one.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("rep.id").alias("first_id"), F.col("rep.th").alias("first_th"), "x.bands", "x.samples"))

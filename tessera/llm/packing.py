@@ -15,7 +15,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_few, checkpoint, mixed_hash, prefix_sums, spread, table
+from tessera.llm.common import broadcast_few, checkpoint, mixed_hash, prefix_sums, spread, table, tidy
 from tessera.shipping import ship
 
 #: What a text has beyond the letters, digits, signs and white space whose pieces are known by heart.
@@ -299,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, s
     ship(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(tokenizer)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    tokens = checkpoint(spread(d).mapInArrow(_tokenized(tokenizer, end_id), "doc_id long, source string, rid long, n long, ids binary"))
+    tokens = checkpoint(spread(d).mapInArrow(tidy(_tokenized(tokenizer, end_id)), "doc_id long, source string, rid long, n long, ids binary"))
     stats = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # a row a source
     stats.sort(key=lambda r: (r.source is None, r.source or ""))
     spark = docs.sparkSession
@@ -344,11 +344,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, s
     meta = meta.join(broadcast_few(names, len(stats)), ["__null", "__source"]).select("rid", "gi", "n", mixed_hash("rid").alias("h"))
     meta = checkpoint(meta)
     placed = prefix_sums(meta, "gi", "h", [F.col("rid")], "n", "at", sum(r.rows for r in stats)).select("rid", "gi", "n", "at")
-    cuts = placed.mapInArrow(cut, "p long, rid long, gi int, at long, start long, length long, owed double")
+    cuts = placed.mapInArrow(tidy(cut), "p long, rid long, gi int, at long, start long, length long, owed double")
     pieces = cuts.groupBy("p").applyInPandas(fill, "rid long, start long, length long, sequence_id long, offset long")
     by_doc = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     found = tokens.select("rid", "doc_id", "n", "ids").join(by_doc, "rid").select("doc_id", "n", "ids", "pieces")
-    return found.mapInArrow(crcs, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return found.mapInArrow(tidy(crcs), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def word_tokenizer() -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, md5_hash, spread, table
+from tessera.llm.common import checkpoint, md5_hash, spread, table, tidy
 from tessera.shipping import ship
 
 #: Slots for hashed words; statistics follow them.
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, most_slots: in
             cols = [pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "y", "n", "idx", "val"])
 
-    found = checkpoint(d.mapInArrow(extract, "doc_id long, y int, n long, idx binary, val binary").withColumn("h", md5_hash(F.col("doc_id"))))
+    found = checkpoint(d.mapInArrow(tidy(extract), "doc_id long, y int, n long, idx binary, val binary").withColumn("h", md5_hash(F.col("doc_id"))))
     before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most sample rows
     chosen = found.select("doc_id", F.sum("n").over(before).alias("sum")).where(F.col("sum") <= most_slots)
     rows = found.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "y", "idx", "val").collect()
