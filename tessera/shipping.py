@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 #: Spark's own bound on a batch that goes to a Python worker, and the one set here. Texts can be long, and each worker of an executor holds a batch.
-BATCH, DEFAULT, LESS = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH, DEFAULT, LESS = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def ship(spark: SparkSession) -> None:
