@@ -376,8 +376,7 @@ _ARTICLE = _plain_sql("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")
 @query("scan_http_page", f"SELECT page_id, url, {_ARTICLE} AS text FROM pages WHERE html LIKE '%<article>%'")
 def scan_http_page(t: Tables):
     """Pages of a source that serves them by address, and their text."""
-    served = t.pages.where(F.col("html").contains("<article>")).select("page_id", "url", "html")
-    return C.main_text(served, "page_id", "html", None).join(served.select("page_id", "url"), "page_id").select("page_id", "url", "text")
+    return C.main_text(t.pages.where(F.col("html").contains("<article>")), "page_id", "html", None, ["url"])
 
 
 @query("fn_html_main_text", f"SELECT page_id, substr({_ARTICLE}, 1, 15000) AS text FROM pages WHERE html LIKE '%<article>%'")

@@ -84,7 +84,7 @@ def test_page_text_decodes_whole_references():
     assert corpus.page_text("<p>\n a\u00a0\f") == "a\u00a0"
 
 
-@pytest.mark.parametrize("name", ["fn_html_main_text"])
+@pytest.mark.parametrize("name", ["fn_html_main_text", "scan_http_page"])
 def test_pages_that_are_odd_equal_sql(spark, tmp_path, name):
     import duckdb
 
