@@ -127,19 +127,25 @@ def numbered(df: DataFrame, group: Sequence[str], value: Column, ties: Sequence[
 def duplicate_entries(entries: DataFrame, owner: str, order: str, text: str) -> DataFrame:
     """Adds duplicate: whether the trimmed entry stands in an earlier entry of its owner that is not blank.
 
-    Entries meet by (owner, a word): the longest of an entry's inner words, which stands whole in any text that holds the
-    entry. Entries of fewer than three words meet all earlier ones of their owner.
+    Entries meet by a hash of (owner, a word): the longest of an entry's inner words, which stands whole in any text that
+    holds the entry. Entries of fewer than three words meet all earlier ones of their owner. Equal entries of an owner
+    meet once, and texts are read for what has met only: the words travel without them, and by shuffles, as they are many
+    times the input that Spark would take their size to be.
     """
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    own, trimmed = F.col(owner), F.regexp_replace(text, r"^\s+|\s+$", "")
+    at_word = lambda w: F.xxhash64(own, w)
+    marks = {"__n": F.xxhash64("__t"), "__m": F.xxhash64(F.lit(1), "__t")}  # 128 bits of an owner's entry
     d = entries.withColumn("__t", trimmed)
     words = F.split("__t", r"\s+")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     best = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    new = d.select(owner, order, "__t", F.coalesce(best, F.lit("")).alias("__w")).where("__t is not null")
-    held = d.where("__t <> ''").select(F.col(owner).alias("__owner"), F.col(order).alias("__at"), F.col(text).alias("__held"), F.explode(F.array_distinct(F.concat(F.split(F.col(text), r"\s+"), F.array(F.lit(""))))).alias("__h"))
-    on = (F.col(owner) == F.col("__owner")) & (F.col("__w") == F.col("__h")) & (F.col("__at") < F.col(order)) & F.col("__held").contains(F.col("__t"))
-    found = new.join(held, on, "left_semi").select(owner, order, F.lit(True).alias("__found"))
-    return entries.join(found, [owner, order], "left").withColumn("duplicate", F.coalesce("__found", F.lit(False))).drop("__found")
+    new = d.where("__t is not null").groupBy(owner, "__t").agg(F.max(order).alias("__last")).select(owner, "__t", "__last", at_word(F.coalesce(best, F.lit(""))).alias("__w"))
+    held = d.where("__t <> ''").groupBy(owner, F.col(text).alias("__held")).agg(F.min(order).alias("__at"))
+    parts = F.array_distinct(F.concat(F.split("__held", r"\s+"), F.array(F.lit(""))))
+    met = held.select("__at", F.explode(F.transform(parts, at_word)).alias("__h")).hint("merge")
+    pairs = new.join(met, (F.col("__w") == F.col("__h")) & (F.col("__at") < F.col("__last"))).select(owner, "__t", "__at")
+    found = pairs.join(held.hint("merge"), [owner, "__at"]).where(F.col("__held").contains(F.col("__t"))).withColumns(marks).groupBy(owner, *marks).agg(F.min("__at").alias("__first"))
+    return d.withColumns(marks).drop("__t").join(found, [owner, *marks], "left").withColumn("duplicate", F.coalesce(F.col("__first") < F.col(order), F.lit(False))).drop("__first", *marks).select(*entries.columns, "duplicate")
 
 
 def repaired_messages(messages: DataFrame, session: str, order: str, most: int = 500) -> DataFrame:

@@ -115,6 +115,20 @@ def test_duplicate_entries(spark):
     assert [k for k, d in got.items() if d] and {k for k, d in got.items() if d} == {(1, 1), (1, 2), (1, 4), (1, 6), (1, 7)}
 
 
+def test_duplicate_entries_that_repeat_a_place_or_text(spark):
+    rows = [(1, 0, "one two three four"), (1, 1, "two three"), (1, 1, "zero"), (1, 1, "two three"), (1, 2, "zero"), (1, 2, " zero "), (1, None, "zero"), (None, 0, "a"), (None, 1, "a"), (2, 0, "zero")]
+    df = spark.createDataFrame(rows, "owner long, at long, text string")
+    want = [(*a, any(b[0] is not None and b[0] == a[0] and None not in (a[1], b[1]) and b[1] < a[1] and a[2].strip() in b[2] for b in rows)) for a in rows]
+    got = [tuple(r) for r in sessions.duplicate_entries(df, "owner", "at", "text").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[3] for r in got) == 4
+
+
+def test_duplicate_entries_broadcast_no_words(spark, tmp_path):
+    spark.createDataFrame([(1, k, f"w{k} some more words") for k in range(9)], "owner long, at long, text string").write.parquet(f"{tmp_path}/e")
+    plan = sessions.duplicate_entries(spark.read.parquet(f"{tmp_path}/e"), "owner", "at", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "BroadcastExchange" not in plan
+
+
 def test_routes(spark):
     calls = spark.createDataFrame([("a",), ("a",), ("b",), ("zz",)], "tool string")
     workers = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, [])], "w long, can array<string>")
