@@ -6,6 +6,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column
@@ -137,8 +138,23 @@ def _catalog(options: dict, k: int) -> list[tuple]:
     return [(k, *r) for r in _rows(options | {"page": k}, ["p_partkey", "p_name", "p_type"])]
 
 
-def _results(options: dict, k: int) -> list[tuple]:
-    return [(k, *r) for r in _rows(options | {"page": k}, ["doc_id", "source", "text"]) if options["query"] in (r[2] or "").lower()]
+def _pages(options: dict) -> list[str]:
+    """Addresses of a service's pages: the files of its folder that have rows."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(options["table"])
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet"))
+
+
+def _results(options: dict, page: str) -> Iterator[tuple]:
+    """What a page holds of a query's results; a row at a time, as texts may be long."""
+    from pyarrow import fs, parquet
+
+    with fs.FileSystem.from_uri(options["table"])[0].open_input_file(page) as file:
+        for batch in parquet.ParquetFile(file).iter_batches(64, columns=["doc_id", "source", "text"]):
+            for doc_id, source, text in zip(*(x.to_pylist() for x in batch.columns)):
+                if options["query"] in (text or "").lower():
+                    yield doc_id, source, text[:3000]
 
 
 @query("scan_remote_catalog", "SELECT ((row_number() OVER (ORDER BY p_partkey) - 1) // 97)::INT AS page, p_partkey, p_name, p_type FROM part")
@@ -150,11 +166,11 @@ def scan_remote_catalog(t: Tables):
 
 @query("scan_web_search", "SELECT doc_id, source, substr(text, 1, 3000) AS snippet FROM documents WHERE contains(lower(text), 'heed') ORDER BY doc_id LIMIT 40")
 def scan_web_search(t: Tables):
-    """The first forty results of a search that is served by pages, with snippets of 3000 characters."""
-    pages = -(-t.documents.count() // 500)
-    source = paged.paged_source("search", "page int, doc_id long, source string, snippet string", _results)
-    d = paged.read(t.spark, source, table=f"{t.dir}/documents.parquet", size="500", query="heed", pages=str(pages))
-    return d.select("doc_id", "source", F.substring("snippet", 1, 3000).alias("snippet")).orderBy("doc_id").limit(40)
+    """The first forty results of a search that is served by pages of 500 documents, with snippets of 3000 characters. Spark writes the pages, so that no page needs a pass over the table, and the table may be where only Spark reads."""
+    at = new_folder(t.spark, "search")
+    t.documents.select("doc_id", "source", "text").write.option("maxRecordsPerFile", 500).parquet(at)
+    d = paged.read(t.spark, paged.paged_source("search", "doc_id long, source string, snippet string", _results, _pages), table=at, query="heed")
+    return d.orderBy(F.col("doc_id").asc_nulls_last()).limit(40)
 
 
 @query("scan_chat_messages", "SELECT conv_id, turn FROM conversations WHERE turn BETWEEN 1 AND 3 AND contains(lower(text), 'the')")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +13,21 @@ from pyspark.sql.types import StructType
 
 from tessera.shipping import ship
 
-Fetch = Callable[[dict, int], list[tuple]]
+Fetch = Callable[[dict, int | str], Iterable[tuple]]
 
 
-def paged_source(name: str, schema: str, fetch: Fetch, pages: int = 1) -> type[DataSource]:
-    """A source whose page k, of ``pages``, is a partition with the rows of fetch(options, k). fetch runs on executors and must be picklable."""
+def paged_source(name: str, schema: str, fetch: Fetch, pages: int | Callable[[dict], Sequence[str]] = 1) -> type[DataSource]:
+    """A source whose page k, of ``pages``, is a partition with the rows of fetch(options, k). fetch runs on executors and must be picklable.
+
+    Where pages have addresses and not numbers, pages(options) lists them, and fetch gets one in place of k.
+    """
 
     class Reader(DataSourceReader):
         def __init__(self, options: dict):
             self.options = options
 
         def partitions(self) -> Sequence[InputPartition]:
-            return [InputPartition(k) for k in range(int(self.options.get("pages", pages)))]
+            return [InputPartition(k) for k in (pages(self.options) if callable(pages) else range(int(self.options.get("pages", pages))))]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
             yield from fetch(self.options, partition.value)

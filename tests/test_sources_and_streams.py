@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import zipfile
 
 import pandas as pd
@@ -82,6 +83,30 @@ def test_xlsx(spark, tmp_path):
     assert [r.formulas for r in xlsx.formula_count(got).collect()] == [1]
 
 
+def test_pages_with_addresses(spark):
+    source = paged.paged_source("addressed", "name string", lambda options, page: ((page + x,) for x in options["q"]), lambda options: ["b", "a", "c"])
+    assert sorted(r.name for r in paged.read(spark, source, q="xy").collect()) == ["ax", "ay", "bx", "by", "cx", "cy"]
+
+
+def test_search_is_served_by_pages_of_500(spark, tmp_path):
+    import duckdb
+    from pyarrow import parquet
+
+    from tessera import plans
+    from tessera.storage import shared_folder
+
+    rows = [(None if k == 7 else 5000 - k, None if k % 9 == 0 else "s", None if k == 3 else f"{'Heed' if k % 100 == 7 else 'x'} " + "é" * (k * 3)) for k in range(1300)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(shared_folder(spark)))
+    got = [tuple(r) for r in plans.QUERIES["scan_web_search"](spark, str(tmp_path)).select("doc_id", "source", "snippet").collect()]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == duck.execute(plans.ORACLES["scan_web_search"]).fetchall() and len(got) == 13 and got[-1][0] is None
+    (at,) = (x for x in set(os.listdir(shared_folder(spark))) - before if x.startswith("search-"))
+    at = os.path.join(shared_folder(spark), at)
+    assert sorted(parquet.read_metadata(os.path.join(at, f)).num_rows for f in os.listdir(at) if f.endswith(".parquet")) == [300, 500, 500]
+
+
 def test_paged_and_polled(spark, tmp_path):
     source = paged.paged_source("catalog", "page int, name string", lambda options, k: [(k, options["q"] + str(k))], 3)
     assert {tuple(r) for r in paged.read(spark, source, q="x").collect()} == {(0, "x0"), (1, "x1"), (2, "x2")}
