@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Store, spread, table, tidy
+from tessera.llm.common import Store, broadcast_few, spread, table, tidy
 from tessera.shipping import ship
 
 #: Counters of the document-frequency sketch, and of one row that carries part of it.
@@ -226,20 +226,24 @@ def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) ->
     return float(both / whole) if whole else 0.0
 
 
-def components(edges: DataFrame, store: Store, most: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b).
+def components(edges: DataFrame, store: Store, most: int = 60, each: int = 20_000) -> DataFrame:
+    """(node, label): the smallest node of each connected component of edges (a, b), which should be a table.
 
     In a turn each node takes the smallest label of its neighbours and then that label's own label, so long chains
-    shorten by half.
+    shorten by half. A turn runs on as many tasks as there are cores, and more from ``each`` nodes a task on, however many partitions
+    a shuffle has: the driver keeps a record of each task. Labels of at most 100,000 nodes are broadcast.
     """
+    nodes = 2 * edges.count()
+    width = max(edges.sparkSession.sparkContext.defaultParallelism, -(-nodes // each))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).coalesce(width)
     for turn in range(most):
-        heard = both.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        known = broadcast_few(labels.select(F.col("node").alias("a"), "label"), nodes)
+        heard = both.join(known, "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("old"))
         all_ = heard.unionByName(labels.select("node", "label", F.col("label").alias("old")))
-        near = all_.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
-        ends = near.select(F.col("node").alias("label"), F.col("label").alias("end"))
-        new, seen = near.join(ends, "label").select("node", "old", F.least("label", "end").alias("label")), Observation()
+        near = all_.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")).coalesce(width)
+        ends = broadcast_few(near.select(F.col("node").alias("label"), F.col("label").alias("end")), nodes)
+        new, seen = near.join(ends, "label").select("node", "old", F.least("label", "end").alias("label")).coalesce(width), Observation()
         new = store.keep(new.observe(seen, F.coalesce(F.sum((F.col("label") != F.col("old")).cast("long")), F.lit(0)).alias("changed")))
         if turn:
             store.drop(labels)
