@@ -373,10 +373,31 @@ def _plain_sql(html: str) -> str:
 _ARTICLE = _plain_sql("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")
 
 
-@query("scan_http_page", f"SELECT page_id, url, {_ARTICLE} AS text FROM pages WHERE html LIKE '%<article>%'")
+def _tag(name: str, end: str = "") -> str:
+    return f"<{end}(?:{name})(?:[\\s/][^>]*)?>"
+
+
+def _part_sql(name: str) -> str:
+    """What is between the first such tag and the last that ends it, or the end of the page."""
+    return f"regexp_replace(regexp_extract(html, '(?is){_tag(name)}(.*)', 1), '(?is)^(.*){_tag(name, '/')}.*$', '\\1')"
+
+
+def _frameless_sql(html: str) -> str:
+    """Without frames of navigation; what is left open goes on to the next content or the end."""
+    for name in ("aside", "header", "footer", "nav"):
+        html = f"regexp_replace({html}, '(?is){_tag(name)}.*?{_tag(name, '/')}', '', 'g')"
+    return f"regexp_replace({html}, '(?is){_tag('script|style|aside|header|footer|nav')}.*?({_tag('main|article')}|$)', '\\1', 'g')"
+
+
+@query(
+    "scan_http_page",
+    f"""WITH h AS (SELECT page_id, url, html AS page, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|{_tag('script')}.*?{_tag('script', '/')}|{_tag('style')}.*?{_tag('style', '/')}', '', 'g') AS html FROM pages),
+p AS (SELECT page_id, url, page, html, CASE {' '.join(f"WHEN regexp_matches(html, '(?i){_tag(x)}') THEN {_part_sql(x)}" for x in ("main", "article", "body"))} ELSE html END AS part FROM h)
+SELECT page_id, url, {_plain_sql(f"CASE WHEN html LIKE '%<article>%</article>%' AND NOT regexp_matches(html, '(?i){_tag('main')}|<article[\\s/]') THEN regexp_extract(page, '(?s)<article>(.*)</article>', 1) ELSE {_frameless_sql('part')} END")} AS text FROM p""",
+)
 def scan_http_page(t: Tables):
-    """Pages of a source that serves them by address, and their text."""
-    return C.main_text(t.pages.where(F.col("html").contains("<article>")), "page_id", "html", None, ["url"])
+    """Pages of a source that serves them by address, and their text: of main, else article, else body, else all of it. Every page has a row, with an empty text if it has none."""
+    return C.main_text(t.pages, "page_id", "html", None, ["url"])
 
 
 @query("fn_html_main_text", f"SELECT page_id, substr({_ARTICLE}, 1, 15000) AS text FROM pages WHERE html LIKE '%<article>%'")

@@ -99,6 +99,35 @@ def test_pages_that_are_odd_equal_sql(spark, tmp_path, name):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want.fetchall(), key=str)
 
 
+def test_scan_http_page_has_every_page(spark, tmp_path):
+    import duckdb
+
+    top = "<html><head><title>title</title><script>'<main>'</script></head><body><header><h1>site</h1><nav>menu</nav>line</header>"
+    pages = {
+        "<p>a<article><h2>b</h2></article>c": "## b",
+        top + "<p>a<article>b</article><p>c<article>d</article><p>e</body></html>": "b\ncd",
+        top + "<p>a<main><h1>b</h1><article>c</article><p>d</main><article>e</article>": "# bc\nd",
+        top + "<p>a<article class='x'>b</article>c": "b",
+        top + "<p>a<ARTICLE>b</ARTICLE>c": "b",
+        top + "<p>a<article>b<p>cut": "b\ncut",
+        top + "<p>a<article></article>b": "",
+        top + "<p>a<aside>b<footer>c</footer>d</aside><div>e</div></body>f": "a\ne",
+        top + "<!-- <article>old</article> --><ul><li>a<li>b<footer>c": "- a\n- b",
+        top + "<main>a<nav>b<article>c</article>d</main>": "acd",
+        "<title>a</title><p>b": "a\nb",
+        "a &amp; b": "a & b",
+        "": "",
+        None: "",
+    }
+    rows = [(k, f"u{k}", html) for k, html in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in plans.QUERIES["scan_http_page"](spark, str(tmp_path)).select("page_id", "url", "text").collect())
+    assert got == [(k, url, pages[html]) for k, url, html in rows]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(duck.execute(plans.ORACLES["scan_http_page"]).fetchall()) == got
+
+
 def test_locked_artifacts(spark):
     rows = [(k, p) for k, p in enumerate(["a/Report.docx", "a/report_v2.docx", "b/plan.docx", "a/Report.docx", "n.txt", "x.pdf", "x_final.pdf", "y.DOCX", "z.md"])]
     df = spark.createDataFrame([("r", *r) for r in rows], "run string, at int, path string")
